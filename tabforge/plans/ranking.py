@@ -11,6 +11,8 @@ partitioning, even if an executor is lost and work is retried.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +51,124 @@ def exact_row_number(df: DataFrame, order_by, partition_by=(), name: str = "rn",
     return out.drop("_pid", "_mid", "_first", "_off")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``).
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 5000,
+                    max_collect: int = 100000, max_levels: int = 4) -> DataFrame:
+    """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``), exact.
 
-    Returns one row per (column, p): columns ``column``, ``p``, ``value``.
-    All columns are stacked into (column, value) and ranked in one distributed
-    sort; no value set is ever held by a single task.
+    Returns one row per (column, p): ``column``, ``p``, ``value``.
+    Pass 1 (one aggregate): row counts and an approximate bracket around each
+    quantile. Pass 2 (one grouped scan): per needed rank r, the number of rows
+    below the bracket and the (value, count) pairs inside it; r is found by
+    walking those pairs, which also verifies the bracket. The sketch bounds a
+    bracket to about 2n/accuracy ranks, so pass 2 reads a bounded number of
+    pairs; when that bound is too large (very big n) the bracket is first
+    narrowed level by level (approximate pass + exact count pass, each a scan
+    with partial aggregation). Targets still open after ``max_levels`` fall
+    back to the distributed rank (``rank_quantiles``).
     """
+    xs = {c: F.col(c).cast("double") for c in cols}
+    valid = {c: xs[c].isNotNull() & ~F.isnan(xs[c]) for c in cols}
+    delta = 3.0 / accuracy
+
+    def inside(c, lo, hi):
+        cond = valid[c]
+        if lo is not None:
+            cond = cond & (xs[c] >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (xs[c] <= F.lit(hi))
+        return cond
+
+    # One sketch per column, asked for a bracket (p − δ, p + δ) around every quantile.
+    first = df.agg(*[F.count_if(valid[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(F.when(valid[c], xs[c]),
+                                         [q for p in probs for q in (max(0.0, p - delta), min(1.0, p + delta))],
+                                         accuracy).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    n = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    targets, proposal = set(), {}
+    for i, c in enumerate(cols):
+        if not n[c]:
+            continue
+        for j, p in enumerate(probs):
+            for r in (math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1))):
+                targets.add((c, r))
+                proposal[(c, r)] = (first[f"b{i}"][2 * j], first[f"b{i}"][2 * j + 1])
+    targets = sorted(targets)
+    state = {t: (None, None, 0, n[t[0]]) for t in targets}  # verified (lo, hi, rows below lo, rows in [lo, hi])
+    found: dict = {}
+
+    for level in range(max_levels + 1):
+        open_t = [t for t in targets if t not in found]
+        if not open_t:
+            break
+        # Verify-and-read pass for targets whose (proposed or verified) bracket is provably small.
+        ready = []
+        for t in open_t:
+            size = state[t][3]
+            if size <= max_collect:
+                ready.append((t, state[t][0], state[t][1]))
+            elif t in proposal and 2 * delta * size + 2 <= max_collect:
+                ready.append((t, *proposal[t]))
+        if ready:
+            cnt_aggs = [F.count_if(valid[c] & (xs[c] < F.lit(lo))).alias(f"u{i}") if lo is not None
+                        else F.lit(0).alias(f"u{i}") for i, ((c, r), lo, hi) in enumerate(ready)]
+            below_row = df.agg(*cnt_aggs).first()
+            below_n = {i: below_row[f"u{i}"] for i in range(len(ready))}
+            items = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("t"), xs[c].alias("v")))
+                     for i, ((c, r), lo, hi) in enumerate(ready)]
+            pairs = (df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
+                       .groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("k")).collect())
+            vals = {}
+            for row in pairs:
+                vals.setdefault(row["t"], []).append((row["v"], row["k"]))
+            for i, ((c, r), lo, hi) in enumerate(ready):
+                acc = below_n.get(i, 0)
+                if acc > r:
+                    continue  # bracket starts above the rank: not verified
+                for v, k in sorted(vals.get(i, [])):
+                    acc += k
+                    if acc > r:
+                        found[(c, r)] = v
+                        break
+            open_t = [t for t in open_t if t not in found]
+        if not open_t or level == max_levels:
+            break
+        # Narrow the remaining brackets: approximate pass inside the verified bracket, then exact counts.
+        aggs = []
+        for i, (c, r) in enumerate(open_t):
+            lo, hi, below, size = state[(c, r)]
+            rr, d = r - below, 2.0 * size / accuracy + 1
+            qs = [max(0.0, (rr - d) / size), min(1.0, (rr + d + 1) / size)]
+            aggs.append(F.percentile_approx(F.when(inside(c, lo, hi), xs[c]), qs, accuracy).alias(f"b{i}"))
+        brk = df.agg(*aggs).first()
+        aggs = []
+        for i, (c, r) in enumerate(open_t):
+            blo, bhi = brk[f"b{i}"]
+            aggs += [F.count_if(valid[c] & (xs[c] < F.lit(blo))).alias(f"u{i}"),
+                     F.count_if(inside(c, blo, bhi)).alias(f"s{i}")]
+        cnt = df.agg(*aggs).first()
+        proposal = {}
+        for i, (c, r) in enumerate(open_t):
+            blo, bhi = brk[f"b{i}"]
+            below, size = cnt[f"u{i}"], cnt[f"s{i}"]
+            if below <= r < below + size and size < state[(c, r)][3]:
+                state[(c, r)] = (blo, bhi, below, size)
+    rest = sorted({c for (c, r) in targets if (c, r) not in found})
+    rows = []
+    for c in cols:
+        if not n[c] or c in rest:
+            continue
+        for p in probs:
+            pos = p * (n[c] - 1)
+            lo_v, hi_v = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
+            rows.append((c, float(p), lo_v + (pos - math.floor(pos)) * (hi_v - lo_v)))
+    out = df.sparkSession.createDataFrame(rows, "column string, p double, value double")
+    if rest:
+        out = out.unionByName(rank_quantiles(df, rest, probs))
+    return out
+
+
+def rank_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles by a distributed rank of every value (one range-partitioned sort, checkpointed)."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("s")).select("s.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
