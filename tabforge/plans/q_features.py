@@ -9,17 +9,20 @@ from tabforge.plans.registry import register
 from tabforge.plans.tables import LABELLED_ORDERS_SQL, labelled_orders, load
 
 PARENTS = ["o_orderpriority", "o_orderstatus", "c_nationkey"]
-NUMERIC = ["o_totalprice", "c_acctbal"]
+# sqrt / cbrt keep every mean away from exact decimal rounding ties (both engines round alike).
+NUMERIC = ["price_root", "balance_root"]
 CATEGORICAL = ["c_mktsegment"]
 BOOLEAN = ["fulfilled"]
 
 
 def dfs_base(spark, sf):
     o = labelled_orders(spark, sf)
-    return o.select("o_orderkey", *PARENTS, *NUMERIC, *CATEGORICAL, (F.col("label") == 1).alias("fulfilled"))
+    return o.select("o_orderkey", *PARENTS, F.sqrt("o_totalprice").alias("price_root"),
+                    F.cbrt("c_acctbal").alias("balance_root"), *CATEGORICAL, (F.col("label") == 1).alias("fulfilled"))
 
 
-BASE_SQL = (f"(SELECT o_orderkey, {', '.join(PARENTS)}, {', '.join(NUMERIC)}, {', '.join(CATEGORICAL)}, "
+BASE_SQL = (f"(SELECT o_orderkey, {', '.join(PARENTS)}, sqrt(o_totalprice) AS price_root, "
+            f"cbrt(c_acctbal) AS balance_root, {', '.join(CATEGORICAL)}, "
             f"label = 1 AS fulfilled FROM {LABELLED_ORDERS_SQL})")
 
 SQL_PRIM = {"sum": "sum({c})", "mean": "avg({c})", "max": "max({c})", "min": "min({c})", "std": "stddev_samp({c})",
