@@ -2,9 +2,9 @@
 
 DFS: for every parent column, ONE groupBy(parent).agg(all primitives) —
 partial aggregation before the shuffle — joined back to the base rows on the
-parent value. The parent table has one row per value, so the join is either
-broadcast (AQE, when small at run time) or a sort-merge join whose hot
-partitions AQE splits.
+parent value. The parent table has one row per value: when a bounded count
+shows it small it is broadcast (base rows never shuffle); otherwise a
+sort-merge join whose hot partitions AQE's skew handling splits.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.operators.profile import numeric_columns
+from tabforge.plans.bounded import checked_broadcast
 from tabforge.operators.summarize import corr_matrix
 
 NUMERIC_PRIMITIVES = ["sum", "mean", "max", "min", "std", "skew"]
@@ -56,7 +57,7 @@ def normalize(df: DataFrame, parents: list[str]) -> dict[str, DataFrame]:
 def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None = None,
         categorical: list[str] = (), boolean: list[str] = (), numeric_primitives=NUMERIC_PRIMITIVES,
         categorical_primitives=CATEGORICAL_PRIMITIVES, boolean_primitives=BOOLEAN_PRIMITIVES,
-        max_features: int | None = None) -> DataFrame:
+        max_features: int | None = None, max_parent_rows: int = 200_000) -> DataFrame:
     """Depth-1 deep feature synthesis; returns key + base columns + parent features."""
     numeric = [c for c in (numeric if numeric is not None else numeric_columns(df)) if c != key]
     out = df
@@ -78,7 +79,8 @@ def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None =
                 break
         n_feat += len(aggs)
         g = df.groupBy(p).agg(*aggs)
-        out = out.join(g, on=p, how="left")
+        # One row per parent value: broadcast when the checked size allows, so base rows are not shuffled.
+        out = out.join(checked_broadcast(g, max_parent_rows), on=p, how="left")
     return out
 
 

@@ -32,12 +32,17 @@ def bounded_values(df: DataFrame, col: str | Column, max_values: int = 1000,
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only if it holds at most ``max_rows`` rows.
 
-    Beyond the bound the plain DataFrame is returned and the join falls back
-    to a shuffle join (which AQE may still turn into a broadcast once the
-    real size is known at run time).
+    The size check materialises the (small, derived) table once in the cache,
+    so the broadcast reads it instead of recomputing it; a lost cache block is
+    simply recomputed. Beyond the bound the cache is dropped and the join
+    falls back to a shuffle join (AQE may still broadcast it at run time).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.persist()
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def one_row(df: DataFrame) -> DataFrame:
