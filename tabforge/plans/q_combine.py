@@ -9,14 +9,17 @@ from tabforge.plans.registry import register
 from tabforge.plans.tables import load
 
 # customer split in two "files" by a hash of the key (same in Spark and DuckDB).
-TEST_SIDE = F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 1) < "4"
+def test_side():
+    return F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 1) < "4"
+
+
 TEST_SIDE_SQL = "substring(md5(CAST(c_custkey AS VARCHAR)), 1, 1) < '4'"
 
 
 def customer_parts(spark, sf):
     c = load(spark, sf, "customer")
-    train = c.where(~TEST_SIDE)
-    test = c.where(TEST_SIDE).drop("c_acctbal")
+    train = c.where(~test_side())
+    test = c.where(test_side()).drop("c_acctbal")
     return train, test
 
 

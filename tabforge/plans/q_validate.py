@@ -64,15 +64,16 @@ def stratified_folds_shuffled_balance(spark, sf):
 
 RULES = {"price_rule": "CAST(o_totalprice > 150000 AS INTEGER)",
          "priority_rule": "CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER)"}
-RULE_COLS = {"price_rule": (F.col("o_totalprice") > 150000).cast("int"),
-             "priority_rule": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")}
+def rule_cols():
+    return {"price_rule": (F.col("o_totalprice") > 150000).cast("int"),
+            "priority_rule": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")}
 
 
 def fold_scores(spark, sf):
     f = folds(spark, sf)
     parts = [V.accuracy(f.withColumn("pred", expr), "label", "pred", by=["fold"])
              .select(F.lit(name).alias("model"), "fold", F.col("accuracy").alias("score"))
-             for name, expr in RULE_COLS.items()]
+             for name, expr in rule_cols().items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -101,7 +102,7 @@ SELECT round(avg(CAST(label = {RULES['price_rule']} AS DOUBLE)), 4) AS accuracy,
        round(1 - avg(CAST(label = {RULES['price_rule']} AS DOUBLE)), 4) AS error, count(*) AS n
 FROM {LABELLED_ORDERS_SQL}""")
 def accuracy_price_rule(spark, sf):
-    o = labelled_orders(spark, sf).withColumn("pred", RULE_COLS["price_rule"])
+    o = labelled_orders(spark, sf).withColumn("pred", rule_cols()["price_rule"])
     a = V.accuracy(o, "label", "pred")
     return a.select(r4("accuracy").alias("accuracy"), r4("error").alias("error"), "n")
 
@@ -139,7 +140,7 @@ def auc_price_score(spark, sf):
 SELECT pred AS label, count(*) AS n FROM (SELECT o_orderkey, {RULES['price_rule']} AS pred FROM {LABELLED_ORDERS_SQL})
 GROUP BY pred""")
 def submission_balance(spark, sf):
-    o = labelled_orders(spark, sf).withColumn("pred", RULE_COLS["price_rule"])
+    o = labelled_orders(spark, sf).withColumn("pred", rule_cols()["price_rule"])
     sub = V.submission(o, "o_orderkey", "pred", label_name="label")
     return sub.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -159,6 +160,6 @@ SELECT 'price_rule' AS a, 'priority_rule' AS b, round(corr({RULES['price_rule']}
        round(abs(corr({RULES['price_rule']}, {RULES['priority_rule']})), 4) AS abs_r FROM {LABELLED_ORDERS_SQL}""")
 def prediction_correlation_rules(spark, sf):
     o = labelled_orders(spark, sf)
-    preds = {m: o.select("o_orderkey", e.alias("pred")) for m, e in RULE_COLS.items()}
+    preds = {m: o.select("o_orderkey", e.alias("pred")) for m, e in rule_cols().items()}
     j = J.join_predictions(preds, "o_orderkey")
-    return S.corr_matrix(j, list(RULE_COLS)).select("a", "b", r4("r").alias("r"), r4("abs_r").alias("abs_r"))
+    return S.corr_matrix(j, list(rule_cols())).select("a", "b", r4("r").alias("r"), r4("abs_r").alias("abs_r"))
