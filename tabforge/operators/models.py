@@ -282,17 +282,21 @@ def importances(fitted, cols: list[str], model_name: str = "model") -> list[tupl
 
 
 # M4–M7 validation and search ------------------------------------------------------------------------
-def cross_validate(df: DataFrame, estimators: dict, cols: list[str], y: str, fold: str) -> DataFrame:
+def cross_validate(df: DataFrame, estimators: dict, cols: list[str], y: str, fold: str,
+                   parallelism: int = 4) -> DataFrame:
     """(model, fold, score): accuracy on each held-out fold of a fold column."""
     data = with_label(df, y).persist()
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # k values
     ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label", predictionCol="prediction")
-    rows = []
-    for name, est in estimators.items():
-        pipe = assembled(est, cols)
-        for f in folds:
-            m = pipe.fit(data.where(F.col(fold) != f))
-            rows.append((name, int(f), float(ev.evaluate(m.transform(data.where(F.col(fold) == f))))))
+    def run(task):
+        name, f = task
+        m = assembled(estimators[name], cols).fit(data.where(F.col(fold) != f))
+        return (name, int(f), float(ev.evaluate(m.transform(data.where(F.col(fold) == f)))))
+
+    # Fold fits are independent Spark jobs; submitting them concurrently keeps the executors busy.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = list(pool.map(run, [(n, f) for n in estimators for f in folds]))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 

@@ -40,6 +40,29 @@ def top_k(df: DataFrame, part, by: str, k: int, tie: list[str] = (), desc: bool
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def ordered_prefix(df: DataFrame, order_by: list, value: str, op: str, out: str, exclusive: bool = False,
+                   small: int = 100_000) -> DataFrame:
+    """Running min/max/sum of ``value`` over ONE global order (a table of distinct values, say).
+
+    A table proven to hold at most ``small`` rows (bounded count) is scanned by
+    one plain window; a larger one goes through the distributed numbering and
+    the blocked prefix, so no task ever holds an unbounded table.
+    """
+    f = _AGG[op]
+    if df.limit(small + 1).count() <= small:
+        frame = (Window.unboundedPreceding, -1) if exclusive else (Window.unboundedPreceding, 0)
+        w = Window.orderBy(*order_by).rowsBetween(*frame)
+        return df.withColumn(out, f(value).over(w))
+    r = exact_row_number(df.withColumn("_all", F.lit(0)), order_by, name="_i")
+    r = running_agg(r, "_all", "_i", value, op, "_incl")
+    if exclusive:
+        prev = r.select((F.col("_i") + 1).alias("_i"), F.col("_incl").alias(out))
+        r = r.join(prev, on="_i", how="left")
+    else:
+        r = r.withColumnRenamed("_incl", out)
+    return r.drop("_all", "_i", "_incl")
+
+
 def series_position(df: DataFrame, series: str, order_by: list, name: str = "t") -> DataFrame:
     """1-based position of each row inside its series (distributed, skew-safe)."""
     return exact_row_number(df, order_by, partition_by=[series], name=name)

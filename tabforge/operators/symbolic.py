@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.symbolic import to_column, to_text
-from tabforge.operators.sequence import running_agg
-from tabforge.plans.ranking import exact_row_number
+from tabforge.operators.sequence import ordered_prefix
 
 
 def score_population(df: DataFrame, formulas: list, y: str, batch: int = 50,
@@ -56,14 +55,11 @@ def pareto_front(df: DataFrame, maximize: str, minimize: str) -> DataFrame:
     A row is on the front iff its ``minimize`` value is the lowest among rows
     with the same ``maximize`` value and strictly below the lowest among rows
     with a larger ``maximize`` value (prefix minimum over the distinct
-    ``maximize`` values in descending order, distributed).
+    ``maximize`` values in descending order; distributed when that table is large).
     """
     per = df.groupBy(maximize).agg(F.min(minimize).alias("_best"))
-    r = exact_row_number(per.withColumn("_all", F.lit(0)), [F.desc(maximize)], name="_i")
-    r = running_agg(r, "_all", "_i", "_best", "min", "_upto")
-    prev = r.select((F.col("_i") + 1).alias("_i"), F.col("_upto").alias("_before"))
-    r = r.join(prev, on="_i", how="left").select(maximize, "_best", "_before")
-    j = df.join(r, on=maximize, how="inner")
+    r = ordered_prefix(per, [F.desc(maximize)], "_best", "min", "_before", exclusive=True)
+    j = df.join(r.select(maximize, "_best", "_before"), on=maximize, how="inner")
     on_front = (F.col(minimize) == F.col("_best")) & (F.col("_before").isNull() | (F.col(minimize) < F.col("_before")))
     return j.where(on_front).drop("_best", "_before")
 

@@ -86,14 +86,13 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """ROC AUC by the rank-sum rule with average ranks for ties.
 
     Per distinct score: (positives, negatives). AUC = Σ pos·(neg_below + neg/2) / (P·N),
-    where neg_below is a prefix sum over distinct scores in order — numbered and
-    summed distributed (range partitions + blocked prefix), not in one task.
+    where neg_below is a prefix sum over distinct scores in order (one window when
+    the distinct-score table is provably small, else the distributed blocked prefix).
     """
-    from tabforge.operators.sequence import running_agg
+    from tabforge.operators.sequence import ordered_prefix
     g = df.groupBy(F.col(score).alias("_s")).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
-    r = exact_row_number(g.withColumn("_series", F.lit(0)), ["_s"], name="_i")
-    r = running_agg(r, "_series", "_i", "_neg", "sum", "_cum")
+    r = ordered_prefix(g, ["_s"], "_neg", "sum", "_cum")
     contrib = F.col("_pos") * ((F.col("_cum") - F.col("_neg")) + F.col("_neg") / 2.0)
     return r.agg((F.sum(contrib) / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
 

@@ -118,3 +118,20 @@ def test_pareto_front_matches_brute_force(spark):
     got = {r["id"] for r in pareto_front(df, "acc", "ce").collect()}
     exp = {i for i, a, c in pts if not any((a2 >= a and c2 <= c and (a2 > a or c2 < c)) for _, a2, c2 in pts)}
     assert got == exp
+
+
+def test_ordered_prefix_distributed_path_equals_window(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.randint(-50, 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    for excl in (False, True):
+        small = H.ordered_prefix(df, [F.desc("k")], "v", "sum", "s", exclusive=excl)
+        big = H.ordered_prefix(df, [F.desc("k")], "v", "sum", "s", exclusive=excl, small=5)
+        a = {r["k"]: r["s"] for r in small.collect()}
+        b = {r["k"]: r["s"] for r in big.collect()}
+        assert a == b
+        acc = None
+        for k, v in sorted(rows, reverse=True):
+            incl = (acc or 0) + v
+            assert a[k] == (acc if excl else incl)
+            acc = incl
