@@ -7,8 +7,8 @@ settled once it holds k neighbours whose k-th distance is within the radius
 the searched rings guarantee (any donor outside ring ρ differs by more than
 ρ·w in some coordinate). Each donor vector keeps only its k lowest-key rows,
 so a value repeated in a third of the table is still one small record.
-Candidate state is checkpointed each round (lineage stays short, retries are
-safe).
+Candidate state is persisted each round; the rounds are deterministic, so a
+lost block is recomputed exactly from a short lineage.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.session import ensure_checkpoint_dir
 
 METRICS = ("mean_sq", "euclidean", "manhattan")
 
@@ -58,26 +57,35 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
     if metric not in METRICS:
         raise ValueError(metric)
     spark = queries.sparkSession
-    ensure_checkpoint_dir(spark)
     dims = len(features)
     q = queries.select(qkey, *[F.col(f).cast("double").alias(f) for f in features])
     d = donors.select(dkey, dval, *[F.col(f).cast("double").alias(f) for f in features])
 
-    st = q.select(*features).unionByName(d.select(*features)).agg(
-        *[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).first()
-    n_vec = d.select(*features).distinct().count()
+    both = q.select(*features, F.lit(False).alias("_donor")).unionByName(d.select(*features, F.lit(True).alias("_donor")))
+    st = both.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features],
+                  F.count_distinct(F.when(F.col("_donor"), F.struct(*features))).alias("_nvec")).first()
+    n_vec = st["_nvec"]
     if n_vec == 0:
         return spark.createDataFrame([], f"{qkey} long, {dkey} long, {dval} double, dist double, rank int")
     live = [f for f in features if st[f"hi_{f}"] is not None and st[f"hi_{f}"] > st[f"lo_{f}"]]
-    G = cells_per_dim or max(1, int((n_vec / (2.0 * k)) ** (1.0 / max(1, len(live)))))
-    width = {f: (st[f"hi_{f}"] - st[f"lo_{f}"]) / G for f in live}
-    wmin = min(width.values()) if width else 1.0
+    # One cell width for every live dimension (about 2k donor vectors per cell on average), so the radius a
+    # searched ring guarantees is the same in every direction.
+    ranges = {f: st[f"hi_{f}"] - st[f"lo_{f}"] for f in live}
+    n_cells = max(1.0, n_vec / (2.0 * k))
+    if cells_per_dim:
+        wd = max(ranges.values()) / cells_per_dim if live else 1.0
+    else:
+        wd = (math.prod(ranges.values()) / n_cells) ** (1.0 / len(live)) if live else 1.0
+    G = {f: max(1, math.ceil(ranges[f] / wd)) for f in live}
+    width = {f: wd for f in live}
+    wmin = wd
+    gmax = max(G.values()) if live else 1
 
     def cells(df, prefix):
         if not live:  # every feature constant: a single cell
             return df.withColumn(f"{prefix}c__", F.lit(0))
         return df.withColumns({f"{prefix}c_{f}": F.least(F.floor((F.col(f"{prefix}{f}") - F.lit(st[f"lo_{f}"]))
-                                                                 / F.lit(width[f])), F.lit(G - 1)).cast("int")
+                                                                 / F.lit(width[f])), F.lit(G[f] - 1)).cast("int")
                                for f in live})
 
     # Donor vectors: the k lowest-key rows of each distinct vector (partial group limit before the shuffle).
@@ -90,9 +98,10 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
 
     cand = None
     pending = qv
-    rho = 0
+    rho, prev_rho = 1, -1  # the first round searches rings 0 and 1 together
+    held = []
     while True:
-        offs = _ring(rho, len(live))
+        offs = [o for r in range(prev_rho + 1, rho + 1) for o in _ring(r, len(live))]
         if len(offs) > max_offsets:
             raise ValueError("ring too wide; lower the dimensionality or set cells_per_dim")
         if live:
@@ -102,7 +111,7 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
                                            for i, f in enumerate(live)])
             inside = F.lit(True)
             for f in live:
-                inside = inside & F.col(f"d_c_{f}").between(0, G - 1)
+                inside = inside & F.col(f"d_c_{f}").between(0, G[f] - 1)
             probe = probe.where(inside)
             hit = probe.join(dv, on=[f"d_c_{f}" for f in live], how="inner")
         else:
@@ -111,16 +120,21 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
         hit = hit.select(*qcols, F.col("_x.k").alias(dkey), F.col("_x.v").alias(dval), "dist")
         cand = hit if cand is None else cand.drop("rank").unionByName(hit)
         w = Window.partitionBy(*qcols).orderBy("dist", dkey)
-        cand = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                    .checkpoint(eager=True))
-        if not live or rho >= G - 1:  # every cell searched
+        # Per-round state is persisted: a lost block is recomputed from a few deterministic rounds of lineage.
+        cand = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).persist()
+        held.append(cand)
+        if not live or rho >= gmax - 1:  # every cell searched
             break
         bound = _bound(rho, wmin, dims, metric)
         settled = (cand.groupBy(*qcols).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kd"))
-                       .where((F.col("_n") >= k) & (F.col("_kd") <= F.lit(bound))).select(*qcols))
-        pending = pending.join(settled, on=qcols, how="left_anti").checkpoint(eager=True)
-        if pending.limit(1).count() == 0:
+                       .where((F.col("_n") >= k) & (F.col("_kd") < F.lit(bound))).select(*qcols))
+        pending = pending.join(settled, on=qcols, how="left_anti").persist()
+        held.append(pending)
+        if pending.count() == 0:
             break
-        rho += 1
+        for h in held[:-2]:  # older rounds are no longer needed once the current state is materialised
+            h.unpersist()
+        held = held[-2:]
+        prev_rho, rho = rho, rho + 1
     out = q.select(qkey, *[F.col(f).alias(f"q_{f}") for f in features]).join(cand, on=qcols, how="inner")
     return out.select(qkey, dkey, dval, "dist", F.col("rank").cast("int").alias("rank"))

@@ -149,3 +149,9 @@ SELECT c_custkey, CAST(trunc(c_acctbal) AS INTEGER) AS c_acctbal, c_nationkey FR
 def final_matrix_customer(spark, sf):
     c = load(spark, sf, "customer")
     return FT.final_matrix(c, "c_custkey", ["c_acctbal"], ["c_nationkey", "c_acctbal"])
+
+
+@register("select_by_importance_forest")
+def select_by_importance_forest(spark, sf):
+    base = labelled_orders(spark, sf).select("label", "o_totalprice", "c_acctbal", "c_nationkey")
+    return FT.select_from_model(base, ["o_totalprice", "c_acctbal", "c_nationkey"], "label", "forest")
