@@ -190,7 +190,7 @@ def normalize_nulls_events(spark, sf):
 
 
 @register("string_rules_part", """
-SELECT p_partkey, lower(p_type) AS type_lower, strpos(p_name, ' ') AS first_blank,
+SELECT p_partkey, lower(p_type) AS type_lower, CAST(strpos(p_name, ' ') AS INTEGER) AS first_blank,
   substring(p_brand, 7, 2) AS brand_no, contains(p_name, 'green') AS is_green,
   regexp_full_match(substring(p_brand, 7), '[0-9]+') AS brand_numeric,
   regexp_full_match(p_type, '[A-Za-z]+') AS type_alpha,

@@ -128,7 +128,7 @@ def _anova_sql():
     for c in COLS:
         parts.append(f"""SELECT '{c}' AS feature, round(((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1))
           / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))), 4) AS f, count(*) - 1 AS df_between,
-          sum(n) - count(*) AS df_within
+          CAST(sum(n) - count(*) AS BIGINT) AS df_within
         FROM (SELECT label, count(*) AS n, sum({c}) AS s, sum({c} * {c}) AS q FROM {LABELLED_LINEITEM_SQL} GROUP BY label)""")
     return " UNION ALL ".join(parts)
 

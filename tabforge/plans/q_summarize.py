@@ -131,7 +131,7 @@ def kde_discount_by_label(spark, sf):
 @register("linear_fit_price_quantity", """
 SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
        round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
-       round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, regr_count(l_extendedprice, l_quantity) AS n
+       round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n
 FROM lineitem GROUP BY l_returnflag""")
 def linear_fit_price_quantity(spark, sf):
     f = S.linear_fit(labelled_lineitem(spark, sf), "l_quantity", "l_extendedprice", by="l_returnflag")

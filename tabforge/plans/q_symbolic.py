@@ -8,6 +8,7 @@ from tabforge.functions import symbolic as N
 from tabforge.operators import symbolic as NS
 from tabforge.plans.registry import register
 from tabforge.plans.tables import load
+from tabforge.session import ensure_checkpoint_dir
 
 FEATURES = ["x1", "x2", "x3"]
 POP = N.population(FEATURES, 40, seed=5, max_depth=4)
@@ -51,7 +52,7 @@ def _score_sql():
         s = to_sql(t)
         parts.append(
             f"SELECT {i} AS id, '{N.to_text(t)}' AS formula, "
-            f"sum(CAST(CAST((1e-15 + 1 / (1 + exp(-({s})))) > 0.5 AS INTEGER) = label AS BIGINT)) AS correct, "
+            f"CAST(sum(CAST(CAST((1e-15 + 1 / (1 + exp(-({s})))) > 0.5 AS INTEGER) = label AS BIGINT)) AS BIGINT) AS correct, "
             f"round(avg(greatest({s}, 0) + ln(1 + exp(-abs({s}))) - label * ({s})), 4) AS cross_entropy FROM {DATA_SQL}")
     return " UNION ALL ".join(parts)
 
@@ -63,6 +64,12 @@ def scored(spark, sf):
     return NS.score_population(data(spark, sf), POP, "label", batch=25)
 
 
+def scored_table(spark, sf):
+    """The scored population written once to the shared checkpoint folder (it feeds several passes)."""
+    ensure_checkpoint_dir(spark)
+    return scored(spark, sf).withColumn("cross_entropy", F.round("cross_entropy", 4)).checkpoint(eager=True)
+
+
 @register("score_population_lineitem", SCORE_SQL)
 def score_population_lineitem(spark, sf):
     return scored(spark, sf).withColumn("id", F.col("id").cast("int")).withColumn(
@@ -75,14 +82,14 @@ SELECT id, correct, cross_entropy FROM s a WHERE NOT EXISTS (
   SELECT 1 FROM s b WHERE b.correct >= a.correct AND b.cross_entropy <= a.cross_entropy
                       AND (b.correct > a.correct OR b.cross_entropy < a.cross_entropy))""")
 def pareto_front_population(spark, sf):
-    s = scored(spark, sf).withColumn("cross_entropy", F.round("cross_entropy", 4)).checkpoint(eager=True)
+    s = scored_table(spark, sf)
     return NS.pareto_front(s, "correct", "cross_entropy").select(F.col("id").cast("int").alias("id"), "correct",
                                                                  "cross_entropy")
 
 
 @register("pareto_rank_population")
 def pareto_rank_population(spark, sf):
-    s = scored(spark, sf).withColumn("cross_entropy", F.round("cross_entropy", 4)).checkpoint(eager=True)
+    s = scored_table(spark, sf)
     return NS.pareto_rank(s, "id", "correct", "cross_entropy").select("id", "correct", "cross_entropy", "front")
 
 

@@ -112,7 +112,7 @@ SCORE = "((o_totalprice - 150000) / 50000)"
 
 @register("score_metrics_orders", f"""
 WITH s AS (SELECT label, {SCORE} AS s FROM {LABELLED_ORDERS_SQL})
-SELECT sum(CAST(CAST((1e-15 + 1 / (1 + exp(-s))) > 0.5 AS INTEGER) = label AS INTEGER)) AS correct,
+SELECT CAST(sum(CAST(CAST((1e-15 + 1 / (1 + exp(-s))) > 0.5 AS INTEGER) = label AS INTEGER)) AS BIGINT) AS correct,
        round(-avg(label * ln(CASE WHEN s >= 0 THEN 1 / (1 + exp(-s)) ELSE exp(s) / (1 + exp(s)) END)
               + (1 - label) * ln(1 - CASE WHEN s >= 0 THEN 1 / (1 + exp(-s)) ELSE exp(s) / (1 + exp(s)) END)), 4)
          AS cross_entropy,
