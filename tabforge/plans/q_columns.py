@@ -240,3 +240,16 @@ def frobenius_scale_lineitem(spark, sf):
     s = C.frobenius_scale(li, ["l_quantity", "l_discount", "l_tax"])
     return s.select("l_orderkey", "l_linenumber", F.round("l_quantity", 6).alias("q"),
                     F.round("l_discount", 6).alias("d"), F.round("l_tax", 6).alias("t"))
+
+
+@register("select_drop_rename_filter_orders", """
+SELECT o_orderkey AS order_id, o_totalprice AS price, o_orderpriority AS priority FROM orders
+WHERE o_orderstatus IN ('F', 'P') AND o_totalprice BETWEEN 50000 AND 250000 AND o_orderpriority IS NOT NULL""")
+def select_drop_rename_filter_orders(spark, sf):
+    o = load(spark, sf, "orders")
+    picked = o.select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_custkey")  # C1
+    kept = picked.where(F.col("o_orderstatus").isin("F", "P")  # C4: in-set, range, not-null
+                        & F.col("o_totalprice").between(50000, 250000) & F.col("o_orderpriority").isNotNull())
+    dropped = kept.drop("o_orderstatus", "o_custkey")  # C2
+    return dropped.withColumnsRenamed({"o_orderkey": "order_id", "o_totalprice": "price",  # C3
+                                       "o_orderpriority": "priority"})

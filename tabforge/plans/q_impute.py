@@ -120,3 +120,22 @@ def no_nulls_after_impute(spark, sf):
     c = customer_features(spark, sf)
     f = I.knn_impute(c, "c_custkey", "c_acctbal", ["c_nationkey", "seg", "n_orders"], k=5)
     return I.assert_no_nulls(f, ["c_acctbal"])
+
+
+@register("knn_impute_nation_code", f"""
+WITH b AS {FEATURES_SQL},
+     c AS (SELECT c_custkey, seg, n_orders, CASE WHEN c_custkey % 30 = 0 THEN NULL ELSE f1 END AS nation FROM b),
+     d AS (SELECT * FROM c WHERE nation IS NOT NULL), r AS (SELECT * FROM c WHERE nation IS NULL),
+     p AS (SELECT r.c_custkey, d.nation, ((r.seg - d.seg) ^ 2 + (r.n_orders - d.n_orders) ^ 2) / 2.0 AS dist,
+                  row_number() OVER (PARTITION BY r.c_custkey ORDER BY ((r.seg - d.seg) ^ 2 + (r.n_orders - d.n_orders) ^ 2) / 2.0,
+                                     d.c_custkey) AS rn FROM r, d),
+     e AS (SELECT c_custkey, least(greatest(sum(nation / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)),
+                  (SELECT min(nation) FROM d)), (SELECT max(nation) FROM d)) AS est FROM p WHERE rn <= 100 GROUP BY c_custkey)
+SELECT c.c_custkey, CAST(coalesce(c.nation, CAST(trunc(e.est) AS BIGINT)) AS INTEGER) AS nation_filled
+FROM c LEFT JOIN e ON c.c_custkey = e.c_custkey""")
+def knn_impute_nation_code(spark, sf):
+    # A many-valued code filled from 100 neighbours over the remaining columns only (balance excluded).
+    c = customer_features(spark, sf).withColumn(
+        "nation", F.when(F.col("c_custkey") % 30 == 0, F.lit(None)).otherwise(F.col("c_nationkey")))
+    f = I.knn_impute(c, "c_custkey", "nation", ["seg", "n_orders"], k=100, categorical=True)
+    return f.select("c_custkey", F.col("nation").cast("int").alias("nation_filled"))

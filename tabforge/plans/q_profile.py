@@ -167,3 +167,11 @@ def downcast_report_lineitem(spark, sf):
 def matrix_check_lineitem(spark, sf):
     d = P.matrix_check(load(spark, sf, "lineitem"), LINEITEM_NUM)
     return d.select("column", "position", "n_missing", r4("max").alias("max"), r4("min").alias("min"), "n_distinct")
+
+
+@register("downcast_lineitem", """
+SELECT CAST(l_linenumber AS SMALLINT) AS l_linenumber, CAST(l_quantity AS SMALLINT) AS l_quantity, l_partkey
+FROM lineitem""")
+def downcast_lineitem(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_linenumber", "l_quantity", "l_partkey")
+    return P.downcast(li, ["l_linenumber", "l_quantity", "l_partkey"])

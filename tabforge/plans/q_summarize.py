@@ -174,3 +174,19 @@ def log_stats_events(spark, sf):
         "event_type", F.coalesce(F.col("value"), F.lit(float("nan"))).alias("value"),
         F.col("user_id").cast("double").alias("user"))
     return S.log_stats(e, "event_type", ["value", "user"])
+
+
+FAMILY_SQL = ("(SELECT l_linenumber - 1 + CAST(round(l_discount * 100) AS INTEGER) % 3 + 1 AS family_size, "
+              f"label FROM {LABELLED_LINEITEM_SQL})")
+
+
+@register("group_report_family_size", f"""
+SELECT family_size, round(avg(label) * 100.0, 4) AS rate_pct, count(label) AS n_label, count(*) AS n_rows
+FROM {FAMILY_SQL} GROUP BY family_size""")
+def group_report_family_size(spark, sf):
+    from tabforge.functions.columns import sum_plus
+    li = labelled_lineitem(spark, sf).select(
+        "label", sum_plus([F.col("l_linenumber") - 1, F.round(F.col("l_discount") * 100).cast("int") % 3], 1)
+        .alias("family_size"))
+    g = S.group_report(li, "family_size", "label")
+    return g.select("family_size", r4("rate_pct").alias("rate_pct"), "n_label", "n_rows")
