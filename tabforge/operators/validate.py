@@ -21,20 +21,35 @@ def _hash_order(key: str, seed) -> Column:
 
 
 # M1 / M2 -------------------------------------------------------------------
+def _first_k(df: DataFrame, key: str, seed, k: int) -> Column:
+    """Predicate: the row is among the k first by (md5(seed ‖ key), key).
+
+    Only the narrow (hash, key) projection is numbered; the boundary row is
+    read back and the split becomes a plain filter on the original table
+    (no join, no copy of the wide rows).
+    """
+    h = _hash_order(key, seed)
+    if k <= 0:
+        return F.lit(False)
+    narrow = df.select(h.alias("_h"), F.col(key))
+    row = exact_row_number(narrow, ["_h", key], name="_rn").where(F.col("_rn") == k).first()
+    if row is None:  # k ≥ n
+        return F.lit(True)
+    bh, bk = row["_h"], row[key]
+    return (h < F.lit(bh)) | ((h == F.lit(bh)) & (F.col(key) <= F.lit(bk)))
+
+
 def split(df: DataFrame, key: str, train_frac: float, seed: int = 0, name: str = "part") -> DataFrame:
     """Tag rows 'train'/'test': test size = ceil((1 − train_frac)·n) (sklearn rule), the rest train."""
     n = df.count()
     n_test = math.ceil((1.0 - train_frac) * n)
-    r = exact_row_number(df.withColumn("_h", _hash_order(key, seed)), ["_h", key], name="_rn")
-    return r.withColumn(name, F.when(F.col("_rn") <= n - n_test, "train").otherwise("test")).drop("_h", "_rn")
+    return df.withColumn(name, F.when(_first_k(df, key, seed, n - n_test), "train").otherwise("test"))
 
 
 def sample_exact(df: DataFrame, key: str, frac: float, seed: int = 0) -> DataFrame:
     """Exactly round(frac·n) rows, chosen by hash order."""
     n = df.count()
-    take = int(round(frac * n))
-    r = exact_row_number(df.withColumn("_h", _hash_order(key, seed)), ["_h", key], name="_rn")
-    return r.where(F.col("_rn") <= take).drop("_h", "_rn")
+    return df.where(_first_k(df, key, seed, int(round(frac * n))))
 
 
 # M3 ------------------------------------------------------------------------
