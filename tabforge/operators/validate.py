@@ -57,16 +57,18 @@ def stratified_folds(df: DataFrame, y: str, key: str, k: int, shuffle_seed: int
                      name: str = "fold") -> DataFrame:
     """fold = (position within its class − 1) mod k; class sizes per fold differ by ≤ 1.
 
-    Unshuffled: position by key; shuffled: by md5(seed ‖ key).
+    Unshuffled: position by key; shuffled: by md5(seed ‖ key). ``key`` must be
+    unique. Only the narrow (key, class, order) projection is numbered and
+    checkpointed; the fold joins back to the full rows on the key.
     """
-    d = df
+    narrow = df.select(key, y)
     order = [key]
     if shuffle_seed is not None:
-        d = d.withColumn("_h", _hash_order(key, shuffle_seed))
+        narrow = narrow.withColumn("_h", _hash_order(key, shuffle_seed))
         order = ["_h", key]
-    r = exact_row_number(d, order, partition_by=[y], name="_rn")
-    out = r.withColumn(name, ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
-    return out.drop("_h") if shuffle_seed is not None else out
+    r = exact_row_number(narrow, order, partition_by=[y], name="_rn")
+    folds = r.select(key, ((F.col("_rn") - 1) % k).cast("int").alias(name))
+    return df.join(folds, on=key, how="inner")
 
 
 # M8–M11 --------------------------------------------------------------------
