@@ -7,8 +7,8 @@ settled once it holds k neighbours whose k-th distance is within the radius
 the searched rings guarantee (any donor outside ring ρ differs by more than
 ρ·w in some coordinate). Each donor vector keeps only its k lowest-key rows,
 so a value repeated in a third of the table is still one small record.
-Candidate state is persisted each round; the rounds are deterministic, so a
-lost block is recomputed exactly from a short lineage.
+Candidate state is checkpointed each round (plans stay small, retries are
+safe); the two collapsed vector tables are kept in the cache.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.session import ensure_checkpoint_dir
+
 
 METRICS = ("mean_sq", "euclidean", "manhattan")
 
@@ -92,14 +94,16 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
     wv = Window.partitionBy(*features).orderBy(dkey)
     dv = (d.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") <= k)
            .groupBy(*features).agg(F.collect_list(F.struct(F.col(dkey).alias("k"), F.col(dval).alias("v"))).alias("_rows")))
-    dv = cells(dv.select(*[F.col(f).alias(f"d_{f}") for f in features], "_rows"), "d_")
-    qv = cells(q.select(*[F.col(f).alias(f"q_{f}") for f in features]).distinct(), "q_")
+    # The collapsed vector tables are read by every round: keep them (recomputable) instead of re-deriving them
+    # from the input each time.
+    dv = cells(dv.select(*[F.col(f).alias(f"d_{f}") for f in features], "_rows"), "d_").persist()
+    qv = cells(q.select(*[F.col(f).alias(f"q_{f}") for f in features]).distinct(), "q_").persist()
     qcols = [f"q_{f}" for f in features]
 
     cand = None
     pending = qv
     rho, prev_rho = 1, -1  # the first round searches rings 0 and 1 together
-    held = []
+    ensure_checkpoint_dir(spark)
     while True:
         offs = [o for r in range(prev_rho + 1, rho + 1) for o in _ring(r, len(live))]
         if len(offs) > max_offsets:
@@ -120,21 +124,17 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
         hit = hit.select(*qcols, F.col("_x.k").alias(dkey), F.col("_x.v").alias(dval), "dist")
         cand = hit if cand is None else cand.drop("rank").unionByName(hit)
         w = Window.partitionBy(*qcols).orderBy("dist", dkey)
-        # Per-round state is persisted: a lost block is recomputed from a few deterministic rounds of lineage.
-        cand = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).persist()
-        held.append(cand)
+        # Round state is checkpointed to the shared folder: this truncates the plan (each round refers to the
+        # previous state twice, so un-truncated plans would grow exponentially) and survives lost executors.
+        cand = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint(eager=True)
         if not live or rho >= gmax - 1:  # every cell searched
             break
         bound = _bound(rho, wmin, dims, metric)
         settled = (cand.groupBy(*qcols).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kd"))
                        .where((F.col("_n") >= k) & (F.col("_kd") < F.lit(bound))).select(*qcols))
-        pending = pending.join(settled, on=qcols, how="left_anti").persist()
-        held.append(pending)
-        if pending.count() == 0:
+        pending = pending.join(settled, on=qcols, how="left_anti").checkpoint(eager=True)
+        if pending.limit(1).count() == 0:
             break
-        for h in held[:-2]:  # older rounds are no longer needed once the current state is materialised
-            h.unpersist()
-        held = held[-2:]
         prev_rho, rho = rho, rho + 1
     out = q.select(qkey, *[F.col(f).alias(f"q_{f}") for f in features]).join(cand, on=qcols, how="inner")
     return out.select(qkey, dkey, dval, "dist", F.col("rank").cast("int").alias("rank"))

@@ -135,3 +135,19 @@ def test_ordered_prefix_distributed_path_equals_window(spark):
             incl = (acc or 0) + v
             assert a[k] == (acc if excl else incl)
             acc = incl
+
+
+def test_knn_many_rounds_with_checkpoints(spark):
+    rng = np.random.RandomState(12)
+    d = rng.uniform(0, 10, size=(120, 2))
+    q = rng.uniform(0, 10, size=(15, 2))
+    donors = spark.createDataFrame([(i, 0.0, *map(float, x)) for i, x in enumerate(d)], "dk long, y double, a double, b double")
+    queries = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(q)], "qk long, a double, b double")
+    nb = knn(queries, donors, ["a", "b"], 6, "qk", "dk", "y", metric="euclidean", cells_per_dim=40)
+    got = {}
+    for r in nb.collect():
+        got.setdefault(r["qk"], []).append((r["rank"], r["dk"]))
+    for i, x in enumerate(q):
+        dist = np.sqrt(((d - x) ** 2).sum(1))
+        exp = sorted(range(len(d)), key=lambda j: (dist[j], j))[:6]
+        assert [k for _, k in sorted(got[i])] == exp
