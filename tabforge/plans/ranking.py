@@ -101,13 +101,17 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
         if not open_t:
             break
         # Verify-and-read pass for targets whose (proposed or verified) bracket is provably small.
-        ready = []
+        # ``max_collect`` bounds the (value, count) pairs read back per pass, summed over all targets.
+        ready, budget = [], 0
         for t in open_t:
             size = state[t][3]
-            if size <= max_collect:
-                ready.append((t, state[t][0], state[t][1]))
-            elif t in proposal and 2 * delta * size + 2 <= max_collect:
-                ready.append((t, *proposal[t]))
+            if t in proposal:
+                est, lo_hi = 2 * delta * size + 2, proposal[t]
+            else:
+                est, lo_hi = size, (state[t][0], state[t][1])
+            if budget + est <= max_collect:
+                ready.append((t, *lo_hi))
+                budget += est
         if ready:
             cnt_aggs = [F.count_if(valid[c] & (xs[c] < F.lit(lo))).alias(f"u{i}") if lo is not None
                         else F.lit(0).alias(f"u{i}") for i, ((c, r), lo, hi) in enumerate(ready)]
