@@ -56,19 +56,29 @@ def normalize(df: DataFrame, parents: list[str]) -> dict[str, DataFrame]:
 def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None = None,
         categorical: list[str] = (), boolean: list[str] = (), numeric_primitives=NUMERIC_PRIMITIVES,
         categorical_primitives=CATEGORICAL_PRIMITIVES, boolean_primitives=BOOLEAN_PRIMITIVES,
-        max_features: int | None = None, max_parent_rows: int = 200_000) -> DataFrame:
+        max_features: int | None = None, max_parent_rows: int = 200_000,
+        max_mode_values: int = 10_000) -> DataFrame:
     """Depth-1 deep feature synthesis; returns key + base columns + parent features."""
     numeric = [c for c in (numeric if numeric is not None else numeric_columns(df)) if c != key]
     out = df
     n_feat = 0
+    # mode() keeps a map of the child's values per group: used in one pass only when a bounded count shows the
+    # child has at most ``max_mode_values`` distinct values; otherwise the two-level form below.
+    few_values = {c: df.select(c).distinct().limit(max_mode_values + 1).count() <= max_mode_values
+                  for c in categorical} if "mode" in categorical_primitives else {}
     for p in parents:
         aggs = [F.count(F.lit(1)).alias(feature_name(p, "count", "rows"))]
         for c in numeric:
             if c != p:
                 aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in numeric_primitives]
+        modes = []
         for c in categorical:
             if c != p:
-                aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in categorical_primitives]
+                two_level = "mode" in categorical_primitives and not few_values[c]
+                aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in categorical_primitives
+                         if not (pr == "mode" and two_level)]
+                if two_level:
+                    modes.append(c)
         for c in boolean:
             if c != p:
                 aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in boolean_primitives]
@@ -78,6 +88,12 @@ def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None =
                 break
         n_feat += len(aggs)
         g = df.groupBy(p).agg(*aggs)
+        for c in modes:
+            # Most frequent value, ties to the smallest: count per (parent, value), then a constant-size
+            # min_by over (−count, value) per parent — no per-group value map.
+            m = (df.where(F.col(c).isNotNull()).groupBy(p, c).agg(F.count(F.lit(1)).alias("_k"))
+                   .groupBy(p).agg(F.min_by(c, F.struct(-F.col("_k"), F.col(c))).alias(feature_name(p, "mode", c))))
+            g = g.join(m, on=p, how="left")
         # One row per parent value: broadcast when the checked size allows, so base rows are not shuffled.
         out = out.join(checked_broadcast(g, max_parent_rows), on=p, how="left")
     return out

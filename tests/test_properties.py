@@ -151,3 +151,21 @@ def test_knn_many_rounds_with_checkpoints(spark):
         dist = np.sqrt(((d - x) ** 2).sum(1))
         exp = sorted(range(len(d)), key=lambda j: (dist[j], j))[:6]
         assert [k for _, k in sorted(got[i])] == exp
+
+
+def test_dfs_mode_paths_agree(spark):
+    from tabforge.operators.features import dfs
+    rng = random.Random(13)
+    rows = [(i, rng.choice("xyz"), rng.choice(["a", "b", "c", "d"]), float(rng.randint(0, 9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, p string, c string, v double")
+    a = dfs(df, "k", ["p"], numeric=["v"], categorical=["c"])
+    b = dfs(df, "k", ["p"], numeric=["v"], categorical=["c"], max_mode_values=2)
+    pick = lambda d: sorted((r["p"], r["p__mode__c"], r["p__num_unique__c"]) for r in d.select("p", "p__mode__c", "p__num_unique__c").distinct().collect())
+    assert pick(a) == pick(b)
+    for p in "xyz":
+        counts = {}
+        for _, pp, c, _ in rows:
+            if pp == p:
+                counts[c] = counts.get(c, 0) + 1
+        best = min(counts, key=lambda c: (-counts[c], c))
+        assert dict((x[0], x[1]) for x in pick(a))[p] == best
