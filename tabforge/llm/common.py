@@ -33,10 +33,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a settled table if its counted rows fit ``limit``; otherwise leave the join to a shuffle."""
-    most = max(1, limit // row_bytes)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, row_bytes: int, items: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a settled table if its counted rows fit ``limit``; otherwise leave the join to a shuffle.
+
+    ``items`` counts 8-byte array items of a row beyond ``row_bytes``.
+    """
+    held = df.agg((F.count("*") * row_bytes + 8 * F.coalesce(F.sum(items if items is not None else F.lit(0)), F.lit(0))).alias("b"))
+    return F.broadcast(df) if held.first()["b"] <= limit else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -60,8 +60,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         F.count(F.when(first & (F.col("len") == (max(lengths) if lengths else window)), 1)).alias("copies"),
         F.collect_set(F.when(F.col("hit"), F.struct((F.col("pos") + 1).alias("pos"), "len"))).alias("starts")))
 
-    hits = state.where(F.size("starts") > 0).select("doc_id", "th", "starts")
-    near = docs.join(small(settle(hits), 512), all_equal(docs, hits, "doc_id", "th"), "left_semi").distinct()
+    hits = settle(state.where(F.size("starts") > 0).select("doc_id", "th", "starts"))
+    near = docs.join(small(hits, 64), all_equal(docs, hits, "doc_id", "th"), "left_semi").distinct()
     spots = near.join(hits, all_equal(near, hits, "doc_id", "th")).select(
         near["doc_id"], near["th"], words(ascii_lower(F.col("text"))).alias("w"), "starts")
     spots = spots.select("doc_id", "th", F.explode_outer(F.transform("starts", lambda s: F.struct(

@@ -85,7 +85,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batche
                    .groupBy(F.col("id").alias("_id"), F.col("th").alias("_th"))
                    .agg(F.collect_set("pos").alias("_drops")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(small(drops, 64), (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id"))
+    joined = docs.join(small(drops, 64, F.size("_drops")), (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id"))
                        & (F.xxhash64(text) == F.col("_th")), "left")
     lines = joined.withColumn("_lines", F.when(F.col("_drops").isNotNull(), _lines(text)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))

@@ -96,3 +96,26 @@ def op6_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return score(docs.select("doc_id", "text"), train(docs, load(spark, sf_dir, "labels"))).select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op3_token_count(spark, sf_dir):
+    """Flat token files of ``documents``, counted; a file holds the rows of one partition of the scan in order."""
+    import uuid
+
+    from tabforge.llm.token_count import count_tokens, write_token_files
+    from tabforge.session import ensure_checkpoint_dir
+    docs = load(spark, sf_dir, "documents")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4()}"
+    write_token_files(docs, tokenizer_path(), path)
+    row = F.monotonically_increasing_id()
+    ids = docs.select("doc_id", F.shiftright(row, 33).alias("file_no"), row.bitwiseAND((1 << 33) - 1).alias("doc_no"))
+    counts = count_tokens(spark, path)
+    return counts.withColumn("file_no", F.regexp_extract("path", r"part-(\d+)", 1).cast("long")).join(
+        ids, ["file_no", "doc_no"]).select("doc_id", "file_no", "doc_no", "first_token", "n_tokens")
+
+
+@query()
+def op4_pseudonyms(spark, sf_dir):
+    from tabforge.llm.pii import pseudonymise
+    return pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), "pseudonym-key-1")
