@@ -119,3 +119,9 @@ def op3_token_count(spark, sf_dir):
 def op4_pseudonyms(spark, sf_dir):
     from tabforge.llm.pii import pseudonymise
     return pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), "pseudonym-key-1")
+
+
+@query()
+def op2_suffix_dedup(spark, sf_dir):
+    from tabforge.llm.suffix_dedup import remove_repeats
+    return remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
