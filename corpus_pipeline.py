@@ -23,7 +23,8 @@ from tabforge.session import ensure_checkpoint_dir
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_hash", F.xxhash64("text"))
+    """Rows are told apart by id and text, as ids may be null or repeated."""
+    return docs.withColumn("__id", F.col("doc_id")).withColumn("__hash", F.xxhash64("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +45,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = settle(simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                  .groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
     keep = settle(own.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("k"))
-                  .select("k.doc_id", "k.text_hash", (F.col("k.n") > 1).alias("again")))
+                  .select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), (F.col("k.n") > 1).alias("__again")))
     hashed = _hashed(docs)
-    stay = hashed.join(small(keep, 40), all_equal(hashed, keep, "doc_id", "text_hash")).select(*[hashed[c] for c in hashed.columns], "again")
-    if keep.where("again").limit(1).count():  # equal rows of one id: all but one go
-        stay = stay.where("not again").unionByName(stay.where("again").dropDuplicates(["doc_id", "text_hash"]))
+    stay = hashed.join(keep, all_equal(hashed, keep, "__id", "__hash")).select(*[hashed[c] for c in hashed.columns], "__again")
+    if keep.where("__again").limit(1).count():  # equal rows of one id: all but one go
+        stay = stay.where("not __again").unionByName(stay.where("__again").dropDuplicates(["__id", "__hash"]))
     return stay.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    bad = settle(contaminated(docs, load(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct())
+    bad = settle(contaminated(docs, load(spark, sf_dir, "benchmark")).where("contaminated")
+                 .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     hashed = _hashed(docs)
-    return hashed.join(small(bad, 40), all_equal(hashed, bad, "doc_id", "text_hash"), "left_anti").select(*docs.columns)
+    return hashed.join(small(bad, 40), all_equal(hashed, bad, "__id", "__hash"), "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import BLANKS, ascii_lower, settle, small
+from tabforge.llm.common import BLANKS, ascii_lower, settle
 
 NO_ID = -(1 << 63)
 
@@ -75,23 +75,24 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batche
     ``min_chars`` code points that stands in at least ``min_docs`` documents loses all its lines except in
     the largest ``doc_id`` holding it. Documents are told apart by ``doc_id``: rows that repeat one count as
     one holder, and each loses or keeps its own lines. A null id counts as one document below all others.
-    A null or empty text is one empty line; its kept text is empty. An empty table gives an empty result.
+    Columns of ``docs`` with the names of the new ones are replaced. A null or empty text is one empty line; its kept text is empty. An empty table gives an empty result.
     """
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     own = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"),
                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
     digests = settle(line_digests(own, min_chars))
     repeated = build_runs(digests, min_docs, n_batches, fan_in)
     drops = settle(digests.join(repeated, ["h1", "h2"]).where(F.col("id") != F.col("keep"))
-                   .groupBy(F.col("id").alias("_id"), F.col("th").alias("_th"))
-                   .agg(F.collect_set("pos").alias("_drops")))
+                   .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th"))
+                   .agg(F.collect_set("pos").alias("__drops")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(small(drops, 64, F.size("_drops")), (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id"))
-                       & (F.xxhash64(text) == F.col("_th")), "left")
-    lines = joined.withColumn("_lines", F.when(F.col("_drops").isNotNull(), _lines(text)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
-    kept = F.when(F.col("_drops").isNull(), text).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    joined = docs.join(drops, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("__id"))
+                       & (F.xxhash64(text) == F.col("__th")), "left")
+    lines = joined.withColumn("__lines", F.when(F.col("__drops").isNotNull(), _lines(text)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drops"))
+    kept = F.when(F.col("__drops").isNull(), text).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
     return lines.select(
         *[docs[c] for c in docs.columns],
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
