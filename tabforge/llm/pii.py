@@ -150,12 +150,13 @@ REWRITE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _pho
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """All columns of ``docs`` with ``text`` rewritten, plus ``n_found`` (values replaced) and ``kinds`` (comma-joined).
+    """All columns of ``docs`` with ``text`` rewritten, plus ``n_found`` (values replaced) and ``kinds`` (comma-joined; both replace such columns).
 
     Numbers and dates that fail validation (Luhn, ranges, calendar) stay as they are, as do secrets and names. A null
     text stays null with nothing found; an empty one stays empty. Rows are independent: repeated rows give repeated
     results, an empty table an empty one. The whole text is searched, whatever its length.
     """
+    docs = docs.drop("n_found", "kinds")
     every = "|".join(PATTERNS.values())
     secret = F.lit(key)
 
@@ -167,10 +168,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         return F.transform(F.array(out), lambda o: F.struct(
             F.coalesce(o, m).alias("new"), F.when(o.isNotNull(), kind).alias("kind")))[0]
     maybe = F.col("text").rlike("[0-9@]")
-    marked = docs.withColumn("_found", F.when(maybe, F.transform(F.regexp_extract_all("text", F.lit(every), 0), rewrite)))
-    kinds = F.filter(F.col("_found.kind"), lambda k: k.isNotNull())
-    text = F.when(F.size("_found") > 0, F.array_join(F.zip_with(
-        F.split("text", every, -1), F.concat(F.col("_found.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    marked = docs.withColumn("__found", F.when(maybe, F.transform(F.regexp_extract_all("text", F.lit(every), 0), rewrite)))
+    kinds = F.filter(F.col("__found.kind"), lambda k: k.isNotNull())
+    text = F.when(F.size("__found") > 0, F.array_join(F.zip_with(
+        F.split("text", every, -1), F.concat(F.col("__found.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     ).otherwise(F.col("text"))
     return marked.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],

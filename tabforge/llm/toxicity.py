@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` plus ``score, predicted``; whole texts, a null or empty one gets the bias alone."""
+    """All columns of ``docs`` plus ``score, predicted`` (replacing such columns); whole texts, null or empty get the bias alone."""
+    docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast((model.terms, model.bias, model.weights, model.vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7)
         number = {int(t): i for i, t in enumerate(fm.terms.view(np.uint64))}
         for b in batches:
             lists = []
-            for t in b.column(b.schema.get_field_index("_text")).to_pylist():
+            for t in b.column(b.schema.get_field_index("__text")).to_pylist():
                 own = set(TERM.findall((t or "")))
                 if len(known) > KNOWN_WORDS:
                     known = {}
@@ -141,8 +142,8 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7)
                 ids.discard(-1)
                 lists.append(np.fromiter(sorted(ids), np.int64, len(ids)))
             p = sigmoid(fm.raw(np.concatenate(lists) if lists else np.zeros(0, np.int64), np.array([len(x) for x in lists], np.int64)))
-            rest = b.select([c for c in b.schema.names if c != "_text"])
+            rest = b.select([c for c in b.schema.names if c != "__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(p)], [*rest.schema.names, "score"])
     out = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return (docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, out)
+    return (docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, out)
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
