@@ -130,22 +130,31 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(PIECE + length)
         for b in batches:
-            for i, t, o in zip(*b.columns):
-                data, (lo, hi) = _bytes(t), _starts(np.sort(_list(o)))
-                size = hi - lo + 1
-                starts = np.unique(np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()))
+            for i, t, o in zip(b.column("id"), b.column("text"), b.column("open")):
+                data, places = _bytes(t), np.sort(_list(o))
+                lo, hi = _starts(places)
                 for at, to in _pieces(len(data), length):
-                    s = starts[(starts >= at) & (starts < at + PIECE)] - at
-                    if len(s):
-                        h = [roller.hashes(roller.sums(data[at:to], k), k, s, s + length).view(np.int64) for k in (0, 1)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, h), pa.array(np.full(len(s), i.as_py())), pa.array(s + at)],
-                                                         ["h0", "h1", "id", "start"])
-    opened = own.join(ranked.where(F.size("open") > 0), "id").select("id", "text", "open")
-    seen = Window.partitionBy("h0", "h1").orderBy("id", "start")
-    late = (opened.mapInArrow(windows, "h0 long, h1 long, id long, start long")
-            .withColumn("rank", F.dense_rank().over(seen)).where("rank > 1")
+                    mine = (lo >= at) & (lo < at + PIECE)
+                    if not mine.any():
+                        continue
+                    first, size, pos = lo[mine] - at, hi[mine] - lo[mine] + 1, (places[mine] >> 16) - at
+                    ends = np.cumsum(size)
+                    starts = np.repeat(first - ends + size, size) + np.arange(ends[-1])
+                    grams = roller.hashes(roller.sums(data[at:to], 0), 0, pos, pos + GRAM)
+                    full = roller.hashes(roller.sums(data[at:to], 1), 1, starts, starts + length)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(full.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(grams.view(np.int64)), pa.array(np.full(len(first), i.as_py())), pa.array(first + at), pa.array(pos - first), lists],
+                        ["gram", "id", "first", "back", "full"])
+    # Equal windows have the same place in them, so they meet by the place's first rank. This side of the join and the
+    # last one read the same shuffled documents.
+    opened = own.join(ranked.where(F.size("open") > 0), "id").select("id", "doc_id", "text", "open")
+    late = (opened.mapInArrow(windows, "gram long, id long, first long, back long, full array<long>").repartition("gram")
+            .select("gram", "id", "first", "back", F.posexplode_outer("full").alias("k", "h"))
+            .select("gram", "id", (F.col("back") - F.col("k")).alias("back"), (F.col("first") + F.col("k")).alias("start"), "h")
+            .withColumn("rank", F.dense_rank().over(Window.partitionBy("gram", "back", "h").orderBy("id", "start"))).where("rank > 1")
             .groupBy("id").agg(F.collect_set("start").alias("late")))
-    marks = settle(ranked.select("id", "again").join(late, "id", "left"))
+    marks = ranked.select("id", "again").join(late, "id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
