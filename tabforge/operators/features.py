@@ -127,23 +127,26 @@ def keep_nonnegative(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*[c for c in cols if c not in keep])
 
 
-def select_from_model(df: DataFrame, cols: list[str], y: str, model: str = "linear_svm", reg: float = 0.01,
-                      threshold: str | float = "mean", seed: int = 0) -> DataFrame:
+def select_from_model(df: DataFrame, cols: list[str], y: str, model: str = "linear_svm", C: float = 0.01,
+                      threshold: str | float = "mean", seed: int = 0, step_size: float = 0.01, num_trees: int = 50) -> DataFrame:
     """Keep features whose |weight| (linear SVM) or importance (boosted trees / forest) exceeds
-    the mean (or a given threshold). Returns (feature, weight, keep)."""
+    the mean (or a given threshold). Returns (feature, weight, keep). The SVM's loss is averaged over rows, so
+    ``C`` becomes regParam = 1 / (C * rows); ``step_size`` is the boosting rate."""
     from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     data = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep").transform(
         df.select(*cols, F.col(y).cast("double").alias("_y")))
     if model == "linear_svm":
-        m = LinearSVC(featuresCol="_x", labelCol="_y", regParam=reg).fit(data)
+        m = LinearSVC(featuresCol="_x", labelCol="_y", regParam=1.0 / (C * max(1, data.count()))).fit(data)
         w = [abs(float(v)) for v in m.coefficients]
     elif model == "boosted_trees":
-        m = GBTClassifier(featuresCol="_x", labelCol="_y", stepSize=0.1, maxIter=20, seed=seed).fit(data)
+        m = GBTClassifier(featuresCol="_x", labelCol="_y", stepSize=step_size, maxIter=num_trees, seed=seed).fit(data)
         w = [float(v) for v in m.featureImportances.toArray()]
-    else:
-        m = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=50, seed=seed).fit(data)
+    elif model == "forest":
+        m = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=num_trees, seed=seed).fit(data)
         w = [float(v) for v in m.featureImportances.toArray()]
+    else:
+        raise ValueError(f"unknown model {model!r}: linear_svm, boosted_trees or forest")
     thr = sum(w) / len(w) if threshold == "mean" else float(threshold)
     spark = df.sparkSession
     return spark.createDataFrame([(c, wi, wi > thr) for c, wi in zip(cols, w)], "feature string, weight double, keep boolean")

@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.operators.neighbors import knn
@@ -91,12 +91,15 @@ class RandomFourierFeatures(Transformer):
         return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(F.array(*comps)))
 
 
-def rbf_svm(cols: list[str], gamma: float = 0.1, C: float = 1.0, n_components: int = 50, seed: int = 0,
+def rbf_svm(cols: list[str], n_rows: int, gamma: float = 0.1, C: float = 1.0, n_components: int = 50, seed: int = 0,
             label: str = "label") -> Pipeline:
-    """RBF-kernel SVM approximated by random Fourier features + linear SVM (regParam = 1/C)."""
+    """RBF-kernel SVM approximated by random Fourier features + linear SVM.
+
+    The loss is averaged over the ``n_rows`` training rows, so C becomes regParam = 1 / (C * n_rows).
+    """
     return Pipeline(stages=[RandomFourierFeatures(inputCols=cols, outputCol="features", gamma=gamma,
                                                   nComponents=n_components, seed=seed),
-                            LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / C)])
+                            LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (C * n_rows))])
 
 
 def assembled(est, cols: list[str], label: str = "label") -> Pipeline:
@@ -165,11 +168,12 @@ def knn_classify(train: DataFrame, test: DataFrame, cols: list[str], y: str, key
     """(key, prediction, p1): vote of the k nearest training rows (ties by key); p=1 Manhattan, 2 Euclidean."""
     metric = "manhattan" if p == 1 else "euclidean"
     nb = knn(test, train.withColumnRenamed(key, "_dkey"), cols, k, key, "_dkey", y, metric=metric)
-    w = F.lit(1.0) if weights == "uniform" else 1.0 / F.greatest(F.col("dist"), F.lit(1e-12))
+    w = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(0.0)
+    tally = nb.groupBy(key, y).agg(F.sum(w).alias("_w"), F.sum((F.col("dist") == 0).cast("double")).alias("_exact"))
     if weights != "uniform":
-        # an exact match takes all the weight (sklearn rule)
-        w = F.when(F.col("dist") == 0, F.lit(1e12)).otherwise(w)
-    tally = nb.groupBy(key, y).agg(F.sum(w).alias("_w"))
+        # exact matches, if there are any, take all the weight
+        any_exact = F.max("_exact").over(Window.partitionBy(key)) > 0
+        tally = tally.withColumn("_w", F.when(any_exact, F.col("_exact")).otherwise(F.col("_w")))
     tot = tally.groupBy(key).agg(F.max_by(y, F.struct(F.col("_w"), -F.col(y))).alias("prediction"),
                                  (F.sum(F.when(F.col(y) == 1, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("p1"))
     return tot
@@ -271,7 +275,7 @@ def soft_vote(probs: DataFrame, scores: DataFrame, key: str = "key", model: str
     w = scores.select(model, F.pow(1 + F.col(score) - F.lit(smin), F.lit(power)).alias("_w"))
     j = probs.join(F.broadcast(w), on=model, how="inner")  # one row per model
     g = j.groupBy(key).agg((F.sum(F.col("_w") * F.col(p)) / F.sum("_w")).alias("p"))
-    return g.withColumn("prediction", (F.col("p") >= 0.5).cast("int"))
+    return g.withColumn("prediction", (F.col("p") > 0.5).cast("int"))  # a tie is class 0, as argmax has it
 
 
 def importances(fitted, cols: list[str], model_name: str = "model") -> list[tuple]:

@@ -193,13 +193,13 @@ def rfe(df: DataFrame, cols: list[str], y: str, step: float = 0.1, keep: int = 1
     from pyspark.ml.feature import VectorAssembler
     base = df.select(*cols, F.col(y).cast("double").alias("_y")).persist()
     alive, ranking, rank = list(cols), {}, None
+    share = max(1, int(step * len(cols)) if step < 1 else int(step))  # of the features at the start
     elim_rounds = []
     while len(alive) > keep:
         data = VectorAssembler(inputCols=alive, outputCol="_x", handleInvalid="keep").transform(base)
         m = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=num_trees, seed=seed).fit(data)
         imp = list(m.featureImportances.toArray())
-        n_drop = max(1, int(step * len(alive)) if step < 1 else int(step))
-        n_drop = min(n_drop, len(alive) - keep)
+        n_drop = min(share, len(alive) - keep)
         order = sorted(range(len(alive)), key=lambda i: (imp[i], alive[i]))
         gone = [alive[i] for i in order[:n_drop]]
         elim_rounds.append(gone)

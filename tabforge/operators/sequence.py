@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.plans.ranking import exact_row_number
+from tabforge.plans.ranking import exact_row_number, null_safe_join
 
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 _COMBINE = {"min": lambda a, b: F.least(a, b), "max": lambda a, b: F.greatest(a, b),
@@ -83,7 +83,7 @@ def running_agg(df: DataFrame, series: str, pos: str, value: str, op: str, out:
     blocks = d.groupBy(series, blk).agg(f(value).alias(bv))
     prefix = running_agg(blocks, series, blk, bv, op, bp, block, _lvl + 1)
     prev = prefix.select(series, (F.col(blk) + 1).alias(blk), bp)
-    d = d.join(prev, on=[series, blk], how="left")
+    d = null_safe_join(d, prev, [series, blk], "left")
     res = F.when(F.col(bp).isNull(), F.col(loc)).otherwise(_COMBINE[op](F.col(loc), F.col(bp)))
     return d.withColumn(out, res).drop(blk, loc, bp)
 
@@ -113,7 +113,7 @@ def ewm(df: DataFrame, series: str, order_by: list, value: str, f: float = 0.05,
     tot = d.groupBy(series, "_b").agg(F.sum(c * x * F.exp(F.lit(la) * (F.lit(B - 1) - F.col("_o")))).alias("_T"))
     p1 = tot.select(series, (F.col("_b") + 1).alias("_b"), F.col("_T").alias("_T1"))
     p2 = tot.select(series, (F.col("_b") + 2).alias("_b"), F.col("_T").alias("_T2"))
-    d = d.join(p1, [series, "_b"], "left").join(p2, [series, "_b"], "left")
+    d = null_safe_join(null_safe_join(d, p1, [series, "_b"], "left"), p2, [series, "_b"], "left")
     carry = F.coalesce(F.col("_T1"), F.lit(0.0)) + F.lit(a ** B) * F.coalesce(F.col("_T2"), F.lit(0.0))
     d = d.withColumn(out, F.col("_L") + F.exp(F.lit(la) * (F.col("_o") + 1)) * carry)
     return d.drop("_b", "_o", "_L", "_T1", "_T2").withColumnRenamed("_t", "t")
@@ -124,7 +124,7 @@ def diverge_cut(df: DataFrame, series: str, order_by: list, value: str, factor:
     d = series_position(df, series, order_by, name="t")
     d = running_agg(d, series, "t", value, "min", "best")
     stop = d.where(F.col(value) > F.lit(factor) * F.col("best")).groupBy(series).agg(F.min("t").alias("_stop"))
-    d = d.join(stop, on=series, how="left")
+    d = null_safe_join(d, stop, [series], "left")
     return d.where(F.col("_stop").isNull() | (F.col("t") <= F.col("_stop"))).drop("_stop")
 
 
@@ -132,13 +132,13 @@ def trim(df: DataFrame, series: str, order_by: list, head: int = 10, tail: int =
     """H5: drop the first ``head`` and last ``tail`` rows of each series."""
     d = series_position(df, series, order_by, name="t")
     n = d.groupBy(series).agg(F.max("t").alias("_n"))
-    d = d.join(n, on=series, how="inner")
+    d = null_safe_join(d, n, [series])
     return d.where((F.col("t") > head) & (F.col("t") <= F.col("_n") - tail)).drop("_n")
 
 
-def best_run(df: DataFrame, run: str, step: str, loss: str, extra: list[str] = ()) -> DataFrame:
-    """H7: the run with the lowest final loss (ties: lowest run id), with its final extras."""
-    last = df.groupBy(run).agg(F.max_by(F.struct(loss, *extra), F.struct(step)).alias("_last"))
+def best_run(df: DataFrame, run: str, step: str, loss: str, extra: list[str] = (), tie: list[str] = ()) -> DataFrame:
+    """H7: the run with the lowest final loss (ties: lowest run id), with its final extras; ``tie`` orders equal steps."""
+    last = df.groupBy(run).agg(F.max_by(F.struct(loss, *extra), F.struct(step, *tie)).alias("_last"))
     last = last.select(run, "_last.*")
     # Top-1 is planned as TakeOrderedAndProject: each task keeps its best row, the driver merges.
     return last.orderBy(F.asc(loss), F.asc(run)).limit(1)

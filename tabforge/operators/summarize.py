@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.plans.ranking import null_safe_join
+
 
 
 def _c(x) -> Column:
@@ -137,7 +139,7 @@ def kde(df: DataFrame, c: str, grid: list[float] | None = None, points: int = 50
     distinct = base.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("k"))
     if keys:
         st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("x").alias("_sd"))
-        j = distinct.join(st, on=keys, how="inner")
+        j = null_safe_join(distinct, st, keys)
     else:
         n, sd = base.agg(F.count(F.lit(1)), F.stddev_samp("x")).first()
         j = distinct.withColumn("_n", F.lit(n)).withColumn("_sd", F.lit(sd))

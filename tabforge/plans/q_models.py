@@ -49,8 +49,9 @@ def random_search_logreg_orders(spark, sf):
 
 @register("pipeline_search_orders")
 def pipeline_search_orders(spark, sf):
+    n = order_data(spark, sf).count()
     cands = {"tree": lambda c: L.tree(maxDepth=3, seed=0), "logreg": lambda c: L.logreg(maxIter=10),
-             "rbf_svm": lambda c: L.rbf_svm(c, gamma=0.5, C=1.0, n_components=20, seed=0)}
+             "rbf_svm": lambda c: L.rbf_svm(c, n, gamma=0.5, C=1.0, n_components=20, seed=0)}
     return L.pipeline_search(order_data(spark, sf), cands, FEATS, "label", "fold", n=4, seed=1, patience=2)
 
 
@@ -66,7 +67,7 @@ def adaboost_orders(spark, sf):
 def rbf_svm_mlp_orders(spark, sf):
     d = L.with_label(order_data(spark, sf), "label")
     out = []
-    for name, est in [("rbf_svm", L.rbf_svm(FEATS, gamma=0.5, C=1.0, n_components=20)),
+    for name, est in [("rbf_svm", L.rbf_svm(FEATS, d.count(), gamma=0.5, C=1.0, n_components=20)),
                       ("mlp", L.assembled(L.mlp([len(FEATS), 5, 2], maxIter=30, seed=0), FEATS))]:
         m = est.fit(d)
         acc = V.accuracy(m.transform(d), "label", "prediction").select(F.lit(name).alias("model"), "accuracy")
@@ -217,7 +218,7 @@ WITH d AS {LABELLED_ORDERS_SQL},
      s AS (SELECT model, avg(CAST((p >= 0.5) = (label = 1) AS DOUBLE)) AS score FROM p JOIN d ON p.key = d.o_orderkey
            GROUP BY model),
      w AS (SELECT model, pow(1 + score - (SELECT min(score) FROM s), 10) AS w FROM s)
-SELECT key, round(sum(w * p) / sum(w), 4) AS p, CAST(sum(w * p) / sum(w) >= 0.5 AS INTEGER) AS prediction
+SELECT key, round(sum(w * p) / sum(w), 4) AS p, CAST(sum(w * p) / sum(w) > 0.5 AS INTEGER) AS prediction
 FROM p JOIN w USING (model) GROUP BY key""")
 def soft_vote_orders(spark, sf):
     d = labelled_orders(spark, sf)

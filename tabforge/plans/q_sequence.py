@@ -88,10 +88,31 @@ def trim_events(spark, sf):
     return H.trim(events(spark, sf), "user_id", ["ts", "event_id"], 10, 5).select("user_id", "event_id", "t")
 
 
+# A third of the events without user: NULL is a series of its own.
+NULL_USER_SQL = """(SELECT *, row_number() OVER (PARTITION BY u ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY u) AS n
+FROM (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS u, event_id, ts, value FROM events))"""
+
+
+def null_user_events(spark, sf):
+    return events(spark, sf).withColumn("u", F.when(F.col("event_id") % 3 != 0, F.col("user_id")))
+
+
+@register("trim_events_null_user", f"SELECT u, event_id, t FROM {NULL_USER_SQL} WHERE t > 3 AND t <= n - 2")
+def trim_events_null_user(spark, sf):
+    return H.trim(null_user_events(spark, sf), "u", ["ts", "event_id"], 3, 2).select("u", "event_id", "t")
+
+
+@register("running_min_null_user", f"""
+SELECT u, event_id, t, min(value) OVER (PARTITION BY u ORDER BY t ROWS UNBOUNDED PRECEDING) AS best FROM {NULL_USER_SQL}""")
+def running_min_null_user(spark, sf):
+    d = H.series_position(null_user_events(spark, sf), "u", ["ts", "event_id"], name="t")
+    return H.running_agg(d, "u", "t", "value", "min", "best", block=8).select("u", "event_id", "t", "best")
+
+
 @register("best_run_events", """
 WITH last AS (SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_type, (ts, event_id)) AS event_type
               FROM events GROUP BY user_id)
 SELECT user_id, value, event_type FROM last ORDER BY value, user_id LIMIT 1""")
 def best_run_events(spark, sf):
     e = events(spark, sf)
-    return H.best_run(e, "user_id", "ts", "value", extra=["event_type"]).select("user_id", "value", "event_type")
+    return H.best_run(e, "user_id", "ts", "value", extra=["event_type"], tie=["event_id"]).select("user_id", "value", "event_type")

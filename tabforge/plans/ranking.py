@@ -23,6 +23,14 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on equally named columns in which NULL meets NULL; the left side's columns stay."""
+    tmp = {c: f"_{i}_on_{c}" for i, c in enumerate(on)}
+    right = right.withColumnsRenamed(tmp)
+    cond = [left[c].eqNullSafe(right[t]) for c, t in tmp.items()]
+    return left.join(right, cond, how).drop(*tmp.values())
+
+
 def exact_row_number(df: DataFrame, order_by, partition_by=(), name: str = "rn",
                      num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = row_number() over (partition by P order by O), 1-based.
@@ -46,7 +54,7 @@ def exact_row_number(df: DataFrame, order_by, partition_by=(), name: str = "rn",
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # Without group columns the stats table has one row per range partition.
     stats = F.broadcast(stats) if not part else stats
-    out = tagged.join(stats.drop("_n"), on=["_pid", *part], how="inner")
+    out = null_safe_join(tagged, stats.drop("_n"), ["_pid", *part])
     out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
     return out.drop("_pid", "_mid", "_first", "_off")
 

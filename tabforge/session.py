@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,6 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = os.environ.get("TABFORGE_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tabforge-ckpt-")
+        conf_dir = os.environ.get("TABFORGE_CHECKPOINT_DIR")
+    if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # executors would each write to their own disk
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tabforge-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession, name: str = "io") -> str:
 
 # A1 -------------------------------------------------------------------------
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
-               encoding: str = "US-ASCII", sep: str = ",") -> DataFrame:
+               encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
     """CSV with a header row; explicit schema (no inference pass) unless none is given."""
     r = spark.read.option("header", header).option("encoding", encoding).option("sep", sep)
     if schema is not None:
@@ -74,9 +74,9 @@ def read_dir(spark: SparkSession, directory: str, ext: str = ".csv", schemas: di
 
 
 # A4 -------------------------------------------------------------------------
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header + rows, no index column; one part file per task."""
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> str:
+    """Header + rows, no index column; one part file per task. Encoded as ``read_table`` reads by default."""
+    df.write.mode(mode).option("header", True).option("encoding", encoding).csv(path)
     return path
 
 
