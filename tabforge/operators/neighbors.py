@@ -1,140 +1,144 @@
-"""Exact k-nearest-neighbour search by expanding rings of grid cells (used by I2, I4, L9).
-
-No cross join: rows are collapsed to distinct feature vectors; every vector
-gets a grid cell; a query vector is equi-joined only with donor vectors of the
-cells on the Chebyshev ring ρ = 0, 1, 2, ... around its own cell. A query is
-settled once it holds k neighbours whose k-th distance is within the radius
-the searched rings guarantee (any donor outside ring ρ differs by more than
-ρ·w in some coordinate). Each donor vector keeps only its k lowest-key rows,
-so a value repeated in a third of the table is still one small record.
-Candidate state is checkpointed each round (plans stay small, retries are
-safe); the two collapsed vector tables are kept in the cache.
+"""Exact k-nearest-neighbour search over bounding boxes of donor cells (used by I2, I4, I5, L9).
+
+No cross join and no rounds that grow with the data: donor rows are collapsed to distinct feature
+vectors, every vector goes to the nearest of at most ``MAX_PIVOTS`` sampled donor vectors, and each
+cell's box (least and largest value per feature) is read back. A query vector first searches the cells
+nearest to it that hold k rows, then, in one more pass, every other cell whose box is not farther
+than its k-th distance so far. The bound by boxes holds for any number of features and with NULLs.
+Each donor vector keeps only its k lowest-key rows, so a value repeated in a third of the table is
+one small record. Both sides of every join are settled tables, so hot cells are split at run time.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.session import ensure_checkpoint_dir
 
-
 METRICS = ("mean_sq", "euclidean", "manhattan")
+MAX_PIVOTS = 1024  # cells are at most twice as many: vectors with a NULL have their own
 
 
-def _ring(rho: int, dims: int) -> list[tuple[int, ...]]:
-    if rho == 0:
-        return [tuple([0] * dims)]
-    rng = range(-rho, rho + 1)
-    return [o for o in itertools.product(rng, repeat=dims) if max(abs(x) for x in o) == rho]
+def _sum(terms: list[Column]) -> Column:
+    return sum(terms[1:], terms[0])
 
 
-def _dist(features: list[str], metric: str):
-    diffs = [F.col(f"q_{f}") - F.col(f"d_{f}") for f in features]
-    if metric == "manhattan":
-        return sum((F.abs(x) for x in diffs[1:]), F.abs(diffs[0]))
-    sq = sum((x * x for x in diffs[1:]), diffs[0] * diffs[0])
-    if metric == "euclidean":
-        return F.sqrt(sq)
-    return sq / F.lit(float(len(features)))
+def _total(diffs: list[Column], metric: str) -> Column:
+    """Sum of absolute or squared differences; a NULL difference adds nothing."""
+    return _sum([F.coalesce(F.abs(x) if metric == "manhattan" else x * x, F.lit(0.0)) for x in diffs])
 
 
-def _bound(rho: int, wmin: float, dims: int, metric: str) -> float:
-    r = rho * wmin
+def _scaled(total: Column, shared: Column, dims: int, metric: str) -> Column:
+    """Distance from the sum over ``shared`` features; NULL if there are none."""
+    shared = F.when(shared > 0, shared)
     if metric == "mean_sq":
-        return r * r / dims
-    return r
+        return total / shared
+    whole = total * (F.lit(float(dims)) / shared)
+    return F.sqrt(whole) if metric == "euclidean" else whole
+
+
+def _distance(a: Column, b: Column, dims: int, metric: str) -> Column:
+    diffs = [a[i] - b[i] for i in range(dims)]
+    return _scaled(_total(diffs, metric), _sum([F.when(x.isNotNull(), 1.0).otherwise(0.0) for x in diffs]), dims, metric)
+
+
+def _sql(v) -> str:
+    if v is None:
+        return "cast(null as double)"
+    return f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)}')"
+
+
+def _sql_array(values) -> str:
+    return f"array({', '.join(map(_sql, values))})"
+
+
+def _settle(df: DataFrame) -> DataFrame:
+    return df.checkpoint(eager=True)
+
+
+def _cell_bounds(cells: Column, x: Column, dims: int, metric: str) -> Column:
+    """``lb, mid, id, n`` of every cell that shares a feature with ``x``: no vector in it is nearer than ``lb``.
+
+    A feature that is NULL in some vectors of the cell counts in the divisor but adds nothing to the sum.
+    """
+    def one(c):
+        gaps = [F.greatest(c["lo"][i] - x[i], x[i] - c["hi"][i], F.lit(0.0)) for i in range(dims)]
+        known = [x[i].isNotNull() & c["lo"][i].isNotNull() for i in range(dims)]
+        shared = _sum([F.when(s, 1.0).otherwise(0.0) for s in known])
+        sure = [F.when(s & ~c["holes"][i], g) for i, (s, g) in enumerate(zip(known, gaps))]
+        mids = [(c["lo"][i] + c["hi"][i]) / 2 - x[i] for i in range(dims)]
+        return F.struct(_scaled(_total(sure, metric), shared, dims, metric).alias("lb"),
+                        _scaled(_total(mids, metric), shared, dims, metric).alias("mid"), c["id"].alias("id"), c["n"].alias("n"))
+    return F.filter(F.transform(cells, one), lambda c: c["lb"].isNotNull())
 
 
 def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey: str, dkey: str,
-        dval: str, metric: str = "mean_sq", cells_per_dim: int | None = None,
-        max_offsets: int = 20000) -> DataFrame:
+        dval: str, metric: str = "mean_sq", cells_per_dim: int | None = None) -> DataFrame:
     """Rows (qkey, dkey, dval, dist, rank) — the k nearest donors of every query row.
 
-    Neighbours are ordered by (distance, donor key). Feature values must be non-null.
+    Neighbours are ordered by (distance, donor key). Features that are NULL (or NaN) on either side are left out:
+    ``mean_sq`` averages over the shared ones, the other metrics are scaled up to all features. A donor that shares
+    no feature is no neighbour; a query may so have fewer than k. ``cells_per_dim`` sets the number of cells (times the
+    number of features) and never changes the result.
     """
     if metric not in METRICS:
         raise ValueError(metric)
-    spark = queries.sparkSession
-    dims = len(features)
-    q = queries.select(qkey, *[F.col(f).cast("double").alias(f) for f in features])
-    d = donors.select(dkey, dval, *[F.col(f).cast("double").alias(f) for f in features])
-
-    both = q.select(*features, F.lit(False).alias("_donor")).unionByName(d.select(*features, F.lit(True).alias("_donor")))
-    st = both.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features],
-                  F.count_distinct(F.when(F.col("_donor"), F.struct(*features))).alias("_nvec")).first()
-    n_vec = st["_nvec"]
-    if n_vec == 0:
-        return spark.createDataFrame([], f"{qkey} long, {dkey} long, {dval} double, dist double, rank int")
-    live = [f for f in features if st[f"hi_{f}"] is not None and st[f"hi_{f}"] > st[f"lo_{f}"]]
-    # One cell width for every live dimension (about 2k donor vectors per cell on average), so the radius a
-    # searched ring guarantees is the same in every direction.
-    ranges = {f: st[f"hi_{f}"] - st[f"lo_{f}"] for f in live}
-    n_cells = max(1.0, n_vec / (2.0 * k))
-    if cells_per_dim:
-        wd = max(ranges.values()) / cells_per_dim if live else 1.0
-    else:
-        wd = (math.prod(ranges.values()) / n_cells) ** (1.0 / len(live)) if live else 1.0
-    G = {f: max(1, math.ceil(ranges[f] / wd)) for f in live}
-    width = {f: wd for f in live}
-    wmin = wd
-    gmax = max(G.values()) if live else 1
-
-    def cells(df, prefix):
-        if not live:  # every feature constant: a single cell
-            return df.withColumn(f"{prefix}c__", F.lit(0))
-        return df.withColumns({f"{prefix}c_{f}": F.least(F.floor((F.col(f"{prefix}{f}") - F.lit(st[f"lo_{f}"]))
-                                                                 / F.lit(width[f])), F.lit(G[f] - 1)).cast("int")
-                               for f in live})
-
-    # Donor vectors: the k lowest-key rows of each distinct vector (partial group limit before the shuffle).
-    wv = Window.partitionBy(*features).orderBy(dkey)
-    dv = (d.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") <= k)
-           .groupBy(*features).agg(F.collect_list(F.struct(F.col(dkey).alias("k"), F.col(dval).alias("v"))).alias("_rows")))
-    # The collapsed vector tables are read by every round: keep them (recomputable) instead of re-deriving them
-    # from the input each time.
-    dv = cells(dv.select(*[F.col(f).alias(f"d_{f}") for f in features], "_rows"), "d_").persist()
-    qv = cells(q.select(*[F.col(f).alias(f"q_{f}") for f in features]).distinct(), "q_").persist()
-    qcols = [f"q_{f}" for f in features]
-
-    cand = None
-    pending = qv
-    rho, prev_rho = 1, -1  # the first round searches rings 0 and 1 together
+    spark, dims = queries.sparkSession, len(features)
     ensure_checkpoint_dir(spark)
-    while True:
-        offs = [o for r in range(prev_rho + 1, rho + 1) for o in _ring(r, len(live))]
-        if len(offs) > max_offsets:
-            raise ValueError("ring too wide; lower the dimensionality or set cells_per_dim")
-        if live:
-            arr = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offs])
-            probe = pending.select(*qcols, *[f"q_c_{f}" for f in live], F.explode(arr).alias("_o"))
-            probe = probe.select(*qcols, *[(F.col(f"q_c_{f}") + F.col("_o")[i]).alias(f"d_c_{f}")
-                                           for i, f in enumerate(live)])
-            inside = F.lit(True)
-            for f in live:
-                inside = inside & F.col(f"d_c_{f}").between(0, G[f] - 1)
-            probe = probe.where(inside)
-            hit = probe.join(dv, on=[f"d_c_{f}" for f in live], how="inner")
-        else:
-            hit = pending.select(*qcols, F.col("q_c__").alias("d_c__")).join(dv, on=["d_c__"], how="inner")
-        hit = hit.select(*qcols, F.explode("_rows").alias("_x"), _dist(features, metric).alias("dist"))
-        hit = hit.select(*qcols, F.col("_x.k").alias(dkey), F.col("_x.v").alias(dval), "dist")
-        cand = hit if cand is None else cand.drop("rank").unionByName(hit)
-        w = Window.partitionBy(*qcols).orderBy("dist", dkey)
-        # Round state is checkpointed to the shared folder: this truncates the plan (each round refers to the
-        # previous state twice, so un-truncated plans would grow exponentially) and survives lost executors.
-        cand = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint(eager=True)
-        if not live or rho >= gmax - 1:  # every cell searched
-            break
-        bound = _bound(rho, wmin, dims, metric)
-        settled = (cand.groupBy(*qcols).agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_kd"))
-                       .where((F.col("_n") >= k) & (F.col("_kd") < F.lit(bound))).select(*qcols))
-        pending = pending.join(settled, on=qcols, how="left_anti").checkpoint(eager=True)
-        if pending.limit(1).count() == 0:
-            break
-        prev_rho, rho = rho, rho + 1
-    out = q.select(qkey, *[F.col(f).alias(f"q_{f}") for f in features]).join(cand, on=qcols, how="inner")
-    return out.select(qkey, dkey, dval, "dist", F.col("rank").cast("int").alias("rank"))
+
+    def vector(f):
+        v = F.col(f).cast("double")
+        return F.when(~F.isnan(v), v)
+    x = F.array(*[vector(f) for f in features])
+    q = queries.select(qkey, x.alias("x"))
+    d = donors.select(F.col(dkey).alias("dk"), F.col(dval).alias("dv"), x.alias("x"))
+
+    n_pivots = min(MAX_PIVOTS, cells_per_dim * dims if cells_per_dim else math.ceil(math.sqrt(d.count() / k)))
+    pivots = [r["x"] for r in d.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, n_pivots)).collect()]
+    if not pivots:
+        return q.select(qkey).join(donors.select(dkey, dval), F.lit(False)).select(
+            qkey, dkey, dval, F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    near = F.array_min(F.transform(F.expr(f"array({', '.join(map(_sql_array, pivots))})"), lambda p, i: F.struct(
+        F.coalesce(_distance(F.col("x"), p, dims, metric), F.lit(float("inf"))).alias("d"), i.alias("i"))))["i"]
+    has_null = F.exists("x", lambda v: v.isNull()).cast("int")
+    lowest = Window.partitionBy("x").orderBy("dk")  # partial group limit before the shuffle
+    dv = _settle(d.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k)
+                 .groupBy("x").agg(F.collect_list(F.struct("dk", "dv")).alias("rows"))
+                 .select(F.col("x").alias("dx"), "rows", (2 * near + has_null).alias("cell")))
+
+    box = [agg for i in range(dims) for agg in (
+        F.min(F.col("dx")[i]).alias(f"lo{i}"), F.max(F.col("dx")[i]).alias(f"hi{i}"),
+        F.max(F.col("dx")[i].isNull()).alias(f"holes{i}"))]
+    boxes = dv.groupBy("cell").agg(F.sum(F.size("rows")).alias("n"), *box).collect()  # at most 2 * MAX_PIVOTS rows
+    cells = F.expr("array(" + ", ".join(
+        f"named_struct('id', {b['cell']}, 'n', {b['n']}L, 'lo', {_sql_array(b[f'lo{i}'] for i in range(dims))}, "
+        f"'hi', {_sql_array(b[f'hi{i}'] for i in range(dims))}, "
+        f"'holes', array({', '.join(str(b[f'holes{i}']).lower() for i in range(dims))}))" for b in boxes) + ")")
+    bounds = _cell_bounds(cells, F.col("x"), dims, metric)
+
+    def search(probe: DataFrame) -> DataFrame:
+        """Distances of every (vector, cell) of ``probe`` to the cell's donor vectors."""
+        return probe.join(dv, "cell").withColumn("dist", _distance(F.col("x"), F.col("dx"), dims, metric)).where(F.col("dist").isNotNull())
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("dist", "dk"))).where(F.col("rank") <= k)
+
+    rows = F.explode("rows").alias("row")
+    # First pass: the nearest cells that together hold k rows.
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("ids"))
+    taken = F.aggregate(F.array_sort(bounds), start, lambda acc, c: F.when(acc["n"] >= k, acc).otherwise(
+        F.struct((acc["n"] + c["n"]).alias("n"), F.concat(acc["ids"], F.array(c["id"])).alias("ids"))))["ids"]
+    qv = _settle(q.select("x").distinct().withColumn("taken", taken))
+    first = _settle(best(search(qv.select("x", F.explode("taken").alias("cell")))
+                         .select("x", "dist", rows).select("x", "dist", "row.*")))
+    # Second pass: all others that may hold a nearer donor.
+    far = first.groupBy("x").agg(F.count("*").alias("got"), F.max("dist").alias("kth"))
+    left = _settle(qv.join(far, "x", "left").select("x", F.when(F.col("got") >= k, F.col("kth")).alias("kth"), "taken"))
+    rest = F.filter(bounds, lambda c: ~F.array_contains("taken", c["id"]) & (F.col("kth").isNull() | (c["lb"] <= F.col("kth"))))
+    more = (search(left.select("x", "kth", F.explode(rest["id"]).alias("cell")))
+            .where(F.col("kth").isNull() | (F.col("dist") <= F.col("kth"))).select("x", "dist", rows).select("x", "dist", "row.*"))
+    cand = _settle(best(first.drop("rank").unionByName(more)))
+    return q.join(cand, "x").select(qkey, F.col("dk").alias(dkey), F.col("dv").alias(dval), "dist", "rank")
