@@ -139,3 +139,52 @@ def knn_impute_nation_code(spark, sf):
         "nation", F.when(F.col("c_custkey") % 30 == 0, F.lit(None)).otherwise(F.col("c_nationkey")))
     f = I.knn_impute(c, "c_custkey", "nation", ["seg", "n_orders"], k=100, categorical=True)
     return f.select("c_custkey", F.col("nation").cast("int").alias("nation_filled"))
+
+
+# --- I2 over 22 features, those from orders NULL for customers without any -------------------------------
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PRIORITIES = ["1", "2", "3", "4", "5"]
+STATUSES = ["F", "O", "P"]
+WIDE = ([f"seg{i}" for i in range(5)] + [f"reg{i}" for i in range(5)] + ["nation", "n_orders"]
+        + [f"prio{p}" for p in PRIORITIES] + [f"st{s}" for s in STATUSES] + ["min_price", "max_price"])
+
+
+def wide_customer(spark, sf):
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("n_orders"),
+        *[F.count_if(F.substring("o_orderpriority", 1, 1) == p).alias(f"prio{p}") for p in PRIORITIES],
+        *[F.count_if(F.col("o_orderstatus") == s).alias(f"st{s}") for s in STATUSES],
+        (F.min("o_totalprice") / 100000).alias("min_price"), (F.max("o_totalprice") / 100000).alias("max_price"))
+    n = load(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    c = load(spark, sf, "customer").join(n, "c_nationkey", "left").join(o, "c_custkey", "left")
+    return c.select(
+        "c_custkey", *[(F.col("c_mktsegment") == s).cast("int").alias(f"seg{i}") for i, s in enumerate(SEGMENTS)],
+        *[(F.col("n_regionkey") == i).cast("int").alias(f"reg{i}") for i in range(5)], (F.col("c_nationkey") / 25.0).alias("nation"),
+        *WIDE[11:], F.when(F.col("c_custkey") % 20 == 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+
+
+_DIFFS = [f"(r.{f} - d.{f})" for f in WIDE]
+_WIDE_DIST = (f"({' + '.join(f'coalesce({x} * {x}, 0)' for x in _DIFFS)}) / "
+              f"nullif({' + '.join(f'CAST({x} IS NOT NULL AS INTEGER)' for x in _DIFFS)}, 0)")
+
+
+@register("knn_impute_balance_wide", f"""
+WITH o AS (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n_orders,
+       {", ".join(f"CAST(count(*) FILTER (substr(o_orderpriority, 1, 1) = '{p}') AS DOUBLE) AS prio{p}" for p in PRIORITIES)},
+       {", ".join(f"CAST(count(*) FILTER (o_orderstatus = '{s}') AS DOUBLE) AS st{s}" for s in STATUSES)},
+       min(o_totalprice) / 100000 AS min_price, max(o_totalprice) / 100000 AS max_price FROM orders GROUP BY o_custkey),
+     b AS (SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE c_acctbal END AS y,
+       {", ".join(f"CAST(c_mktsegment = '{s}' AS DOUBLE) AS seg{i}" for i, s in enumerate(SEGMENTS))},
+       {", ".join(f"CAST(n_regionkey = {i} AS DOUBLE) AS reg{i}" for i in range(5))}, c_nationkey / CAST(25 AS DOUBLE) AS nation, o.* EXCLUDE (o_custkey)
+       FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN o ON o_custkey = c_custkey),
+     p AS (SELECT r.c_custkey, d.y, {_WIDE_DIST} AS dist, d.c_custkey AS dk FROM b r, b d WHERE r.y IS NULL AND d.y IS NOT NULL),
+     t AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY dist, dk) AS rn FROM p WHERE dist IS NOT NULL),
+     e AS (SELECT c_custkey, sum(y / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS est FROM t WHERE rn <= 100 GROUP BY c_custkey),
+     m AS (SELECT min(y) AS lo, max(y) AS hi FROM b)
+SELECT b.c_custkey, round(coalesce(b.y, least(greatest(e.est, m.lo), m.hi)), 4) AS c_acctbal, b.y IS NULL AS imputed
+FROM b LEFT JOIN e ON b.c_custkey = e.c_custkey, m""")
+def knn_impute_balance_wide(spark, sf):
+    c = wide_customer(spark, sf)
+    f = I.knn_impute(c, "c_custkey", "c_acctbal", WIDE, k=100)
+    j = f.join(c.select("c_custkey", F.col("c_acctbal").isNull().alias("imputed")), "c_custkey")
+    return j.select("c_custkey", r4("c_acctbal").alias("c_acctbal"), "imputed")
