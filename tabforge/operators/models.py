@@ -339,7 +339,8 @@ def random_search(df: DataFrame, est, space: dict, cols: list[str], y: str, fold
 
 def _run_cv(df, pipe, maps, y, fold, parallelism):
     ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label", predictionCol="prediction")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold,
+    n_folds = df.agg(F.max(fold)).first()[0] + 1
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold, numFolds=n_folds,
                         parallelism=parallelism)
     model = cv.fit(with_label(df, y).withColumn(fold, F.col(fold).cast("int")))
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(s))
