@@ -101,12 +101,8 @@ def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None =
 
 def collinear_pairs(df: DataFrame, cols: list[str], threshold: float, strict: bool = False) -> DataFrame:
     """(a, b, r) where a is earlier than b and |r| ≥ threshold (> when strict); NaN never counts."""
-    pos = {c: i for i, c in enumerate(cols)}
-    cm = corr_matrix(df, cols)
     cond = (F.col("abs_r") > threshold) if strict else (F.col("abs_r") >= threshold)
-    cond = cond & ~F.isnan("r") & F.col("r").isNotNull()
-    order = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
-    return cm.where(cond & (order[F.col("a")] < order[F.col("b")]))
+    return corr_matrix(df, cols).where(cond & ~F.isnan("r") & F.col("r").isNotNull())
 
 
 def drop_collinear(df: DataFrame, cols: list[str], threshold: float, strict: bool = False) -> tuple[DataFrame, list[str]]:

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.plans.ranking import null_safe_join
 
 
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -159,24 +159,66 @@ def linear_fit(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFram
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def corr_matrix(df: DataFrame, cols: list[str], batch: int = 200) -> DataFrame:
+def cross_products(df: DataFrame, exprs: list) -> np.ndarray:
+    """Sums of products of every two of the given double columns (none NULL), in one pass over ``df``."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*exprs)).alias("v")), "v")
+    return RowMatrix(rows).computeGramianMatrix().toArray()
+
+
+def _pair_corr(a: Column, b: Column) -> Column:
+    """Pearson r over the rows that have both; NULL if either is constant there (``corr`` raises in ANSI mode)."""
+    spread = F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(spread))
+
+
+def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson r for every pair i<j in long form (a, b, r, abs_r).
 
-    One wide aggregate per batch of pairs (a single scan each), reshaped with inline.
+    Two scans for any number of columns: one for centres, one for all sums of products. NULLs enter as 0; if there are
+    any, squares and 0/1 marks of the columns with NULLs enter too, and products with the marks are the sums over
+    the rows that a pair shares. Pairs for which that is ill-conditioned are aggregated singly.
+    r is NULL for pairs with fewer than two shared rows or a column that is constant in them.
     """
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    parts = []
-    for s in range(0, len(pairs), batch):
-        chunk = pairs[s:s + batch]
-        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_r{k}")
-                       for k, (a, b) in enumerate(chunk)])
-        structs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{k}").alias("r"))
-                   for k, (a, b) in enumerate(chunk)]
-        parts.append(row.select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("abs_r", F.abs("r"))
+    spark, p = df.sparkSession, len(cols)
+    schema = "a string, b string, r double, abs_r double"
+    x = [F.col(c).cast("double") for c in cols]
+    st = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (
+        ("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    total = st["n"]
+    if total == 0:
+        return spark.createDataFrame([(cols[i], cols[j], None, None) for i in range(p) for j in range(i + 1, p)], schema)
+    centre = [st[f"lo{i}"] if st[f"lo{i}"] == st[f"hi{i}"] else st[f"m{i}"] for i in range(p)]
+    v = [F.coalesce(c - F.lit(m if m is not None else 0.0), F.lit(0.0)) for c, m in zip(x, centre)]
+    holes = [i for i in range(p) if st[f"n{i}"] < total]
+    marks = [x[i].isNotNull().cast("double") for i in holes]
+    squares = [c * c for c in v] if holes else []
+    g = cross_products(df, [*v, F.lit(1.0), *marks, *squares])
+    mark = np.full(p, p)  # where each column's mark lies; one that is always 1 for columns without NULLs
+    mark[holes] = p + 1 + np.arange(len(holes))
+
+    n = g[np.ix_(mark, mark)]  # rows that i and j share
+    s = g[:p][:, mark]  # sum of i over them
+    # sum of squares of i over them
+    q = g[p + 1 + len(holes):][:, mark] if holes else np.repeat(np.diag(g)[:p, None], p, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = q - s * s / n
+        cov = g[:p, :p] - s * s.T / n
+        known = (n >= 2) & (q > 0) & (q.T > 0)
+        r = np.where(known, cov / np.sqrt(var * var.T), np.nan)
+        # Shared rows that lie far from the centre for their spread lose digits in the sums: these pairs go one by one.
+        doubtful = known & ((var <= 1e-6 * q) | (var <= 1e-6 * q).T)
+    again = [(i, j) for i, j in np.argwhere(doubtful) if i < j]
+    for at in range(0, len(again), 200):
+        part = again[at:at + 200]
+        row = df.agg(*[_pair_corr(x[i], x[j]).alias(f"r{k}") for k, (i, j) in enumerate(part)]).first()
+        for k, (i, j) in enumerate(part):
+            r[i, j] = np.nan if row[k] is None else row[k]
+    rows = [(cols[i], cols[j], *((None, None) if np.isnan(r[i, j]) else (float(r[i, j]), abs(float(r[i, j])))))
+            for i in range(p) for j in range(i + 1, p)]
+    return spark.createDataFrame(rows, schema)
 
 
 def score_summary(scores: DataFrame, model: str = "model", score: str = "score") -> DataFrame:
