@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabforge.plans.bounded import settled
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's lists for equal results).
 # Title tokens, in the order they are tried (first substring match wins).
@@ -124,7 +126,7 @@ def standardize(df: DataFrame, cols: list[str], by: str | None = None, suffix: s
         st = df.agg(*aggs).first()
         return df.withColumns({c + suffix: (F.col(c) - F.lit(st[f"_m_{c}"])) / F.lit(st[f"_s_{c}"]) for c in cols})
     st = df.groupBy(by).agg(*aggs)
-    j = df.join(st, on=by, how="left")
+    j = df.join(settled(st), on=by, how="left")
     j = j.withColumns({c + suffix: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols})
     return j.drop(*[x for c in cols for x in (f"_m_{c}", f"_s_{c}")])
 

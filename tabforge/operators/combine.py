@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.plans.bounded import settled
+
 
 def union_origin(train: DataFrame, test: DataFrame, origin: str = "origin",
                  tags: tuple[str, str] = ("train", "test")) -> DataFrame:
@@ -46,10 +48,10 @@ def assign_by_key(df: DataFrame, other: DataFrame, key, cols: list[str]) -> Data
 
 
 def group_assign(df: DataFrame, key, col: str, agg: str = "avg", name: str | None = None) -> DataFrame:
-    """attach a per-group aggregate to every row (partial aggregation + key join)."""
+    """attach a per-group aggregate to every row (partial aggregation + key join; hot keys are split at run time)."""
     keys = [key] if isinstance(key, str) else list(key)
     g = df.groupBy(*keys).agg(getattr(F, agg)(col).alias(name or f"{agg}_{col}"))
-    return df.join(g, on=keys, how="left")
+    return df.join(settled(g), on=keys, how="left")
 
 
 def join_predictions(preds: dict[str, DataFrame], key: str, col: str = "pred") -> DataFrame:

@@ -67,33 +67,33 @@ def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None =
     few_values = {c: df.select(c).distinct().limit(max_mode_values + 1).count() <= max_mode_values
                   for c in categorical} if "mode" in categorical_primitives else {}
     for p in parents:
-        aggs = [F.count(F.lit(1)).alias(feature_name(p, "count", "rows"))]
-        for c in numeric:
-            if c != p:
-                aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in numeric_primitives]
-        modes = []
-        for c in categorical:
-            if c != p:
-                two_level = "mode" in categorical_primitives and not few_values[c]
-                aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in categorical_primitives
-                         if not (pr == "mode" and two_level)]
+        # (feature, aggregate) in one order whatever the data; a two-level mode has no aggregate of its own.
+        specs = [(feature_name(p, "count", "rows"), F.count(F.lit(1)))]
+        modes = {}
+        specs += [(feature_name(p, pr, c), _prim(pr, c)) for c in numeric if c != p for pr in numeric_primitives]
+        for c in (c for c in categorical if c != p):
+            for pr in categorical_primitives:
+                two_level = pr == "mode" and not few_values[c]
+                specs.append((feature_name(p, pr, c), None if two_level else _prim(pr, c)))
                 if two_level:
-                    modes.append(c)
-        for c in boolean:
-            if c != p:
-                aggs += [_prim(pr, c).alias(feature_name(p, pr, c)) for pr in boolean_primitives]
+                    modes[feature_name(p, pr, c)] = c
+        specs += [(feature_name(p, pr, c), _prim(pr, c)) for c in boolean if c != p for pr in boolean_primitives]
         if max_features is not None:
-            aggs = aggs[:max(0, max_features - n_feat)]
-            if not aggs:
+            specs = specs[:max(0, max_features - n_feat)]
+            if not specs:
                 break
-        n_feat += len(aggs)
-        g = df.groupBy(p).agg(*aggs)
-        for c in modes:
+        n_feat += len(specs)
+        aggs = [agg.alias(name) for name, agg in specs if agg is not None]
+        g = df.groupBy(p).agg(*aggs) if aggs else df.select(p).distinct()
+        for name, c in modes.items():
+            if name not in dict(specs):
+                continue
             # Most frequent value, ties to the smallest: count per (parent, value), then a constant-size
             # min_by over (−count, value) per parent — no per-group value map.
             m = (df.where(F.col(c).isNotNull()).groupBy(p, c).agg(F.count(F.lit(1)).alias("_k"))
-                   .groupBy(p).agg(F.min_by(c, F.struct(-F.col("_k"), F.col(c))).alias(feature_name(p, "mode", c))))
+                   .groupBy(p).agg(F.min_by(c, F.struct(-F.col("_k"), F.col(c))).alias(name)))
             g = g.join(m, on=p, how="left")
+        g = g.select(p, *[name for name, _ in specs])
         # One row per parent value: broadcast when the checked size allows, so base rows are not shuffled.
         out = out.join(checked_broadcast(g, max_parent_rows), on=p, how="left")
     return out

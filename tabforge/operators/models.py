@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.operators.neighbors import knn
+from tabforge.operators.summarize import cross_products
 
 # Estimator factories --------------------------------------------------------------
 
@@ -181,26 +182,17 @@ def knn_classify(train: DataFrame, test: DataFrame, cols: list[str], y: str, key
 
 # Linear discriminant analysis -----------------------------------------------------------------
 def lda_fit(df: DataFrame, cols: list[str], y: str) -> dict:
-    """Class means, priors and pooled covariance from one grouped aggregate; solved on the driver (p×p)."""
-    p = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"x{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    rows = df.groupBy(y).agg(*aggs).collect()  # one row per class
+    """Class means, priors and pooled covariance from one grouped aggregate and one pass of cross products; solved on
+    the driver (p×p). Rows with a NULL feature or class are left out."""
+    df = df.dropna(subset=[*cols, y])
+    x = [F.col(c).cast("double") for c in cols]
+    rows = df.groupBy(y).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).collect()  # one row per class
     N = sum(r["n"] for r in rows)
-    classes, means, priors = [], [], []
-    Sw = np.zeros((p, p))
-    for r in rows:
-        n = r["n"]
-        mu = np.array([r[f"s{i}"] for i in range(p)]) / n
-        XX = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                XX[i, j] = XX[j, i] = r[f"x{i}_{j}"]
-        Sw += XX - n * np.outer(mu, mu)
-        classes.append(r[y])
-        means.append(mu)
-        priors.append(n / N)
+    classes, priors = [r[y] for r in rows], [r["n"] / N for r in rows]
+    means = [np.array([r[f"m{i}"] for i in range(len(cols))]) for r in rows]
+    centre = sum(p * m for p, m in zip(priors, means))
+    Sw = cross_products(df, [c - F.lit(float(m)) for c, m in zip(x, centre)])
+    Sw -= sum(r["n"] * np.outer(m - centre, m - centre) for r, m in zip(rows, means))
     cov = Sw / (N - len(rows))
     inv = np.linalg.pinv(cov)
     coef = [inv @ m for m in means]
@@ -273,7 +265,7 @@ def soft_vote(probs: DataFrame, scores: DataFrame, key: str = "key", model: str
     """(key, p, prediction): Σ w·p / Σ w with w = (1 + score − min score)^power."""
     smin = scores.agg(F.min(score)).first()[0]
     w = scores.select(model, F.pow(1 + F.col(score) - F.lit(smin), F.lit(power)).alias("_w"))
-    j = probs.join(F.broadcast(w), on=model, how="inner")  # one row per model
+    j = probs.join(w, on=model, how="inner")
     g = j.groupBy(key).agg((F.sum(F.col("_w") * F.col(p)) / F.sum("_w")).alias("p"))
     return g.withColumn("prediction", (F.col("p") > 0.5).cast("int"))  # a tie is class 0, as argmax has it
 

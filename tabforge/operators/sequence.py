@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.plans.ranking import exact_row_number, null_safe_join
+from tabforge.plans.bounded import settled
 
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 _COMBINE = {"min": lambda a, b: F.least(a, b), "max": lambda a, b: F.greatest(a, b),
@@ -124,7 +125,7 @@ def diverge_cut(df: DataFrame, series: str, order_by: list, value: str, factor:
     d = series_position(df, series, order_by, name="t")
     d = running_agg(d, series, "t", value, "min", "best")
     stop = d.where(F.col(value) > F.lit(factor) * F.col("best")).groupBy(series).agg(F.min("t").alias("_stop"))
-    d = null_safe_join(d, stop, [series], "left")
+    d = null_safe_join(d, settled(stop), [series], "left")
     return d.where(F.col("_stop").isNull() | (F.col("t") <= F.col("_stop"))).drop("_stop")
 
 
@@ -132,7 +133,7 @@ def trim(df: DataFrame, series: str, order_by: list, head: int = 10, tail: int =
     """H5: drop the first ``head`` and last ``tail`` rows of each series."""
     d = series_position(df, series, order_by, name="t")
     n = d.groupBy(series).agg(F.max("t").alias("_n"))
-    d = null_safe_join(d, n, [series])
+    d = null_safe_join(d, settled(n), [series])
     return d.where((F.col("t") > head) & (F.col("t") <= F.col("_n") - tail)).drop("_n")
 
 

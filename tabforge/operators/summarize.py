@@ -68,8 +68,8 @@ def rate_ci_bootstrap(df: DataFrame, key: str, y: str, row_key: str, b: int = 20
     # Poisson(1) by inversion of a uniform from xxhash64: P(0)=e^-1, P(≤1)=2e^-1, P(≤2)=2.5e^-1, ...
     def weight(r):
         u = (F.abs(F.xxhash64(F.lit(seed), F.col(row_key), r)) % 1000003) / 1000003.0
-        e = math.exp(-1.0)
-        cuts = [e, 2 * e, 2.5 * e, (2.5 + 1 / 6) * e, (2.5 + 1 / 6 + 1 / 24) * e]
+        # as many cuts as the million steps of u can tell apart
+        cuts = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(10)]).tolist()
         w = F.when(u < cuts[0], 0)
         for i, c in enumerate(cuts[1:], start=1):
             w = w.when(u < c, i)
@@ -165,7 +165,7 @@ def cross_products(df: DataFrame, exprs: list) -> np.ndarray:
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
     rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*exprs)).alias("v")), "v")
-    return RowMatrix(rows).computeGramianMatrix().toArray()
+    return np.array(RowMatrix(rows).computeGramianMatrix().toArray())
 
 
 def _pair_corr(a: Column, b: Column) -> Column:

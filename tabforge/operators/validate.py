@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.plans.bounded import settled
 from tabforge.functions.columns import stable_sigmoid
 from tabforge.plans.ranking import exact_row_number
 
@@ -127,6 +128,7 @@ def submission(df: DataFrame, key: str, pred: str, key_name: str | None = None,
 def agreement(a: DataFrame, b: DataFrame, key: str, pa: str, pb: str) -> DataFrame:
     """Confusion counts between two prediction tables joined on key, with the agreement rate."""
     j = a.select(key, F.col(pa).alias("p1")).join(b.select(key, F.col(pb).alias("p2")), on=key, how="inner")
-    c = j.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n"))
-    tot = j.agg(F.avg((F.col("p1") == F.col("p2")).cast("double")).alias("agreement"))
+    c = settled(j.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n")))
+    same = F.col("p1") == F.col("p2")
+    tot = c.agg(F.try_divide(F.sum(F.when(same, F.col("n")).otherwise(0)), F.sum(F.when(same.isNotNull(), F.col("n")))).alias("agreement"))
     return c.withColumn("agreement", F.lit(tot.first()[0]))  # one scalar from a global aggregate

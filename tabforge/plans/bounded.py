@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.session import ensure_checkpoint_dir
+
 
 class BoundExceeded(ValueError):
     """A driver-side domain or broadcast side grew past its declared bound."""
@@ -29,22 +31,22 @@ def bounded_values(df: DataFrame, col: str | Column, max_values: int = 1000,
     return sorted(vals, key=lambda v: (v is None, v))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it holds at most ``max_rows`` rows.
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint a derived table into the shared folder.
 
-    The size check materialises the (small, derived) table once in the cache,
-    so the broadcast reads it instead of recomputing it; a lost cache block is
-    simply recomputed. Beyond the bound the cache is dropped and the join
-    falls back to a shuffle join (AQE may still broadcast it at run time).
+    A join then shuffles it plainly, so a hot key of the other side can be split at run time; with an aggregate between
+    shuffle and join it cannot.
     """
-    cached = df.persist()
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Settle ``df`` and broadcast it only if it holds at most ``max_rows`` rows and about ``max_bytes`` bytes.
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global-aggregate result (exactly one row by construction) for broadcast."""
-    return F.broadcast(df)
+    Beyond either bound the join shuffles it.
+    """
+    held = settled(df)
+    text = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in held.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    n, chars = held.agg(F.count("*"), F.coalesce(F.sum(sum(text, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(held) if n <= max_rows and chars + 8 * n * len(held.columns) <= max_bytes else held

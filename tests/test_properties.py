@@ -169,3 +169,36 @@ def test_dfs_mode_paths_agree(spark):
                 counts[c] = counts.get(c, 0) + 1
         best = min(counts, key=lambda c: (-counts[c], c))
         assert dict((x[0], x[1]) for x in pick(a))[p] == best
+
+
+def test_dfs_columns_and_cap_do_not_depend_on_the_number_of_values(spark):
+    from tabforge.operators.features import dfs
+    rng = random.Random(14)
+    rows = [(i, rng.choice("xyz"), rng.choice("abcd"), rng.choice("uv"), float(rng.randint(0, 9))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, p string, c string, e string, v double")
+    for cap in (None, 3, 10):
+        few, many = (dfs(df, "k", ["p"], numeric=["v"], categorical=["c", "e"], max_features=cap, max_mode_values=m) for m in (100, 1))
+        assert few.columns == many.columns
+        assert cap is None or len(few.columns) == len(df.columns) + cap
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_group_assign_splits_a_hot_key(spark):
+    from pyspark.sql import functions as F
+    from tabforge.operators.combine import group_assign
+    df = spark.range(0, 60000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("g"), F.col("id").alias("v"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = group_assign(df.repartition(8), "g", "v", "max", "top")
+        wrong = out.where(F.when(F.col("g") == 0, F.col("top") != 59997).otherwise(F.col("top") != F.col("v")))
+        assert wrong.count() == 0
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
