@@ -19,11 +19,14 @@ _START, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": _START + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _END + r"(?!\.[0-9])",
-    "date": _START + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
+    "date": _START + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:(?=T[0-9])|" + _END + ")",
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
-    "card": _START + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
+    "card": _START + r"[0-9][0-9 -]{11,}[0-9]" + _END,  # a run of digit groups, in which cards are searched
 }
+CARD_DIGITS = (13, 19)
+#: Sizes of the digit groups as cards are printed: one group, fours with a shorter last one, 4-6-5 and 4-6-4.
+USUAL = r"^(?:[0-9]+|4(?:,4)*,[1-4]|4,6,[45])$"
 
 
 def _prf(key: Column, kind: str, i: Column, value: Column) -> Column:
@@ -73,14 +76,75 @@ def luhn(d: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, v: s + v) % 10
 
 
-def _card(m: Column, key: Column) -> Column:
-    d = _digits(m)
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
 
-    def done(p):
-        check = F.pmod(F.lit(10) - luhn(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")
-        return _refill(m, F.concat(p, check))
+def _card(d: Column, key: Column) -> Column:
+    """Digits of a valid card to those of another of the same length."""
     payload = _permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    return F.when((luhn(d) == 0) & (d.cast("decimal(19,0)") > 0), F.transform(F.array(payload), done)[0])
+    return _once(payload, lambda p: F.concat(p, F.pmod(F.lit(10) - luhn(F.concat(p, F.lit("0"))), F.lit(10)).cast("string")))
+
+
+def _stretches(groups: Column) -> Column:
+    """All valid cards made of neighbouring groups, by first group, longest first."""
+    low, high = CARD_DIGITS
+
+    def starting(i):
+        def one(part):
+            d = F.array_join(part, "")
+            valid = F.when(F.length(d).between(low, high) & ~F.array_contains(part, ""), (luhn(d) == 0) & (d.cast("decimal(19,0)") > 0))
+            usual = F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), ",").rlike(USUAL)
+            return F.when(valid, F.struct(i.alias("at"), F.size(part).alias("len"), usual.alias("usual")))
+        near = lambda g: F.transform(F.sequence(F.size(g), F.lit(1), F.lit(-1)), lambda n: _once(F.slice(g, F.lit(1), n), one))
+        return F.filter(_once(F.slice(groups, i + 1, F.lit(high)), near), lambda c: c.isNotNull())
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), starting))
+
+
+def _apart(found: Column) -> Column:
+    """Those of ``found`` that start behind the one taken before."""
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,len:int,usual:boolean>>").alias("taken"))
+    return F.aggregate(found, start, lambda s, c: F.when(c["at"] >= s["free"], F.struct(
+        (c["at"] + c["len"]).alias("free"), F.concat(s["taken"], F.array(c)).alias("taken"))).otherwise(s), lambda s: s["taken"])
+
+
+def _cards(m: Column, key: Column) -> Column:
+    """A run of digit groups with its cards replaced, as struct ``new, n``.
+
+    Cards grouped as usual come first, then any other stretches that do not overlap them.
+    """
+    def changed(groups, taken):
+        def turn(s, c):
+            part = F.slice(groups, c["at"] + 1, c["len"])
+            new = F.split(_refill(F.array_join(part, " "), _card(F.array_join(part, ""), key)), " ")
+            return F.struct((c["at"] + c["len"]).alias("done"), F.concat(
+                s["out"], F.slice(groups, s["done"] + 1, c["at"] - s["done"]), new).alias("out"))
+        out = F.aggregate(taken, F.struct(F.lit(0).alias("done"), F.array().cast("array<string>").alias("out")), turn,
+                          lambda s: F.concat(s["out"], F.slice(groups, s["done"] + 1, F.size(groups) - s["done"])))
+        gaps = F.concat(F.regexp_extract_all(m, F.lit("[ -]"), 0), F.array(F.lit("")))
+        return F.struct(F.array_join(F.zip_with(out, gaps, lambda a, b: F.concat(a, b)), "").alias("new"), F.size(taken).alias("n"))
+
+    def chosen(found):
+        def others(usual):
+            clear = lambda c: ~F.exists(usual, lambda u: (c["at"] < u["at"] + u["len"]) & (u["at"] < c["at"] + c["len"]))
+            return F.array_sort(F.concat(usual, _apart(F.filter(found, lambda c: ~c["usual"] & clear(c)))))
+        return _once(_apart(F.filter(found, lambda c: c["usual"])), others)
+    same = F.struct(m.alias("new"), F.lit(0).alias("n"))
+    return _once(F.split(m, "[ -]", -1), lambda groups: _once(_stretches(groups), lambda found: F.when(
+        F.size(found) > 0, _once(chosen(found), lambda taken: changed(groups, taken))).otherwise(same)))
+
+
+def _between(text: Column, key: Column) -> Column:
+    """Text without values of the other kinds, with its cards replaced, as struct ``new, n``."""
+    run = PATTERNS["card"]
+
+    def joined(runs):
+        return F.struct(F.array_join(F.zip_with(F.split(text, run, -1), F.concat(runs["new"], F.array(F.lit(""))),
+                                                lambda a, b: F.concat(a, b)), "").alias("new"),
+                        F.aggregate(runs["n"], F.lit(0), lambda s, n: s + n).alias("n"))
+    return F.when(text.rlike(run), _once(F.transform(F.regexp_extract_all(text, F.lit(run), 0), lambda m: _cards(m, key)), joined)
+                  ).otherwise(F.struct(text.alias("new"), F.lit(0).alias("n")))
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -146,34 +210,39 @@ def _email(m: Column, key: Column) -> Column:
     return F.transform(F.array(p), lambda r: F.concat(r["x"], r["y"], F.lit("@"), host))[0]
 
 
-REWRITE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+REWRITE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, plus ``n_found`` (values replaced) and ``kinds`` (comma-joined; both replace such columns).
 
-    Numbers and dates that fail validation (Luhn, ranges, calendar) stay as they are, as do secrets and names. A null
+    Cards are searched in what the other kinds leave: in a run of digit groups, parted by single blanks or hyphens, every
+    stretch of whole groups with 13 to 19 digits is tried, those grouped as on cards first, then from the left and longest
+    first; of overlapping valid ones one is replaced. Numbers and dates that fail validation (Luhn, ranges, calendar) stay as they are, as do secrets and names. A null
     text stays null with nothing found; an empty one stays empty. Rows are independent: repeated rows give repeated
     results, an empty table an empty one. The whole text is searched, whatever its length.
     """
     docs = docs.drop("n_found", "kinds")
-    every = "|".join(PATTERNS.values())
+    every = "|".join(PATTERNS[name] for name in REWRITE)
     secret = F.lit(key)
 
     def rewrite(m):
         out, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name, pattern in reversed(PATTERNS.items()):
-            whole = m.rlike("^(?:" + pattern + ")$")
+        for name in reversed(REWRITE):
+            whole = m.rlike("^(?:" + PATTERNS[name] + ")$")
             out, kind = F.when(whole, REWRITE[name](m, secret)).otherwise(out), F.when(whole, F.lit(name)).otherwise(kind)
         return F.transform(F.array(out), lambda o: F.struct(
             F.coalesce(o, m).alias("new"), F.when(o.isNotNull(), kind).alias("kind")))[0]
     maybe = F.col("text").rlike("[0-9@]")
     marked = docs.withColumn("__found", F.when(maybe, F.transform(F.regexp_extract_all("text", F.lit(every), 0), rewrite)))
+    marked = marked.withColumn("__rest", F.when(maybe, F.transform(F.split("text", every, -1), lambda t: _between(t, secret))))
+    cards = F.coalesce(F.aggregate(F.col("__rest.n"), F.lit(0), lambda s, n: s + n), F.lit(0))
     kinds = F.filter(F.col("__found.kind"), lambda k: k.isNotNull())
-    text = F.when(F.size("__found") > 0, F.array_join(F.zip_with(
-        F.split("text", every, -1), F.concat(F.col("__found.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    names = F.concat(kinds, F.when(cards > 0, F.array(F.lit("card"))).otherwise(F.array().cast("array<string>")))
+    text = F.when((F.size("__found") > 0) | (cards > 0), F.array_join(F.zip_with(
+        F.col("__rest.new"), F.concat(F.col("__found.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     ).otherwise(F.col("text"))
     return marked.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_found"),
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct(kinds)), ","), F.lit("")).alias("kinds"))
+        (F.coalesce(F.size(kinds), F.lit(0)) + cards).cast("long").alias("n_found"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct(names)), ","), F.lit("")).alias("kinds"))

@@ -170,6 +170,26 @@ def test_pseudonyms(spark, docs, empty):
     assert pseudonymise(docs, "k").count() == docs.count() and pseudonymise(empty, "k").count() == 0
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    card = r"(?:4111[ -]?1111[ -]?1111[ -]?1111)"
+    cases = [("4111111111111111 12/27", "card"), ("4111 1111 1111 1111 123", "card"), ("qty 2 4111 1111 1111 1111", "card"),
+             ("4111-1111-1111-1111 555-123-4567", "card,phone"), ("7 4111 1111 1111 1111 10.0.0.7 x", "card,ip"),
+             ("12 2024-01-15 4111 1111 1111 1111  5", "card,date"), ("4111 1111 1111 1111 77@mail.example.com", "card,email"),
+             ("2024-01-15T10:30:00Z", "date"), ("at 28.02.1999T1", "date"), ("2024-01-15Tea", ""), ("x4111111111111111", ""),
+             ("4111111111111112 3", ""), ("1 " * 3000 + "4111 1111 1111 1111 3", "card"), ("12 4111111111111111 4111 1111 1111 1111", "card")]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pseudonymise(df, "k").collect()}
+    for i, (t, kinds) in enumerate(cases):
+        new = out[i]["text"]
+        # A list of ones may hold stretches that are valid by chance; the card beside it must change all the same.
+        assert out[i]["kinds"] == kinds and not (kinds and (re.search(card, new) or "2024-01-15" in new)), (t, new)
+        assert (new != t) == bool(kinds) and re.sub("[0-9A-Za-z]", "", new) == re.sub("[0-9A-Za-z]", "", t)
+    assert out[0]["text"][16:] == " 12/27" and out[1]["text"][19:] == " 123" and out[2]["text"][:6] == "qty 2 "
+    assert out[7]["text"][10:] == "T10:30:00Z" and out[3]["n_found"] == 2
+    first, second = re.fullmatch(r"12 (\d{16}) ((?:\d{4} ?){4})", out[13]["text"]).groups()
+    assert first == second.replace(" ", "") and out[13]["n_found"] == 2  # linked
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for i, x in rows:
