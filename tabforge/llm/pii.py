@@ -24,6 +24,11 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
     "card": _START + r"[0-9][0-9 -]{11,}[0-9]" + _END,  # a run of digit groups, in which cards are searched
 }
+# A telephone number with + and country code has 8 to 15 digits; its groups end before another value.
+_OTHER = "|".join([*(PATTERNS[k] for k in ("email", "ip", "date", "ssn", "phone")), r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END])
+_MORE = r"(?:(?:[ .-](?!" + _OTHER + "))?[0-9])"
+PATTERNS["phone"] += r"|(?<![0-9A-Za-z+])\+[1-9](?:" + _MORE + r"{7,14}|[0-9]{0,2}[ .-]?\([0-9]{1,4}\)" + _MORE + "{5,10})" + _END
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"  # of ITU-T E.164
 CARD_DIGITS = (13, 19)
 #: Sizes of the digit groups as cards are printed: one group, fours with a shorter last one, 4-6-5 and 4-6-4.
 USUAL = r"^(?:[0-9]+|4(?:,4)*,[1-4]|4,6,[45])$"
@@ -148,10 +153,11 @@ def _between(text: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """The last ten digits change; a country code stays."""
+    """A country code stays; the other digits change."""
     d = _digits(m)
-    keep = F.length(d) - 10
-    return _refill(m, F.concat(F.substring(d, F.lit(1), keep), _permute_digits(F.substring(d, keep + 1, F.lit(10)), key, "phone")))
+    keep = F.when(m.startswith("+"), F.length(F.regexp_extract(d, COUNTRY, 0))).otherwise(0)
+    n = F.length(d) - keep
+    return _refill(m, F.concat(F.substring(d, F.lit(1), keep), _permute_digits(F.substring(d, keep + 1, n), key, "phone")))
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -218,7 +224,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Cards are searched in what the other kinds leave: in a run of digit groups, parted by single blanks or hyphens, every
     stretch of whole groups with 13 to 19 digits is tried, those grouped as on cards first, then from the left and longest
-    first; of overlapping valid ones one is replaced. Numbers and dates that fail validation (Luhn, ranges, calendar) stay as they are, as do secrets and names. A null
+    first; of overlapping valid ones one is replaced. A telephone number has + and a country code, 8 to 15 digits in all in
+    any groups, or else three, three and four digits; ten digits without a break are not taken for one. Numbers and dates that fail validation (Luhn, ranges, calendar) stay as they are, as do secrets and names. A null
     text stays null with nothing found; an empty one stays empty. Rows are independent: repeated rows give repeated
     results, an empty table an empty one. The whole text is searched, whatever its length.
     """

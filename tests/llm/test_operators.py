@@ -190,6 +190,26 @@ def test_pseudonyms_beside_other_digits(spark):
     assert first == second.replace(" ", "") and out[13]["n_found"] == 2  # linked
 
 
+def test_pseudonyms_of_telephones(spark):
+    cases = [("+44 20 7946 0958", "44", "phone"), ("+33 1 42 68 53 00", "33", "phone"), ("+49 30 123456", "49", "phone"),
+             ("+442079460958", "44", "phone"), ("+358 9 1234567", "358", "phone"), ("+49 (30) 123456", "49", "phone"),
+             ("+7 (495) 123-45-67", "7", "phone"), ("+52 555 123 4567", "52", "phone"), ("+1 (988) 555-2485", "1", "phone"),
+             ("555-123-4567", "", "phone"), ("5551234567", "", ""), ("+44 20 79", "", ""), ("+44x20 7946 0958", "", "")]
+    beside = [("+49 30 123456 4111 1111 1111 1111", "card,phone"), ("+49 30 123456 2024-01-15", "date,phone"),
+              ("+44 20 7946 0958 555-123-4567", "phone"), ("+49 30 123456 77@mail.example.com", "email,phone"), ("+4111111111111111", "card")]
+    rows = [(i, f"call {t}, or {t}.") for i, (t, _, _) in enumerate(cases)] + [(50 + i, t) for i, (t, _) in enumerate(beside)]
+    out = {r["doc_id"]: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (t, code, kind) in enumerate(cases):
+        new = re.fullmatch(r"call (.*), or (.*)\.", out[i]["text"])
+        assert new[1] == new[2] and out[i]["kinds"] == kind and out[i]["n_found"] == 2 * bool(kind), t
+        assert (new[1] != t) == bool(kind) and re.sub(r"\d", "0", new[1]) == re.sub(r"\d", "0", t)
+        assert re.sub(r"\D", "", new[1]).startswith(code) and (not kind or re.fullmatch(PATTERNS[kind], new[1]))
+    digits = [re.sub(r"\D", "", out[i]["text"]) for i in (0, 3)]
+    assert digits[0] == digits[1]  # one number in two forms stays linked
+    assert [out[50 + i]["kinds"] for i in range(len(beside))] == [k for _, k in beside]
+    assert out[52]["n_found"] == 2 and all(r["text"] != t for i, t in rows for r in [out[i]] if r["kinds"])
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for i, x in rows:
