@@ -5,7 +5,8 @@ bytes, taken only at sampled positions: of every 100-byte window the position of
 hash, so equal windows sample the same place. Sampled places with the same rank are reranked by all
 the bytes their windows cover; places still alike but for the first are covered whole. Where places
 agree on 32 bytes but not on all, their windows are ranked one by one at the full 100 bytes. Ranks
-are 64-bit fingerprints, two of which must agree for two strings to count as equal.
+are 64-bit fingerprints, two of which must agree for two strings to count as equal. First ranks that
+very many places share are dealt out in shares, and the first places of the shares ranked again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import settle, ship
@@ -25,6 +26,9 @@ GRAM = 32  # bytes of the first rank
 PIECE = 1 << 20  # window starts handled at a time
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2^64
 NO_ID = -(1 << 63)
+CHUNK, SAMPLE = 4096, 16  # one in SAMPLE chunks of text is searched for hot first ranks
+HOT_SHARE, HOT_LEAST = 512, 16  # hot: more than one in HOT_SHARE sampled places (so fewer than that are hot), and so many of them
+SHARES = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,6 +97,50 @@ def _list(x: pa.Scalar) -> np.ndarray:
     return np.array(x.as_py() or [], np.int64)
 
 
+def hot_grams(own: DataFrame, length: int) -> DataFrame:
+    """``gram, hot``: first ranks that a sample shows to be frequent. They choose how rows are dealt out, not the result."""
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller = Roller(CHUNK + length)
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1)):
+                data, key = _bytes(t), i.as_py()
+                for at in range(0, len(data), CHUNK):
+                    if hash((key, at)) % SAMPLE == 0:
+                        for gram, _, _ in anchors(data[at:at + CHUNK + length - 1], roller, length):
+                            yield pa.RecordBatch.from_arrays([pa.array(gram)], ["gram"])
+    counts = settle(own.select("id", "text").mapInArrow(some, "gram long").groupBy("gram").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    counts = counts.where(F.col("count") >= HOT_LEAST)
+    return settle(counts.where(F.col("count") * HOT_SHARE > total).select("gram", F.lit(True).alias("hot")))
+
+
+def shared_out(df: DataFrame, hot: DataFrame, *place: Column | str) -> DataFrame:
+    """Adds ``share``: -1, or for the rows of a hot gram one of SHARES by the hash of ``place``."""
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64(*place), F.lit(SHARES)).cast("int")).otherwise(-1)
+    return df.join(F.broadcast(hot), "gram", "left").withColumn("share", share).drop("hot")
+
+
+def by_id(df: DataFrame, group: tuple[str, ...], at: str, opened: bool = True) -> DataFrame:
+    """``id, again, open``: the places ``at`` of rank above 1 and, if ``opened``, of rank 1.
+
+    Ranks are within shares; the first places of the shares of a group, SHARES at most, are ranked among each other.
+    """
+    first = (F.col("share") >= 0) & (F.col("rank") == 1)
+    keys = [F.when(first, F.col(c)).alias(f"key{n}") for n, c in enumerate(group)] + [F.when(~first, F.col("id")).alias("own")]
+    sets = df.groupBy(*keys).agg(
+        F.collect_set(F.when(~first & (F.col("rank") > 1), F.col(at))).alias("again"),
+        F.collect_set(F.when(~first & (F.col("rank") == 1), F.col(at))).alias("open"),
+        F.array_sort(F.collect_set(F.when(first, F.struct("id", F.col(at).alias("at"))))).alias("firsts"))
+    none = F.array().cast("array<long>")
+    ranked = F.transform("firsts", lambda x, n: F.struct(
+        x["id"].alias("id"), F.when(n > 0, F.array(x["at"])).otherwise(none).alias("again"),
+        F.when(n == 0, F.array(x["at"])).otherwise(none).alias("open")))
+    ranked = ranked if opened else F.slice(ranked, 2, SHARES)
+    rows = sets.select(F.inline(F.when(F.col("own").isNull(), ranked).otherwise(
+        F.array(F.struct(F.col("own").alias("id"), "again", "open")))))
+    return rows.groupBy("id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("again", "open")])
+
+
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes left).
 
@@ -119,11 +167,16 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), pa.array(np.full(len(gram), i.as_py())), pa.array(place)],
                                                      ["gram", "context", "id", "place"])
     places = own.select("id", "text").mapInArrow(sample, "gram long, context long, id long, place long")
-    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context")
-    ranked = (places.withColumn("n", F.count("*").over(by_gram)).where("n > 1")
+    hot = hot_grams(own, length)  # dealt out by document and megabyte
+    some_hot = hot.limit(1).count() > 0
+    places = shared_out(places, hot, "id", F.shiftright("place", 36)) if some_hot else places.withColumn("share", F.lit(-1))
+    by_gram, by_context = Window.partitionBy("gram", "share"), Window.partitionBy("gram", "share", "context")
+    ranked = (places.withColumn("n", F.count("*").over(by_gram)).where("n > 1 or share >= 0")
               .withColumn("rank", F.dense_rank().over(by_context.orderBy("id", "place")))
-              .withColumn("contexts", F.sum((F.col("rank") == 1).cast("int")).over(by_gram)))
-    ranked = settle(ranked.where("rank > 1 or contexts > 1").groupBy("id").agg(
+              .withColumn("contexts", F.sum((F.col("rank") == 1).cast("int")).over(by_gram))
+              .where("rank > 1 or contexts > 1 or share >= 0"))
+    # First places of hot grams stay open without counting their contexts, which costs windows but no repeat.
+    ranked = settle(by_id(ranked, ("gram", "context"), "place") if some_hot else ranked.groupBy("id").agg(
         F.collect_set(F.when(F.col("rank") > 1, F.col("place"))).alias("again"),
         F.collect_set(F.when(F.col("rank") == 1, F.col("place"))).alias("open")))
 
@@ -149,11 +202,14 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # Equal windows have the same place in them, so they meet by the place's first rank. This side of the join and the
     # last one read the same shuffled documents.
     opened = own.join(ranked.where(F.size("open") > 0), "id").select("id", "doc_id", "text", "open")
-    late = (opened.mapInArrow(windows, "gram long, id long, first long, back long, full array<long>").repartition("gram")
-            .select("gram", "id", "first", "back", F.posexplode_outer("full").alias("k", "h"))
-            .select("gram", "id", (F.col("back") - F.col("k")).alias("back"), (F.col("first") + F.col("k")).alias("start"), "h")
-            .withColumn("rank", F.dense_rank().over(Window.partitionBy("gram", "back", "h").orderBy("id", "start"))).where("rank > 1")
-            .groupBy("id").agg(F.collect_set("start").alias("late")))
+    late = opened.mapInArrow(windows, "gram long, id long, first long, back long, full array<long>")
+    late = shared_out(late, hot, "id", F.shiftright("first", 20)) if some_hot else late.withColumn("share", F.lit(-1))
+    late = (late.repartition("gram", "share").select("gram", "share", "id", "first", "back", F.posexplode_outer("full").alias("k", "h"))
+            .select("gram", "share", "id", (F.col("back") - F.col("k")).alias("back"), (F.col("first") + F.col("k")).alias("start"), "h")
+            .withColumn("rank", F.dense_rank().over(Window.partitionBy("gram", "share", "back", "h").orderBy("id", "start")))
+            .where("rank > 1 or share >= 0"))
+    late = (by_id(late, ("gram", "back", "h"), "start", opened=False).select("id", F.col("again").alias("late")) if some_hot
+            else late.groupBy("id").agg(F.collect_set("start").alias("late")))
     marks = ranked.select("id", "again").join(late, "id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

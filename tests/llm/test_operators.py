@@ -109,6 +109,24 @@ def test_suffix_dedup(docs, rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_splits_hot_grams(spark, monkeypatch):
+    from tabforge.llm import suffix_dedup
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(400)
+    rows = [(i, say(90) + passage + say(90) + ("x" * (150 + i % 7) if i % 3 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 10)
+    hot = suffix_dedup.hot_grams(docs.select(F.col("doc_id").alias("id"), "text"), 100)
+    assert hot.count() > 3
+    one = hot.select("gram").first()[0]
+    dealt = suffix_dedup.shared_out(spark.range(4000).select(F.lit(one).alias("gram"), "id", F.lit(7).alias("place")), hot, "id", "place")
+    assert dealt.groupBy("share").count().agg(F.max("count")).first()[0] < 60
+    got = {(r["doc_id"], r["n_bytes"], r["kept_sha256"], r["n_removed"], r["n_spans"]) for r in remove_repeats(docs).collect()}
+    assert got == brute_suffix(rows, docs) and sum(g[3] for g in got) > 59 * 400
+
+
 def brute_suffix(order, docs):
     hashes = {(r["doc_id"], r["text"]): r["th"] for r in docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()}
