@@ -33,12 +33,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, row_bytes: int, items: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame, row_bytes: int, items: Column | None = None, limit: int = BROADCAST_BYTES, text: str | None = None) -> DataFrame:
     """Broadcast a settled table if its counted rows fit ``limit``; otherwise leave the join to a shuffle.
 
-    ``items`` counts 8-byte array items of a row beyond ``row_bytes``.
+    ``items`` counts 8-byte array items of a row beyond ``row_bytes``; the bytes of the column ``text`` are added up.
     """
-    held = df.agg((F.count("*") * row_bytes + 8 * F.coalesce(F.sum(items if items is not None else F.lit(0)), F.lit(0))).alias("b"))
+    more = F.coalesce(F.sum(items if items is not None else F.lit(0)), F.lit(0)) * 8
+    if text is not None:
+        more = more + F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    held = df.agg((F.count("*") * row_bytes + more).alias("b"))
     return F.broadcast(df) if held.first()["b"] <= limit else df
 
 

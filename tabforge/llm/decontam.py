@@ -68,10 +68,10 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         s["pos"].alias("pos"), s["len"].alias("len"), _window(s["pos"], s["len"]).alias("win")))).alias("s")
                          ).select("doc_id", "th", "s.*")
     distinct_wins = settle(wins.select("len", "win").distinct())
-    exact = settle(spots.join(small(distinct_wins, 256), ["len", "win"], "left_semi"))
+    exact = settle(spots.join(small(distinct_wins, 64, text="win"), ["len", "win"], "left_semi"))
     cover = exact.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list(
         F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1))))).cast("long").alias("n_hit"))
-    found_items = (exact.select("doc_id", "th", "len", "win").distinct().join(small(wins, 256), ["len", "win"])
+    found_items = (exact.select("doc_id", "th", "len", "win").distinct().join(small(wins, 64, text="win"), ["len", "win"])
                    .groupBy("doc_id", "th").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")))
     none = F.array().cast("array<string>")
     s, c, i = state.alias("s"), cover.alias("c"), found_items.alias("i")

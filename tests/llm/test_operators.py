@@ -97,6 +97,25 @@ def test_decontamination(spark, docs, rows, empty):
     assert contaminated(empty, bench).count() == 0
 
 
+def test_long_windows_are_not_broadcast(spark, monkeypatch):
+    from tabforge.llm import decontam
+    hinted, small = [], decontam.small
+
+    def spy(df, *args, **kw):
+        out = small(df, *args, **kw)
+        if "win" in df.columns:
+            hinted.append("Hint" in out._jdf.queryExecution().analyzed().toString())
+        return out
+    monkeypatch.setattr(decontam, "small", spy)
+    for size, broadcast in ((300000, False), (3, True)):  # windows of 9 MB, and of 100 bytes
+        text = " ".join("语" * size + c for c in "éèêëíìîïóòôö")
+        docs = spark.createDataFrame([(1, "see " + text), (2, "clean")], "doc_id long, text string")
+        got = decontam.contaminated(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+        assert {(r["doc_id"], r["n_hit"], r["n_items"]) for r in got.collect()} == {(1, 12, 1), (2, 0, 0)}
+        assert hinted == [broadcast] * 2
+        hinted.clear()
+
+
 def test_suffix_dedup(docs, rows, empty):
     # Rows of one id and text are one document; the null id comes first.
     order = sorted({(i, x or "") for i, x in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
