@@ -3,7 +3,7 @@
 All rolling word k-gram hashes of the documents are joined to the places of the same hashes in short
 license notices. A hit at document word p and template word q votes for the diagonal p - q; neighbouring
 diagonals of one document and template are merged into spans (an inserted or lost word shifts the
-diagonal). Each span is then verified word by word.
+diagonal). Each span is then verified word by word; of overlapping ones the closest wins.
 """
 
 from __future__ import annotations
@@ -32,6 +32,14 @@ TEMPLATES = [
             "GNU General Public License as published by the Free Software Foundation"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    *((f"cc-{x.lower().replace(' ', '-')}-4.0", f"Licensed under CC {x} 4.0.") for x in ("BY", "BY SA", "BY ND", "BY NC SA", "BY NC ND")),
+    *((f"cc-by-{k}-4.0", f"licensed under a Creative Commons Attribution-{x} 4.0 International License") for k, x in (
+        ("nc", "NonCommercial"), ("sa", "ShareAlike"), ("nd", "NoDerivatives"), ("nc-sa", "NonCommercial-ShareAlike"),
+        ("nc-nd", "NonCommercial-NoDerivatives"))),
+    *((f"{k}-3.0", f"This work is licensed under the GNU {x} General Public License, version 3.") for k, x in (("lgpl", "Lesser"), ("agpl", "Affero"))),
+    *((k, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {x} General Public "
+          "License as published by the Free Software Foundation")
+      for k, what, x in (("lgpl", "program", "Lesser"), ("lgpl", "library", "Lesser"), ("agpl", "program", "Affero"))),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
             "provided that the following conditions are met"),
 ]
@@ -62,7 +70,8 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, gram: int = 3, g
 
     ``n_base`` counts the places where a phrase's words stand consecutively; ``first_word`` and ``last_word``
     are the smallest and largest of their starts (words from 0; null without places). ``labels`` adds the label
-    of every template of which a span covers ``min_cover`` of the words; ``score`` is the best such share, 1 with
+    of every template of which a span covers ``min_cover`` of the words, of the template's or the span's own, whichever are
+    more, unless a span that overlaps it covers a larger share; ``score`` is the best such share, 1 with
     a phrase, 0 without either. A template shorter than ``gram`` words is never voted for. A null or empty text
     has no words. Rows with equal id and text get equal results; null ids are kept. Empty tables give empty results.
     """
@@ -96,17 +105,24 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, gram: int = 3, g
     spans = (diag.withColumn("new", F.coalesce(far, F.lit(True)).cast("int"))
              .withColumn("span", F.sum("new").over(order))
              .groupBy("doc_id", "th", "tid", "span")
-             .agg(F.sum("n_votes").alias("n_votes"), F.collect_set("diag").alias("diags")))
+             .agg(F.sum("n_votes").alias("n_votes"), F.collect_set("diag").alias("diags"),
+                  F.min("lo").alias("lo"), (F.max("hi") + gram - 1).alias("hi")))
     spans = settle(spans.join(F.broadcast(tpl), "tid").where(F.col("n_votes") + gram - 1 >= min_cover * F.size("tw") - gap * gram))
     keys = spans.select("doc_id", "th").distinct()
     near = docs.join(small(settle(keys), 24), all_equal(docs, keys, "doc_id", "th"), "left_semi").distinct()
     near = near.select("doc_id", "th", words(ascii_lower(F.col("text"))).alias("w"))
     same = F.flatten(F.transform("diags", lambda d: F.filter(F.transform("tw", lambda x, i: F.when(
         F.get(F.col("w"), i + d) == x, i)), lambda i: i.isNotNull())))
+    found = F.size(F.array_distinct(same)) / F.greatest(F.size("tw"), F.col("hi") - F.col("lo") + 1)
     checked = (near.join(spans, all_equal(near, spans, "doc_id", "th"))
-               .select(near["doc_id"], near["th"], "label", (F.size(F.array_distinct(same)) / F.size("tw")).alias("cover"))
-               .where(F.col("cover") >= min_cover).groupBy("doc_id", "th")
-               .agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover")))
+               .select(near["doc_id"], near["th"], "label", found.alias("cover"), "lo", "hi").where(F.col("cover") >= min_cover))
+    order = Window.partitionBy("doc_id", "th").orderBy("lo", "hi")
+    apart = F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cluster = (checked.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("cluster", F.sum("new").over(order))
+               .groupBy("doc_id", "th", "cluster").agg(F.collect_set(F.struct("label", "cover", "lo", "hi")).alias("c")))
+    best = F.filter("c", lambda x: ~F.exists("c", lambda y: (y["cover"] > x["cover"]) & (y["lo"] <= x["hi"]) & (x["lo"] <= y["hi"])))
+    checked = cluster.select("doc_id", "th", best.alias("c")).groupBy("doc_id", "th").agg(
+        F.array_distinct(F.flatten(F.collect_list("c.label"))).alias("found"), F.max(F.array_max("c.cover")).alias("cover"))
     counts = docs.groupBy("doc_id", "th").agg(F.count("*").alias("copies"))
     s, c, n = state.alias("s"), checked.alias("c"), counts.alias("n")
     out = (s.join(c, F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.th") == F.col("c.th")), "left")

@@ -354,6 +354,19 @@ def test_license_scan(spark, docs, rows, empty):
     assert 0.8 <= labels[102][1] <= 1 and license_scan(empty).count() == 0
 
 
+def test_license_scan_takes_the_closest(spark):
+    cc, gnu = "This is licensed under a Creative Commons Attribution{} 4.0 International License, see", (
+        "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published "
+        "by the Free Software Foundation")
+    cases = [(cc.format(""), "cc-by-4.0"), (cc.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd-4.0"), (cc.format("-ShareAlike"), "cc-by-sa-4.0"),
+             (gnu.format("program", ""), "gpl"), (gnu.format("library", "Lesser "), "lgpl"), (gnu.format("program", "Affero "), "agpl"),
+             ("Licensed under CC BY-NC-ND 4.0.", "cc-by,cc-by-nc-nd-4.0"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+             (cc.format("") + " and " + cc.format("-NonCommercial"), "cc-by-4.0,cc-by-nc-4.0"),
+             ("licensed under a big Creative Commons of any Attribution so 4.0 so so International License", "")]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan(df).collect()} == {i: x for i, (_, x) in enumerate(cases)}
+
+
 def test_bpe(docs, rows, empty):
     from tokenizers import Tokenizer
     lib, own = Tokenizer.from_file(tokenizer_path()), WordBpe(read_spec(tokenizer_path()))
