@@ -8,6 +8,8 @@ of a pairwise dominance join.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +67,19 @@ def pareto_front(df: DataFrame, maximize: str, minimize: str) -> DataFrame:
     return j.where(on_front).drop("_best", "_before")
 
 
-def pareto_rank(df: DataFrame, key: str, maximize: str, minimize: str, max_fronts: int = 1000) -> DataFrame:
-    """Non-dominated sorting: front 1, remove it, front 2, ... (one distributed front per round)."""
+def pareto_rank(df: DataFrame, key: str, maximize: str, minimize: str) -> DataFrame:
+    """Non-dominated sorting: front 1, remove it, front 2, ... until no row is left (one distributed front per round).
+
+    A NULL key or objective raises: such a row is on no front.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    rest = df
+    rest = df.checkpoint(eager=True)
+    if rest.where(F.col(key).isNull() | F.col(maximize).isNull() | F.col(minimize).isNull()).limit(1).count():
+        raise ValueError("NULL key or objective")
     ranked = None
-    for rank in range(1, max_fronts + 1):
+    for rank in count(1):
         front = pareto_front(rest, maximize, minimize).withColumn("front", F.lit(rank)).checkpoint(eager=True)
         ranked = front if ranked is None else ranked.unionByName(front)
         rest = rest.join(front.select(key), on=key, how="left_anti").checkpoint(eager=True)
         if rest.limit(1).count() == 0:
             return ranked
-    raise ValueError("more fronts than max_fronts")

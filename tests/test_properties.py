@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabforge.operators import sequence as H
@@ -202,3 +203,21 @@ def test_group_assign_splits_a_hot_key(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_pareto_rank_has_no_cap_and_matches_brute_force(spark):
+    import inspect
+
+    from tabforge.operators.symbolic import pareto_rank
+    assert list(inspect.signature(pareto_rank).parameters) == ["df", "key", "maximize", "minimize"]
+    rows = [(i, float(i * 7 % 5), float(i * 3 % 4)) for i in range(18)]
+    df = spark.createDataFrame(rows, "id int, acc double, ce double")
+    rest, expected, rank = rows, {}, 0
+    while rest:
+        rank += 1
+        front = [r for r in rest if not any(a[1] >= r[1] and a[2] <= r[2] and a[1:] != r[1:] for a in rest)]
+        expected |= {r[0]: rank for r in front}
+        rest = [r for r in rest if r not in front]
+    assert {r["id"]: r["front"] for r in pareto_rank(df, "id", "acc", "ce").collect()} == expected and rank > 3
+    with pytest.raises(ValueError):
+        pareto_rank(spark.createDataFrame([(1, None, 1.0)], "id int, acc double, ce double"), "id", "acc", "ce")
