@@ -125,3 +125,9 @@ def op4_pseudonyms(spark, sf_dir):
 def op2_suffix_dedup(spark, sf_dir):
     from tabforge.llm.suffix_dedup import remove_repeats
     return remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
+
+
+@query()
+def op11_document_fingerprints(spark, sf_dir):
+    from tabforge.llm.merkle import fingerprint_edits
+    return fingerprint_edits(load(spark, sf_dir, "documents"))
