@@ -18,24 +18,33 @@ from pyspark.sql import functions as F
 
 PHRASE, SECTION = 4, 8
 #: Word ends: before a character that follows white space, and after full-width punctuation.
-WORD_END = r"(?<=\s)(?=\S)|(?<=[。！？；：，、])"
+WORD_END = r"(?<=\s)(?=\S)|(?<=[。！？；：，、])(?=[\s\S])"
 WEIGHT_BITS = 20
+MARK, ESC = "\u0001", "\u0002"
 NO_ID = -(1 << 63)
 #: Bytes of text that a bucket of consecutive ids holds on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 128 << 20
 
 
-def _ends(items: Column, ends_here) -> Column:
-    """Numbers of items up to each that ends a group; the last one always does."""
-    return F.filter(F.transform(items, lambda x, i: F.when(ends_here(x) | (i == F.size(items) - 1), i + 1)), lambda e: e.isNotNull())
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
-def _groups(items: Column, ends: Column, join) -> Column:
-    """``join`` of the items of every group."""
-    def one(e, k):
-        start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
-        return join(F.slice(items, start + 1, e - start))
-    return F.transform(ends, one)
+def _groups(items: Column, ends_here) -> Column:
+    """Texts of the groups that end with the items of ``ends_here``: marked, joined and split, in time linear in their length."""
+    marked = F.transform(items, lambda x, i: F.when(ends_here(x) & (i < F.size(items) - 1), F.concat(x, F.lit(MARK))).otherwise(x))
+    return F.when(F.size(items) > 0, F.split(F.array_join(marked, ""), MARK, -1)).otherwise(_none())
+
+
+def _escaped(text: Column) -> Column:
+    """A one-to-one image of the text without ``MARK``; only texts that hold ``MARK`` or ``ESC`` change."""
+    safe = F.replace(F.replace(text, F.lit(ESC), F.lit(ESC + "2")), F.lit(MARK), F.lit(ESC + "1"))
+    return F.when(text.rlike(f"[{MARK}{ESC}]"), safe).otherwise(text)
+
+
+def _length(text: Column) -> Column:
+    """Code points before escaping."""
+    return F.length(text) - F.when(F.contains(text, F.lit(ESC)), F.length(text) - F.length(F.replace(text, F.lit(ESC), F.lit("")))).otherwise(0)
 
 
 def _sha(c: Column) -> Column:
@@ -50,20 +59,24 @@ def add_tree(df: DataFrame, text: str, p: str) -> DataFrame:
     no nodes, and the root is the SHA-256 of nothing. Columns of these names are replaced.
     """
     c = lambda name: F.col(f"{p}{name}")
-    join = lambda x: F.array_join(x, "")
-    df = df.withColumn(f"{p}words", F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), WORD_END, -1), ""))
-    df = df.withColumn(f"{p}ends", _ends(c("words"), lambda w: (F.pmod(F.xxhash64(w), F.lit(PHRASE)) == 0) | F.contains(w, F.lit("\n"))))
-    df = df.withColumn(f"{p}texts", _groups(c("words"), c("ends"), join)).drop(f"{p}words", f"{p}ends")
-    df = df.withColumn(f"{p}paragraph_ends", _ends(c("texts"), lambda t: F.contains(t, F.lit("\n"))))
-    df = df.withColumn(f"{p}lines", _groups(c("texts"), c("paragraph_ends"), join))
-    df = df.withColumn(f"{p}section_ends", _ends(c("lines"), lambda t: (F.pmod(F.xxhash64(t), F.lit(SECTION)) == 0) | t.rlike(r"\n\s*\n")))
-    df = df.withColumn(f"{p}paragraphs", F.transform(c("lines"), _sha)).drop(f"{p}lines")
-    df = df.withColumn(f"{p}sections", _groups(c("paragraphs"), c("section_ends"), lambda x: _sha(join(x))))
-    df = df.withColumn(f"{p}root", _sha(join(c("sections"))))
+    own = F.coalesce(F.col(text), F.lit(""))
+    ends_line = lambda t: F.contains(t, F.lit("\n"))
+    ends_phrase = lambda w: (F.xxhash64(w).bitwiseAND(PHRASE - 1) == 0) | ends_line(w)
+    ends_section = lambda t: (F.xxhash64(t).bitwiseAND(SECTION - 1) == 0) | t.rlike(r"\n\s*\n")
+    df = df.withColumn(f"{p}words", F.when(F.length(own) > 0, F.split(_escaped(own), WORD_END, -1)).otherwise(_none()))
+    df = df.withColumn(f"{p}texts", _groups(c("words"), ends_phrase)).drop(f"{p}words")
+    df = df.withColumn(f"{p}paragraph_ends", F.filter(F.transform(c("texts"), lambda x, i: F.when(
+        ends_line(x) | (i == F.size(c("texts")) - 1), i + 1)), lambda e: e.isNotNull())).withColumn(f"{p}lines", _groups(c("texts"), ends_line))
+    df = df.withColumn(f"{p}cuts", F.transform(c("lines"), ends_section)).withColumn(f"{p}paragraphs", F.transform(c("lines"), _sha)).drop(f"{p}lines")
+    many = F.size(c("paragraphs"))
+    df = df.withColumn(f"{p}section_ends", F.filter(F.transform(c("cuts"), lambda x, i: F.when(x | (i == many - 1), i + 1)), lambda e: e.isNotNull()))
+    last = F.transform(c("paragraphs"), lambda h, i: F.when(F.get(c("cuts"), i) & (i < many - 1), F.concat(h, F.lit(MARK))).otherwise(h))
+    df = df.withColumn(f"{p}sections", F.when(many > 0, F.transform(F.split(F.array_join(last, ""), MARK, -1), _sha)).otherwise(_none())).drop(f"{p}cuts")
+    df = df.withColumn(f"{p}root", _sha(F.array_join(c("sections"), "")))
     top = F.lit((1 << WEIGHT_BITS) - 1).cast("long")
     return df.withColumn(f"{p}phrases", F.transform(c("texts"), lambda t: F.shiftleft(F.shiftright(F.xxhash64(t), WEIGHT_BITS), WEIGHT_BITS)
-                         .bitwiseOR(F.least(F.length(t).cast("long"), top)))).withColumn(
-        f"{p}sizes", F.transform(c("texts"), F.length)).drop(f"{p}texts")
+                         .bitwiseOR(F.least(_length(t).cast("long"), top)))).withColumn(
+        f"{p}sizes", F.transform(c("texts"), _length)).drop(f"{p}texts")
 
 
 def _weight(phrases: Column) -> Column:
@@ -116,7 +129,7 @@ def _bucket(x: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next row by ascending ``doc_id``, of the first one after the last.
 
-    Rows go to buckets of consecutive ids, as many as the session has shuffle partitions or more; the first rows of a
+    Rows go to buckets of consecutive ids, at least four for each shuffle partition of the session; the first rows of a
     bucket also go to the bucket before it (those of the first to the last), so the texts are shuffled once and no
     task sees more than its bucket. Rows of one id follow each other by text hash and share a bucket. A null id comes
     before all others. Null texts are empty. Results don't depend on ``n_buckets``.
@@ -126,7 +139,7 @@ def with_next(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     own = own.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID)))
     if n_buckets is None:
         held = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / BUCKET_BYTES))
+        n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / BUCKET_BYTES))
     cuts = own.agg(F.percentile_approx("__id", [i / n_buckets for i in range(1, n_buckets)], max(10000, 10 * n_buckets))).first()[0] if n_buckets > 1 else None
     own = own.withColumn("__bucket", _bucket(F.col("__id"), sorted(set(cuts or []))))
     firsts = sorted(tuple(r) for r in own.groupBy("__bucket").agg(F.min("__id")).collect())  # a row per bucket
