@@ -1,144 +1,247 @@
-"""Exact k-nearest-neighbour search over bounding boxes of donor cells (used by I2, I4, I5, L9).
-
-No cross join and no rounds that grow with the data: donor rows are collapsed to distinct feature
-vectors, every vector goes to the nearest of at most ``MAX_PIVOTS`` sampled donor vectors, and each
-cell's box (least and largest value per feature) is read back. A query vector first searches the cells
-nearest to it that hold k rows, then, in one more pass, every other cell whose box is not farther
-than its k-th distance so far. The bound by boxes holds for any number of features and with NULLs.
-Each donor vector keeps only its k lowest-key rows, so a value repeated in a third of the table is
-one small record. Both sides of every join are settled tables, so hot cells are split at run time.
+"""Exact k-nearest-neighbour search over a tree of donor cells (used by I2, I4, I5, L9).
+
+Donor rows are collapsed to distinct feature vectors, each with its k lowest-key rows, so a value repeated in a third of
+the table is one small record. The vectors are split level by level, every cell that is too large at quantiles of its
+widest feature, until all cells are bounded. Query vectors walk down the same splits and are dealt into bounded blocks
+by their cell. A block is first searched in its own cell, which bounds its distances; then it walks the tree again
+from the root, and only reaches cells whose box is not farther than that. What a query costs so depends on the cells it
+reaches and on the depth of the tree, not on the number of cells.
+
+A block meets a cell as two matrices inside a task: distances are matrix products over the known features, good to a
+proven rounding error, and the few vectors inside that error of the k-th are computed again feature by feature.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.session import ensure_checkpoint_dir
+from tabforge.plans.bounded import checked_broadcast, settled, ship
 
+ship(__name__)
 METRICS = ("mean_sq", "euclidean", "manhattan")
-MAX_PIVOTS = 1024  # cells are at most twice as many: vectors with a NULL have their own
-
-
-def _sum(terms: list[Column]) -> Column:
-    return sum(terms[1:], terms[0])
-
-
-def _total(diffs: list[Column], metric: str) -> Column:
-    """Sum of absolute or squared differences; a NULL difference adds nothing."""
-    return _sum([F.coalesce(F.abs(x) if metric == "manhattan" else x * x, F.lit(0.0)) for x in diffs])
-
-
-def _scaled(total: Column, shared: Column, dims: int, metric: str) -> Column:
-    """Distance from the sum over ``shared`` features; NULL if there are none."""
-    shared = F.when(shared > 0, shared)
-    if metric == "mean_sq":
-        return total / shared
-    whole = total * (F.lit(float(dims)) / shared)
-    return F.sqrt(whole) if metric == "euclidean" else whole
-
-
-def _distance(a: Column, b: Column, dims: int, metric: str) -> Column:
-    diffs = [a[i] - b[i] for i in range(dims)]
-    return _scaled(_total(diffs, metric), _sum([F.when(x.isNotNull(), 1.0).otherwise(0.0) for x in diffs]), dims, metric)
-
-
-def _sql(v) -> str:
-    if v is None:
-        return "cast(null as double)"
-    return f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)}')"
-
-
-def _sql_array(values) -> str:
-    return f"array({', '.join(map(_sql, values))})"
-
-
-def _settle(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
-
-
-def _cell_bounds(cells: Column, x: Column, dims: int, metric: str) -> Column:
-    """``lb, mid, id, n`` of every cell that shares a feature with ``x``: no vector in it is nearer than ``lb``.
-
-    A feature that is NULL in some vectors of the cell counts in the divisor but adds nothing to the sum.
-    """
-    def one(c):
-        gaps = [F.greatest(c["lo"][i] - x[i], x[i] - c["hi"][i], F.lit(0.0)) for i in range(dims)]
-        known = [x[i].isNotNull() & c["lo"][i].isNotNull() for i in range(dims)]
-        shared = _sum([F.when(s, 1.0).otherwise(0.0) for s in known])
-        sure = [F.when(s & ~c["holes"][i], g) for i, (s, g) in enumerate(zip(known, gaps))]
-        mids = [(c["lo"][i] + c["hi"][i]) / 2 - x[i] for i in range(dims)]
-        return F.struct(_scaled(_total(sure, metric), shared, dims, metric).alias("lb"),
-                        _scaled(_total(mids, metric), shared, dims, metric).alias("mid"), c["id"].alias("id"), c["n"].alias("n"))
-    return F.filter(F.transform(cells, one), lambda c: c["lb"].isNotNull())
+FAN_OUT = 8  # quantile slots of a split; one more takes the largest value, another the vectors without one
+SLOTS = FAN_OUT + 2
+TILE = 1 << 21  # distances computed at once
+
+
+# Distances of a block to a cell, inside a task ------------------------------------------------------
+def _matrix(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return pa.chunked_array(lists).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+
+
+def _finish(total: np.ndarray, shared: np.ndarray, dims: int, metric: str) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "mean_sq":
+            return total / shared
+        whole = total * (dims / shared)
+        return np.sqrt(whole) if metric == "euclidean" else whole
+
+
+def _exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of vector pairs, feature by feature in order; NaN where no feature is shared."""
+    total, shared = np.zeros(len(x)), np.zeros(len(x))
+    for f in range(x.shape[1]):
+        diff = x[:, f] - y[:, f]
+        known = ~np.isnan(diff)
+        total += np.where(known, np.abs(diff) if metric == "manhattan" else diff * diff, 0.0)
+        shared += known
+    return _finish(total, shared, x.shape[1], metric)
+
+
+def _rough(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """All distances before the root, infinite where no feature is shared, and a bound on each row's error."""
+    dims = x.shape[1]
+    kx, ky = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    shared = kx @ ky.T
+    if metric == "manhattan":
+        total = np.zeros((len(x), len(y)))
+        for f in range(dims):
+            total += np.nan_to_num(np.abs(x[:, f, None] - y[:, f]))
+        size = np.nan_to_num(np.abs(x)).sum(1) + (np.nan_to_num(np.abs(y)).sum(1).max() if len(y) else 0.0)
+    else:
+        with np.errstate(all="ignore"):
+            centre = np.nan_to_num(np.nansum(y, 0) / ky.sum(0))
+        x0, y0 = np.where(kx > 0, x - centre, 0.0), np.where(ky > 0, y - centre, 0.0)
+        total = (x0 * x0) @ ky.T + kx @ (y0 * y0).T - 2.0 * (x0 @ y0.T)
+        size = (x0 * x0).sum(1) + ((y0 * y0).sum(1).max() if len(y) else 0.0)
+        # Centring rounds each component once more.
+        size += 2.0 * np.sqrt(size) * (np.nan_to_num(np.abs(x)).sum(1) + np.abs(centre).sum())
+    scale = 1.0 if metric == "mean_sq" else float(dims)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.where(shared > 0, np.maximum(total, 0.0) * (scale / shared), np.inf)
+    return rough, 16.0 * (dims + 4) * np.finfo(float).eps * scale * size
+
+
+def _nearest(key, left: pa.Table, right: pa.Table, k: int, dims: int, metric: str) -> pa.Table:
+    """``vid, leaf, idx, dist``: of one cell the first k vectors of every query vector by (distance, number in the cell)."""
+    x, y = _matrix(left["x"], dims), _matrix(right["x"], dims)
+    idx = right["idx"].to_numpy()
+    y, idx = y[np.argsort(idx)], np.sort(idx)
+    top = left["kth"].to_numpy(zero_copy_only=False).astype(float)
+    top = np.where(np.isnan(top), np.inf, top)
+    vid = left["vid"].to_numpy()
+    out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+    step = max(1, TILE // max(1, len(y)))
+    for at in range(0, len(x), step):
+        part, bound = x[at:at + step], top[at:at + step]
+        rough, error = _rough(part, y, metric)
+        limit = np.where(np.isinf(bound), np.inf, bound * bound if metric == "euclidean" else bound) * (1 + 1e-12)
+        if len(y) > k:
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + error)
+        i, j = np.nonzero((rough <= (limit + error)[:, None]) & (rough < np.inf))
+        dist = _exact(part[i], y[j], metric)
+        near = dist <= bound[i]
+        i, j, dist = i[near], j[near], dist[near]
+        order = np.lexsort((j, dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        keep = rank < k
+        out.append([vid[at:at + step][i[keep]], idx[j[keep]], dist[keep]])
+    vids, idxs, dists = (np.concatenate(c) for c in zip(*out))
+    return pa.table({"vid": pa.array(vids, pa.int64()), "leaf": pa.array(np.full(len(vids), key[0].as_py()), pa.int64()),
+                     "idx": pa.array(idxs, pa.int64()), "dist": pa.array(dists, pa.float64())})
+
+
+# The tree -------------------------------------------------------------------------------------------
+def _boxes(df: DataFrame, by: list[str], dims: int, *more: Column) -> DataFrame:
+    """``lo, hi`` (arrays by feature; null where never known), ``holes`` (a vector lacks it) and ``n``."""
+    x = [F.col("x")[i] for i in range(dims)]
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*map(F.min, x)).alias("lo"), F.array(*map(F.max, x)).alias("hi"),
+                               F.array(*[F.max(v.isNull()) for v in x]).alias("holes"), *more)
+
+
+def _slot(v: Column, cuts: Column) -> Column:
+    return F.when(v.isNull(), SLOTS - 1).otherwise(F.size(F.filter(cuts, lambda c: c <= v)))
+
+
+def _grow(vectors: DataFrame, dims: int, leaf_rows: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Vectors with their leaf (``node``); nodes of each level with their boxes; splits of each level."""
+    levels, splits = [], []
+    placed = vectors.withColumn("node", F.lit(0).cast("long")).withColumn("level", F.lit(0))
+    while True:
+        depth = len(levels)
+        nodes = settled(_boxes(placed.where(F.col("level") == depth), ["node"], dims))
+        levels.append(nodes)
+        large = nodes.where(F.col("n") > leaf_rows)
+        if not large.limit(1).count():
+            return placed, levels, splits
+        # The widest feature; where all known values are equal, one that some vectors lack.
+        wide = F.array_max(F.zip_with("lo", "hi", lambda a, b: F.coalesce(b - a, F.lit(-1.0))))
+        width = F.zip_with("lo", "hi", lambda a, b: F.coalesce(b - a, F.lit(-1.0)))
+        mixed = F.zip_with("lo", "holes", lambda a, h: a.isNotNull() & h)
+        dim = F.when(wide > 0, F.array_position(width, wide)).otherwise(F.array_position(mixed, True)) - 1
+        large = checked_broadcast(large.select("node", dim.cast("int").alias("dim"), F.get("hi", dim.cast("int")).alias("top")), 1 << 17)
+        at = F.get("x", F.col("dim"))
+        cuts = (placed.where(F.col("level") == depth).join(large, "node").groupBy("node", "dim", "top")
+                .agg(F.percentile_approx(at, [i / FAN_OUT for i in range(1, FAN_OUT)], 1000).alias("q")))
+        cuts = cuts.select("node", "dim", F.array_sort(F.array_distinct(F.concat(F.coalesce("q", F.array()), F.array("top")))).alias("cuts"))
+        cuts = checked_broadcast(cuts, 1 << 17)
+        splits.append(cuts)
+        slot = _slot(at, F.col("cuts"))
+        placed = placed.join(cuts, "node", "left").select(
+            *[c for c in placed.columns if c not in ("node", "level")],
+            F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * SLOTS + slot + 1).alias("node"),
+            F.when(F.col("dim").isNull(), F.col("level")).otherwise(depth + 1).alias("level"))
+
+
+def _parent(node: str = "node") -> Column:
+    return F.expr(f"({node} - 1) div {SLOTS}")
+
+
+def _descend(queries: DataFrame, levels: list[DataFrame], splits: list[DataFrame], k: int) -> DataFrame:
+    """Every query vector's leaf: at each split the nearest slot that holds k vectors."""
+    q = queries.withColumn("node", F.lit(0).cast("long"))
+    for cuts, below in zip(splits, levels[1:]):
+        kids = below.groupBy(_parent().alias("node")).agg(F.collect_list(F.struct("n", (F.pmod(F.col("node") - 1, F.lit(SLOTS))).alias("s"))).alias("kids"))
+        step = checked_broadcast(cuts.join(kids, "node"), 1 << 17)
+        mine = _slot(F.get("x", F.col("dim")), F.col("cuts"))
+        q = q.join(step, "node", "left").withColumn("slot", mine)
+        best = F.array_min(F.transform("kids", lambda c: F.struct((c["n"] < k).alias("few"), F.abs(c["s"] - F.col("slot")).alias("far"), c["s"].alias("s"))))["s"]
+        q = q.withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * SLOTS + best + 1)).drop(
+            "dim", "cuts", "kids", "slot")
+    return q
+
+
+def _reach(blocks: DataFrame, levels: list[DataFrame], leaf_rows: int, dims: int, metric: str) -> DataFrame:
+    """``block, leaf``: cells whose box is not farther from the block's box than the block's largest k-th distance."""
+    def bound():
+        far = F.zip_with(F.zip_with("qlo", "hi", lambda a, b: a - b), F.zip_with("lo", "qhi", lambda a, b: a - b),
+                         lambda a, b: F.greatest(a, b, F.when(a.isNotNull(), F.lit(0.0))))  # null unless both may know the feature
+        shared = F.size(F.filter(far, lambda v: v.isNotNull()))
+        sure = F.zip_with(far, F.zip_with("holes", "qholes", lambda a, b: ~a & ~b), lambda v, s: F.when(s & v.isNotNull(), v).otherwise(0.0))
+        total = F.aggregate(sure, F.lit(0.0), lambda t, v: t + (v if metric == "manhattan" else v * v))
+        scaled = total / shared if metric == "mean_sq" else total * (F.lit(float(dims)) / shared)
+        return F.when(shared > 0, F.sqrt(scaled) if metric == "euclidean" else scaled)
+    frontier = blocks.withColumn("at", F.lit(0).cast("long"))
+    reached = []
+    for nodes in levels[1:]:
+        kids = nodes.withColumn("at", _parent())
+        frontier = (frontier.join(kids, "at").withColumn("lb", bound())
+                    .where(F.col("lb").isNotNull() & (F.col("kth").isNull() | (F.col("lb") * (1 - 1e-9) <= F.col("kth")))))
+        reached.append(frontier.where((F.col("n") <= leaf_rows) & (F.col("node") != F.col("home"))).select("block", F.col("node").alias("leaf")))
+        frontier = frontier.where(F.col("n") > leaf_rows).drop("at", "lb", "n", "lo", "hi", "holes").withColumnRenamed("node", "at")
+    out = reached[0]
+    for r in reached[1:]:
+        out = out.unionByName(r)
+    return settled(out)
 
 
 def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey: str, dkey: str,
-        dval: str, metric: str = "mean_sq", cells_per_dim: int | None = None) -> DataFrame:
+        dval: str, metric: str = "mean_sq", leaf_rows: int = 4096, block_rows: int = 2048) -> DataFrame:
     """Rows (qkey, dkey, dval, dist, rank) — the k nearest donors of every query row.
 
-    Neighbours are ordered by (distance, donor key). Features that are NULL (or NaN) on either side are left out:
+    Neighbours are ordered by (distance, donor key). Features that are NULL, NaN or infinite on either side are left out:
     ``mean_sq`` averages over the shared ones, the other metrics are scaled up to all features. A donor that shares
-    no feature is no neighbour; a query may so have fewer than k. ``cells_per_dim`` sets the number of cells (times the
-    number of features) and never changes the result.
+    no feature is no neighbour; a query may so have fewer than k. ``leaf_rows`` and ``block_rows`` bound the cells and
+    the blocks of queries and never change the result.
     """
     if metric not in METRICS:
         raise ValueError(metric)
-    spark, dims = queries.sparkSession, len(features)
-    ensure_checkpoint_dir(spark)
+    dims = len(features)
 
     def vector(f):
         v = F.col(f).cast("double")
-        return F.when(~F.isnan(v), v)
+        return F.when(F.abs(v) < float("inf"), v + F.lit(0.0))
     x = F.array(*[vector(f) for f in features])
     q = queries.select(qkey, x.alias("x"))
-    d = donors.select(F.col(dkey).alias("dk"), F.col(dval).alias("dv"), x.alias("x"))
-
-    n_pivots = min(MAX_PIVOTS, cells_per_dim * dims if cells_per_dim else math.ceil(math.sqrt(d.count() / k)))
-    pivots = [r["x"] for r in d.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, n_pivots)).collect()]
-    if not pivots:
-        return q.select(qkey).join(donors.select(dkey, dval), F.lit(False)).select(
-            qkey, dkey, dval, F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
-    near = F.array_min(F.transform(F.expr(f"array({', '.join(map(_sql_array, pivots))})"), lambda p, i: F.struct(
-        F.coalesce(_distance(F.col("x"), p, dims, metric), F.lit(float("inf"))).alias("d"), i.alias("i"))))["i"]
-    has_null = F.exists("x", lambda v: v.isNull()).cast("int")
     lowest = Window.partitionBy("x").orderBy("dk")  # partial group limit before the shuffle
-    dv = _settle(d.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k)
-                 .groupBy("x").agg(F.collect_list(F.struct("dk", "dv")).alias("rows"))
-                 .select(F.col("x").alias("dx"), "rows", (2 * near + has_null).alias("cell")))
-
-    box = [agg for i in range(dims) for agg in (
-        F.min(F.col("dx")[i]).alias(f"lo{i}"), F.max(F.col("dx")[i]).alias(f"hi{i}"),
-        F.max(F.col("dx")[i].isNull()).alias(f"holes{i}"))]
-    boxes = dv.groupBy("cell").agg(F.sum(F.size("rows")).alias("n"), *box).collect()  # at most 2 * MAX_PIVOTS rows
-    cells = F.expr("array(" + ", ".join(
-        f"named_struct('id', {b['cell']}, 'n', {b['n']}L, 'lo', {_sql_array(b[f'lo{i}'] for i in range(dims))}, "
-        f"'hi', {_sql_array(b[f'hi{i}'] for i in range(dims))}, "
-        f"'holes', array({', '.join(str(b[f'holes{i}']).lower() for i in range(dims))}))" for b in boxes) + ")")
-    bounds = _cell_bounds(cells, F.col("x"), dims, metric)
-
-    def search(probe: DataFrame) -> DataFrame:
-        """Distances of every (vector, cell) of ``probe`` to the cell's donor vectors."""
-        return probe.join(dv, "cell").withColumn("dist", _distance(F.col("x"), F.col("dx"), dims, metric)).where(F.col("dist").isNotNull())
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("dist", "dk"))).where(F.col("rank") <= k)
-
-    rows = F.explode("rows").alias("row")
-    # First pass: the nearest cells that together hold k rows.
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("ids"))
-    taken = F.aggregate(F.array_sort(bounds), start, lambda acc, c: F.when(acc["n"] >= k, acc).otherwise(
-        F.struct((acc["n"] + c["n"]).alias("n"), F.concat(acc["ids"], F.array(c["id"])).alias("ids"))))["ids"]
-    qv = _settle(q.select("x").distinct().withColumn("taken", taken))
-    first = _settle(best(search(qv.select("x", F.explode("taken").alias("cell")))
-                         .select("x", "dist", rows).select("x", "dist", "row.*")))
-    # Second pass: all others that may hold a nearer donor.
-    far = first.groupBy("x").agg(F.count("*").alias("got"), F.max("dist").alias("kth"))
-    left = _settle(qv.join(far, "x", "left").select("x", F.when(F.col("got") >= k, F.col("kth")).alias("kth"), "taken"))
-    rest = F.filter(bounds, lambda c: ~F.array_contains("taken", c["id"]) & (F.col("kth").isNull() | (c["lb"] <= F.col("kth"))))
-    more = (search(left.select("x", "kth", F.explode(rest["id"]).alias("cell")))
-            .where(F.col("kth").isNull() | (F.col("dist") <= F.col("kth"))).select("x", "dist", rows).select("x", "dist", "row.*"))
-    cand = _settle(best(first.drop("rank").unionByName(more)))
+    d = donors.select(F.col(dkey).alias("dk"), F.col(dval).alias("dv"), x.alias("x"))
+    dv = settled(d.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k)
+                 .groupBy("x").agg(F.sort_array(F.collect_list(F.struct("dk", "dv"))).alias("rows")))
+    placed, levels, splits = _grow(dv, dims, leaf_rows)
+    number = Window.partitionBy("node").orderBy(F.col("rows")[0]["dk"], "x")  # a leaf is bounded
+    cells = settled(placed.select(F.col("node").alias("leaf"), "x", "rows").withColumn(
+        "idx", F.row_number().over(number.partitionBy("leaf")).cast("long")))
+    qv = _descend(q.select("x").distinct(), levels, splits, k).withColumnRenamed("node", "home")
+    qv = settled(qv.withColumn("vid", F.monotonically_increasing_id()))
+    n_blocks = qv.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    qv = settled(qv.join(checked_broadcast(n_blocks, 1 << 17), "home").withColumn(
+        "block", F.xxhash64("home", F.pmod(F.xxhash64("x"), F.col("parts")))).drop("parts"))
+
+    def search(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+        """The block's vectors against the cell's, for every pair ``leaf, block``; both are bounded."""
+        left = vectors.join(pairs, "block").select("leaf", "block", "vid", "x", "kth")
+        met = pairs.select(F.col("leaf").alias("cell"), F.col("block").alias("by"))
+        right = cells.join(met, F.col("leaf") == F.col("cell")).select("cell", "by", "idx", "x")
+        return settled(left.groupBy("leaf", "block").cogroup(right.groupBy("cell", "by")).applyInArrow(
+            lambda key, a, b: _nearest(key, a, b, k, dims, metric), "vid long, leaf long, idx long, dist double"))
+    own = settled(qv.select(F.col("home").alias("leaf"), "block").distinct())
+    found = search(own, qv.withColumn("kth", F.lit(None).cast("double")))
+    if splits:
+        got = found.groupBy("vid").agg(F.count("*").alias("got"), F.max("dist").alias("far"))
+        bounded = settled(qv.join(got, "vid", "left").select("vid", "x", "block", "home", F.when(F.col("got") >= k, F.col("far")).alias("kth")))
+        # A block that holds a vector without a bound has none itself.
+        blocks = _boxes(bounded, ["block", "home"], dims, F.when(F.bool_and(F.col("kth").isNotNull()), F.max("kth")).alias("kth"))
+        blocks = settled(blocks.select("block", "home", "kth", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("holes").alias("qholes")))
+        found = found.unionByName(search(_reach(blocks, levels, leaf_rows, dims, metric), bounded))
+    best = Window.partitionBy("vid").orderBy("dist", "row.dk")
+    # Vectors beyond the k-th distance go first, so rows are only unpacked for what may rank.
+    near = found.withColumn("r", F.rank().over(Window.partitionBy("vid").orderBy("dist"))).where(F.col("r") <= k).drop("r")
+    cand = settled(near.join(cells.select("leaf", "idx", "rows"), ["leaf", "idx"]).select("vid", "dist", F.explode("rows").alias("row"))
+                   .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    cand = settled(cand.join(qv.select("vid", "x"), "vid").select("x", "dist", "row.*", "rank"))
     return q.join(cand, "x").select(qkey, F.col("dk").alias(dkey), F.col("dv").alias(dval), "dist", "rank")

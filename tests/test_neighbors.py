@@ -38,8 +38,8 @@ def neighbours(spark, d, q, metric, k, **more):
     return [[j for _, j in sorted(got.get(i, []))] for i in range(len(q))]
 
 
-@pytest.mark.parametrize("metric", ["mean_sq", "euclidean", "manhattan"])
-def test_many_features_with_nulls(spark, metric):
+@pytest.mark.parametrize("metric,leaf", [("mean_sq", 4096), ("mean_sq", 30), ("euclidean", 40), ("manhattan", 40)])
+def test_many_features_with_nulls(spark, metric, leaf):
     rng = np.random.RandomState(3)
     d, q = rng.randint(0, 5, (250, 22)).astype(float), rng.randint(0, 5, (12, 22)).astype(float)
     d[rng.rand(*d.shape) < 0.1] = np.nan
@@ -47,18 +47,44 @@ def test_many_features_with_nulls(spark, metric):
     q[rng.rand(*q.shape) < 0.2] = np.nan
     d[7], q[11] = np.nan, np.nan  # nothing shared with anyone
     want = [brute(d, x, metric, 9) for x in q]
-    assert neighbours(spark, d, q, metric, 9) == want
+    assert neighbours(spark, d, q, metric, 9, leaf_rows=leaf, block_rows=3) == want
     assert want[11] == []
 
 
 def test_far_tail_and_few_donors(spark):
     d = np.append(np.linspace(0, 1, 400), 1000.0)[:, None]
     q = np.array([[1.5], [999.0], [-50.0]])
-    assert neighbours(spark, d, q, "euclidean", 3, cells_per_dim=50) == [brute(d, x, "euclidean", 3) for x in q]
+    assert neighbours(spark, d, q, "euclidean", 3, leaf_rows=50, block_rows=2) == [brute(d, x, "euclidean", 3) for x in q]
     assert neighbours(spark, d[:2], q, "euclidean", 3) == [brute(d[:2], x, "euclidean", 3) for x in q]
     assert neighbours(spark, d[:0], q, "euclidean", 3) == [[], [], []]
 
 
+def test_few_valued_features_and_offsets(spark):
+    """Ties everywhere, cells that differ in one feature or only in what is missing, and values far from zero."""
+    rng = np.random.RandomState(5)
+    d = rng.randint(0, 2, (600, 6)).astype(float)
+    d[rng.rand(*d.shape) < 0.3] = np.nan
+    q = rng.randint(0, 2, (9, 6)).astype(float)
+    assert neighbours(spark, d, q, "mean_sq", 20, leaf_rows=20, block_rows=4) == [brute(d, x, "mean_sq", 20) for x in q]
+    d, q = 1e6 + rng.rand(500, 3), 1e6 + rng.rand(8, 3)
+    for metric in ("euclidean", "manhattan"):
+        assert neighbours(spark, d, q, metric, 4, leaf_rows=16, block_rows=3) == [brute(d, x, metric, 4) for x in q]
+
+
+def test_cells_far_away_are_not_read(spark, monkeypatch):
+    """On clustered data a block reaches a few cells, however many there are."""
+    from tabforge.operators import neighbors as N
+    pairs = {}
+    reach = N._reach
+    monkeypatch.setattr(N, "_reach", lambda *a: pairs.setdefault(len(pairs), reach(*a)))
+    rng = np.random.RandomState(1)
+    for n in (400, 1600):
+        d = (rng.randint(0, 100, (n, 1)) * 1000.0) + rng.rand(n, 3)
+        q = d[rng.choice(n, 10)] + 0.01
+        assert neighbours(spark, d, q, "euclidean", 3, leaf_rows=25, block_rows=1) == [brute(d, x, "euclidean", 3) for x in q]
+    assert all(p.count() <= 10 * 4 for p in pairs.values()) and len(pairs) == 2
+
+
 def test_impute_row_with_null_features(spark):
     df = spark.createDataFrame([(1, 1.0, None, 10.0), (2, 2.0, 5.0, 20.0), (3, None, 5.0, None), (4, None, None, None)],
                                "k long, a double, b double, y double")

@@ -144,7 +144,7 @@ def test_knn_many_rounds_with_checkpoints(spark):
     q = rng.uniform(0, 10, size=(15, 2))
     donors = spark.createDataFrame([(i, 0.0, *map(float, x)) for i, x in enumerate(d)], "dk long, y double, a double, b double")
     queries = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(q)], "qk long, a double, b double")
-    nb = knn(queries, donors, ["a", "b"], 6, "qk", "dk", "y", metric="euclidean", cells_per_dim=40)
+    nb = knn(queries, donors, ["a", "b"], 6, "qk", "dk", "y", metric="euclidean", leaf_rows=40)
     got = {}
     for r in nb.collect():
         got.setdefault(r["qk"], []).append((r["rank"], r["dk"]))
