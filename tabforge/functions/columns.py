@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.plans.bounded import settled
+from tabforge.plans.bounded import checked_broadcast, settled
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's lists for equal results).
@@ -76,6 +76,28 @@ def map_values(col, mapping: dict, default=None, strict: bool = False) -> Column
     return looked if default is None else F.coalesce(looked, F.lit(default))
 
 
+def map_values_join(df: DataFrame, col: str, mapping: DataFrame, out: str, key: str = "key", value: str = "value",
+                    default=None, strict: bool = False) -> DataFrame:
+    """``map_values`` for maps of any size: ``mapping`` is a table of (key, value), joined on the key.
+
+    Same result and type as the literal form: a null stays null, an unknown key raises (``strict``) or gives ``default``.
+    A map with a repeated or null key raises. It is broadcast only if its counted rows and bytes are few.
+    """
+    table = settled(mapping.select(F.col(key).alias("_key"), F.col(value).alias(out if out not in df.columns else "_value"), F.lit(True).alias("_known")))
+    found = table.columns[1]
+    n, keys = table.agg(F.count("*"), F.count_distinct("_key")).first()
+    if n != keys:
+        raise ValueError("repeated or null key in the map")
+    j = df.join(checked_broadcast(table, 1_000_000), df[col] == table["_key"], "left")
+    looked = F.col(found)
+    if strict:
+        looked = F.when(df[col].isNull() | F.col("_known"), looked).otherwise(
+            F.raise_error(F.concat(F.lit("unknown key: "), df[col].cast("string"))))
+    elif default is not None:
+        looked = F.coalesce(looked, F.lit(default))
+    return j.select(*[df[c] for c in df.columns if c != out], looked.alias(out))
+
+
 # C9 ------------------------------------------------------------------------
 def replace_value(col, sentinel) -> Column:
     return F.nullif(_c(col), F.lit(sentinel))
@@ -120,22 +142,26 @@ def stable_sigmoid(col) -> Column:
 
 # C15 -----------------------------------------------------------------------
 def standardize(df: DataFrame, cols: list[str], by: str | None = None, suffix: str = "") -> DataFrame:
-    """Z-score with the table's own mean and sample std (per ``by`` group when given)."""
+    """Z-score with the table's own mean and sample std (per ``by`` group when given).
+
+    NULL where the table or group has no spread: one row, or one value.
+    """
+    z = lambda c, m, s: F.try_divide(F.col(c) - m, s.cast("double"))
     aggs = [e for c in cols for e in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))]
     if by is None:
         st = df.agg(*aggs).first()
-        return df.withColumns({c + suffix: (F.col(c) - F.lit(st[f"_m_{c}"])) / F.lit(st[f"_s_{c}"]) for c in cols})
+        return df.withColumns({c + suffix: z(c, F.lit(st[f"_m_{c}"]), F.lit(st[f"_s_{c}"])) for c in cols})
     st = df.groupBy(by).agg(*aggs)
     j = df.join(settled(st), on=by, how="left")
-    j = j.withColumns({c + suffix: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols})
+    j = j.withColumns({c + suffix: z(c, F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols})
     return j.drop(*[x for c in cols for x in (f"_m_{c}", f"_s_{c}")])
 
 
 # C16 -----------------------------------------------------------------------
 def frobenius_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Divide every listed column by one global norm sqrt(Σ x²) over all cells."""
-    norm = df.agg(F.sqrt(reduce(lambda a, b: a + b, [F.sum(F.col(c).cast("double") ** 2) for c in cols]))).first()[0]
-    return df.withColumns({c: F.col(c) / F.lit(norm) for c in cols})
+    """Divide every listed column by one global norm sqrt(Σ x²) over all cells; NULL if they are all zero or NULL."""
+    norm = df.agg(F.sqrt(reduce(lambda a, b: a + b, [F.coalesce(F.sum(F.col(c).cast("double") ** 2), F.lit(0.0)) for c in cols]))).first()[0]
+    return df.withColumns({c: F.try_divide(F.col(c).cast("double"), F.lit(norm)) for c in cols})
 
 
 # D1 ------------------------------------------------------------------------

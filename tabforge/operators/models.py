@@ -19,11 +19,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.operators.neighbors import knn
+from tabforge.plans.bounded import settled
 from tabforge.operators.summarize import cross_products
 
 # Estimator factories --------------------------------------------------------------
@@ -60,7 +62,7 @@ def mlp(layers: list[int], **p):
     return MultilayerPerceptronClassifier(layers=layers, **p)
 
 
-class RandomFourierFeatures(Transformer):
+class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Vector of √(2/D)·cos(x·w + b) features approximating an RBF kernel (K15 as a pipeline stage)."""
 
     gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
@@ -116,51 +118,68 @@ def with_label(df: DataFrame, y: str, label: str = "label") -> DataFrame:
 
 
 # AdaBoost (SAMME) ---------------------------------------------------------------------------
+class Ensemble:
+    """Weighted members over coded classes: ``classes[i]`` is the label of the members' prediction i."""
+
+    def __init__(self, members: list[tuple], classes: list):
+        self.members, self.classes = members, classes
+
+
+def _member(model, df: DataFrame, k: int) -> DataFrame:
+    """Column ``_p<k>``: a member's prediction."""
+    out = model.copy().setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_q{k}").transform(df)
+    return out.drop(f"_r{k}", f"_q{k}")
+
+
 def adaboost(df: DataFrame, cols: list[str], y: str, key: str, depth: int = 3, rounds: int = 10,
-             lr: float = 1.0, seed: int = 0):
-    """Returns [(tree model, alpha)]: weighted trees, weights updated as DataFrame expressions.
+             lr: float = 1.0, seed: int = 0) -> Ensemble:
+    """SAMME over trees for any number of classes.
 
-    Each round's weights are checkpointed (shared checkpoint folder), so
-    lineage stays one round deep and lost executors recompute one round only.
+    Feature vectors and coded labels are settled once. A round's weights follow from the ensemble so far, so no round
+    writes rows: a row's weight is the product of exp(alpha) over the members that miss it. One class gives one tree.
+    Rows with a NULL label are left out.
     """
-    from tabforge.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    df = df.where(F.col(y).isNotNull())
+    classes = sorted(r[0] for r in df.select(y).distinct().collect())  # one row per class
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(y)) - 1
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    data = va.transform(with_label(df.select(key, y, *cols), y, "_label")).withColumn("w", F.lit(1.0))
-    n = data.count()
-    data = data.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
-    k_classes = 2
-    ensemble = []
+    data = settled(va.transform(df.select(code.cast("double").alias("_label"), *cols)).select("features", "_label"))
+    members: list[tuple] = []
+    many = max(2, len(classes))
     for r in range(rounds):
-        m = DecisionTreeClassifier(maxDepth=depth, weightCol="w", labelCol="_label", seed=seed + r).fit(data)
-        pr = m.transform(data).withColumn("_miss", (F.col("prediction") != F.col("_label")).cast("double"))
-        err, tot = pr.agg(F.sum(F.col("w") * F.col("_miss")), F.sum("w")).first()
-        err = err / tot
+        seen, w = data, F.lit(1.0)
+        for k, (m, alpha) in enumerate(members):
+            seen = _member(m, seen, k)
+            w = w * F.when(F.col(f"_p{k}") != F.col("_label"), F.lit(math.exp(alpha))).otherwise(1.0)
+        seen = seen.select("features", "_label", w.alias("_w"))
+        total = seen.agg(F.sum("_w")).first()[0]
+        seen = seen.withColumn("w", F.col("_w") / F.lit(total))
+        tree_ = DecisionTreeClassifier(maxDepth=depth, weightCol="w", labelCol="_label", seed=seed + r).fit(seen)
+        err = _member(tree_, seen, 0).agg(F.sum(F.when(F.col("_p0") != F.col("_label"), F.col("w")).otherwise(0.0))).first()[0]
         if err <= 0:
-            ensemble.append((m, 1.0))
+            members.append((tree_, 1.0))
             break
-        if err >= 1 - 1.0 / k_classes:
+        if err >= 1 - 1.0 / many:
             break
-        alpha = lr * (math.log((1 - err) / err) + math.log(k_classes - 1))
-        ensemble.append((m, alpha))
-        data = (pr.withColumn("w", F.col("w") * F.exp(F.lit(alpha) * F.col("_miss")))
-                  .select(key, y, *cols, "features", "_label", "w"))
-        s = data.agg(F.sum("w")).first()[0]
-        data = data.withColumn("w", F.col("w") / s).checkpoint(eager=True)
-    return ensemble
-
-
-def adaboost_predict(ensemble, df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """Weighted vote of the ensemble: (key, score, prediction)."""
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    base = va.transform(df.select(key, *cols))
-    score = F.lit(0.0)
-    out = base
-    for i, (m, a) in enumerate(ensemble):
-        out = m.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}").transform(out)
-        out = out.drop(f"_r{i}", f"_q{i}")
-        score = score + F.lit(a) * (2 * F.col(f"_p{i}") - 1)
-    return out.select(key, score.alias("score"), (score > 0).cast("int").alias("prediction"))
+        members.append((tree_, lr * (math.log((1 - err) / err) + math.log(many - 1))))
+    if not members:  # no tree is better than chance: the first one stands for the prior
+        members.append((tree_, 1.0))
+    return Ensemble(members, classes)
+
+
+def adaboost_predict(ensemble: Ensemble, df: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """(key, score, prediction): the class with the largest sum of weights (ties: the first one), and the margin of
+    the last class over the others (two classes: positive if it is predicted)."""
+    out = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df.select(key, *cols))
+    votes = [F.lit(0.0) for _ in ensemble.classes]
+    for k, (m, alpha) in enumerate(ensemble.members):
+        out = _member(m, out, k)
+        votes = [v + F.when(F.col(f"_p{k}") == i, F.lit(float(alpha))).otherwise(0.0) for i, v in enumerate(votes)]
+    top = F.greatest(*votes) if len(votes) > 1 else votes[0]
+    pred = F.coalesce(*[F.when(v == top, F.lit(c)) for v, c in zip(votes, ensemble.classes)])
+    others = [v for v in votes[:-1]] or [F.lit(0.0)]
+    margin = votes[-1] - (F.greatest(*others) if len(others) > 1 else others[0])
+    return out.select(key, margin.alias("score"), pred.alias("prediction"))
 
 
 # KNN classifier -------------------------------------------------------------------------------
@@ -212,38 +231,58 @@ def lda_predict(model: dict, df: DataFrame, key: str) -> DataFrame:
 
 
 # Naive Bayes as grouped sums ------------------------------------------------------------
+def _log(v: float) -> float:
+    return math.log(v) if v > 0 else float("-inf")
+
+
+def bernoulli_nb_fit(train: DataFrame, cols: list[str], y: str, alpha: float = 1.0, binarize: float = 0.0) -> dict:
+    """Per class the log prior and the log probabilities of a feature being on and off, from one grouped aggregate."""
+    on = [(F.col(c) > binarize).cast("double") for c in cols]
+    rows = train.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"k{i}") for i, x in enumerate(on)]).collect()
+    total, rows = sum(r["n"] for r in rows), sorted(rows, key=lambda r: r[y])  # one row per class
+    share = [[(r[f"k{i}"] + alpha) / (r["n"] + 2 * alpha) for i in range(len(cols))] for r in rows]
+    return {"kind": "bernoulli", "cols": list(cols), "binarize": binarize, "classes": [r[y] for r in rows], "prior": [math.log(r["n"] / total) for r in rows],
+            "on": [[_log(p) for p in ps] for ps in share], "off": [[_log(1 - p) for p in ps] for ps in share]}
+
+
+def multinomial_nb_fit(train: DataFrame, cols: list[str], y: str, alpha: float = 0.01) -> dict:
+    """Per class the log prior and the log shares of the (non-negative) features, from one grouped aggregate."""
+    rows = train.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"t{i}")
+                                                                 for i, c in enumerate(cols)]).collect()
+    total, rows = sum(r["n"] for r in rows), sorted(rows, key=lambda r: r[y])
+    tot = [sum(r[f"t{i}"] for i in range(len(cols))) + alpha * len(cols) for r in rows]
+    return {"kind": "multinomial", "cols": list(cols), "classes": [r[y] for r in rows], "prior": [math.log(r["n"] / total) for r in rows],
+            "share": [[_log((r[f"t{i}"] + alpha) / t) if t else float("-inf") for i in range(len(cols))] for r, t in zip(rows, tot)]}
+
+
+def nb_predict(model: dict, df: DataFrame, key: str) -> DataFrame:
+    """(key, prediction, p1). A feature that a class never shows rules the class out where it is met; if all are, or a
+    feature is NULL, the prediction is NULL."""
+    def term(x, logp):  # 0 times the log of 0 is 0
+        return F.when(x == 0, 0.0).otherwise(x * F.lit(float(logp)))
+    scores = {}
+    for k, c in enumerate(model["classes"]):
+        s = F.lit(model["prior"][k])
+        for i, col in enumerate(model["cols"]):
+            if model["kind"] == "bernoulli":
+                x = (F.col(col) > model["binarize"]).cast("double")
+                s = s + term(x, model["on"][k][i]) + term(1 - x, model["off"][k][i])
+            else:
+                s = s + term(F.col(col).cast("double"), model["share"][k][i])
+        scores[c] = s
+    return _nb_out(df, key, scores)
+
+
 def bernoulli_nb(train: DataFrame, test: DataFrame, cols: list[str], y: str, key: str, alpha: float = 1.0,
                  binarize: float = 0.0) -> DataFrame:
-    """(key, prediction, p1): Bernoulli NB with Laplace smoothing and the fitted class prior."""
-    xb = [(F.col(c) > binarize).cast("double") for c in cols]
-    st = train.groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"k{i}") for i, x in enumerate(xb)])
-    total = train.count()
-    rows = st.collect()  # one row per class
-    scores = {}
-    for r in rows:
-        s = F.lit(math.log(r["n"] / total))
-        for i, x in enumerate(xb):
-            p = (r[f"k{i}"] + alpha) / (r["n"] + 2 * alpha)
-            s = s + x * math.log(p) + (1 - x) * math.log(1 - p)
-        scores[r[y]] = s
-    return _nb_out(test, key, scores)
+    """(key, prediction, p1): Bernoulli NB with additive smoothing (0: none) and the fitted class prior."""
+    return nb_predict(bernoulli_nb_fit(train, cols, y, alpha, binarize), test, key)
 
 
 def multinomial_nb(train: DataFrame, test: DataFrame, cols: list[str], y: str, key: str,
                    alpha: float = 0.01) -> DataFrame:
-    """(key, prediction, p1): multinomial NB on non-negative counts with additive smoothing."""
-    st = train.groupBy(y).agg(F.count(F.lit(1)).alias("n"),
-                              *[F.sum(F.col(c).cast("double")).alias(f"t{i}") for i, c in enumerate(cols)])
-    total = train.count()
-    rows = st.collect()
-    scores = {}
-    for r in rows:
-        tot = sum(r[f"t{i}"] for i in range(len(cols))) + alpha * len(cols)
-        s = F.lit(math.log(r["n"] / total))
-        for i, c in enumerate(cols):
-            s = s + F.col(c).cast("double") * math.log((r[f"t{i}"] + alpha) / tot)
-        scores[r[y]] = s
-    return _nb_out(test, key, scores)
+    """(key, prediction, p1): multinomial NB on non-negative counts with additive smoothing (0: none)."""
+    return nb_predict(multinomial_nb_fit(train, cols, y, alpha), test, key)
 
 
 def _nb_out(test: DataFrame, key: str, scores: dict) -> DataFrame:
@@ -252,19 +291,21 @@ def _nb_out(test: DataFrame, key: str, scores: dict) -> DataFrame:
     m = F.greatest(*[F.col(f"_s{i}") for i in range(len(classes))]) if len(classes) > 1 else F.col("_s0")
     pred = None
     for i, c in enumerate(classes):  # first class wins ties
-        cond = F.col(f"_s{i}") == m
+        cond = (F.col(f"_s{i}") == m) & (m > float("-inf"))
         pred = F.when(cond, F.lit(c)) if pred is None else pred.when(cond, F.lit(c))
     den = sum((F.exp(F.col(f"_s{i}") - m) for i in range(len(classes))), F.lit(0.0))
     one = classes.index(1) if 1 in classes else len(classes) - 1
-    return d.select(key, pred.alias("prediction"), (F.exp(F.col(f"_s{one}") - m) / den).alias("p1"))
+    return d.select(key, pred.alias("prediction"), F.when(m > float("-inf"), F.exp(F.col(f"_s{one}") - m) / den).alias("p1"))
 
 
 # L14 soft voting / L15 importances ------------------------------------------------------------------
 def soft_vote(probs: DataFrame, scores: DataFrame, key: str = "key", model: str = "model", p: str = "p",
               score: str = "score", power: float = 100.0) -> DataFrame:
-    """(key, p, prediction): Σ w·p / Σ w with w = (1 + score − min score)^power."""
+    """(key, p, prediction): Σ w·p / Σ w with w = (1 + score − min score)^power. A model without a score raises."""
     smin = scores.agg(F.min(score)).first()[0]
     w = scores.select(model, F.pow(1 + F.col(score) - F.lit(smin), F.lit(power)).alias("_w"))
+    if probs.select(model).distinct().join(w.where("_w is not null"), model, "left_anti").limit(1).count():
+        raise ValueError("a model has no score")
     j = probs.join(w, on=model, how="inner")
     g = j.groupBy(key).agg((F.sum(F.col("_w") * F.col(p)) / F.sum("_w")).alias("p"))
     return g.withColumn("prediction", (F.col("p") > 0.5).cast("int"))  # a tie is class 0, as argmax has it
@@ -297,13 +338,24 @@ def cross_validate(df: DataFrame, estimators: dict, cols: list[str], y: str, fol
     return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 
 
+def _param(pipe: Pipeline, name: str) -> Param:
+    place, _, own = name.rpartition(".")
+    stages = [pipe.getStages()[int(place)]] if place else pipe.getStages()[::-1]
+    for stage in stages:
+        if stage.hasParam(own):
+            return stage.getParam(own)
+    raise ValueError(f"no stage has a parameter {name!r}")
+
+
 def grid_search(df: DataFrame, est, grid: dict, cols: list[str], y: str, fold: str, parallelism: int = 4):
-    """(table of (params, score), best model): CrossValidator over a parameter grid with a fold column."""
+    """(table of (params, score), best model): CrossValidator over a parameter grid with a fold column.
+
+    A name is looked up in the stages from the last to the first; ``"0.name"`` names the stage by its place.
+    """
     pipe = assembled(est, cols)
-    inner = pipe.getStages()[-1]
     b = ParamGridBuilder()
     for name, values in grid.items():
-        b = b.addGrid(inner.getParam(name), values)
+        b = b.addGrid(_param(pipe, name), values)
     maps = b.build()
     return _run_cv(df, pipe, maps, y, fold, parallelism)
 
@@ -312,7 +364,6 @@ def random_search(df: DataFrame, est, space: dict, cols: list[str], y: str, fold
                   seed: int = 0, parallelism: int = 4):
     """Seeded draws from ``space`` ({param: list | (lo, hi, 'log'|'lin'|'int')}) evaluated like grid_search."""
     pipe = assembled(est, cols)
-    inner = pipe.getStages()[-1]
     rng = random.Random(seed)
     maps = []
     for _ in range(n_iter):
@@ -324,7 +375,7 @@ def random_search(df: DataFrame, est, space: dict, cols: list[str], y: str, fold
                 lo, hi, kind = spec
                 v = (math.exp(rng.uniform(math.log(lo), math.log(hi))) if kind == "log"
                      else rng.randint(lo, hi) if kind == "int" else rng.uniform(lo, hi))
-            pm[inner.getParam(name)] = v
+            pm[_param(pipe, name)] = v
         maps.append(pm)
     return _run_cv(df, pipe, maps, y, fold, parallelism)
 
@@ -343,7 +394,8 @@ def _run_cv(df, pipe, maps, y, fold, parallelism):
 
 def pipeline_search(df: DataFrame, candidates: dict, cols: list[str], y: str, fold: str, n: int = 10,
                     seed: int = 0, patience: int = 3) -> DataFrame:
-    """Random search over whole candidate pipelines ({name: builder(cols) -> Estimator}) with early stop.
+    """Random search over a list of whole pipelines ({name: builder(cols) -> Estimator}) with early stop; spaces of
+    transformers, models and parameters are searched by ``operators.search``.
 
     Returns (step, candidate, score, best_so_far) rows; stops after ``patience`` draws without improvement.
     """

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.operators.summarize import cross_products
 from tabforge.plans.ranking import exact_quantiles
 
 
@@ -48,10 +49,13 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(x − median)/(q75 − q25), exact linear-interpolated quantiles; IQR 0 → scale 1."""
+    """(x − median)/(q75 − q25), exact linear-interpolated quantiles; IQR 0 → scale 1; all-NULL columns stay NULL."""
     q = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect()}
     out = {}
     for c in cols:
+        if q.get((c, 0.5)) is None:  # nothing known
+            out[c] = F.lit(None).cast("double")
+            continue
         iqr = q[(c, 0.75)] - q[(c, 0.25)]
         out[c] = (F.col(c) - F.lit(q[(c, 0.5)])) / F.lit(iqr if iqr else 1.0)
     return df.withColumns(out)
@@ -106,25 +110,31 @@ def variance_threshold(df: DataFrame, cols: list[str], threshold: float = 0.0) -
 
 
 def anova_f(df: DataFrame, cols: list[str], y: str) -> DataFrame:
-    """One-way ANOVA F per feature against class ``y`` from grouped sums (one aggregate).
+    """One-way ANOVA F per feature against class ``y`` (one rolled-up aggregate: a row per class and one of all rows).
 
-    Columns: feature, f, df_between, df_within.
+    Columns: feature, f, df_between, df_within. Rows count for a feature if they know it and the class. A constant
+    feature, a single class, or as many classes as rows have a NULL F; classes that part the values fully have infinity.
     """
-    g = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"),
-                          *[e for i, c in enumerate(cols) for e in (F.sum(F.col(c).cast("double")).alias(f"s{i}"),
-                                                                    F.sum(F.col(c).cast("double") ** 2).alias(f"q{i}"))])
-    tot = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("K"),
-                *[e for i in range(len(cols)) for e in (
-                    F.sum(f"s{i}").alias(f"S{i}"), F.sum(f"q{i}").alias(f"Q{i}"),
-                    F.sum(F.col(f"s{i}") ** 2 / F.col("n")).alias(f"B{i}"))])
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    rows = df.where(F.col(y).isNotNull()).rollup(y).agg(F.grouping_id().alias("_all"), *[e for i, c in enumerate(x) for e in (
+        F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), (F.var_pop(c) * F.count(c)).alias(f"w{i}"))])
+    one, total = F.col("_all") == 0, F.col("_all") == 1
+    aggs = []
+    for i in range(len(cols)):
+        n, m, w = F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"w{i}")
+        aggs += [F.count_if(one & (n > 0)).alias(f"K{i}"), F.max(F.when(total, n)).alias(f"N{i}"),
+                 F.coalesce(F.sum(F.when(one, w)), F.lit(0.0)).alias(f"W{i}"), F.max(F.when(total, w)).alias(f"T{i}"),
+                 (F.min(F.when(one, m)) == F.max(F.when(one, m))).alias(f"E{i}")]
     parts = []
     for i, c in enumerate(cols):
-        ssb = F.col(f"B{i}") - F.col(f"S{i}") ** 2 / F.col("N")
-        ssw = F.col(f"Q{i}") - F.col(f"B{i}")
-        f = (ssb / (F.col("K") - 1)) / (ssw / (F.col("N") - F.col("K")))
-        parts.append(F.struct(F.lit(c).alias("feature"), f.alias("f"), (F.col("K") - 1).alias("df_between"),
-                              (F.col("N") - F.col("K")).alias("df_within")))
-    return tot.select(F.inline(F.array(*parts)))
+        within, between = F.col(f"N{i}") - F.col(f"K{i}"), F.col(f"K{i}") - 1
+        ssw, ssb = F.col(f"W{i}"), F.when(F.col(f"E{i}"), 0.0).otherwise(F.greatest(F.col(f"T{i}") - F.col(f"W{i}"), F.lit(0.0)))
+        f = F.when((ssw == 0) & (ssb > 0) & (within > 0), F.lit(float("inf"))).otherwise(
+            F.try_divide(F.try_divide(ssb, between), F.try_divide(ssw, within)))
+        parts.append(F.struct(F.lit(c).alias("feature"), F.when((between > 0) & (within > 0), f).alias("f"),
+                              F.greatest(between, F.lit(0)).cast("long").alias("df_between"),
+                              F.greatest(F.coalesce(within, F.lit(0)), F.lit(0)).cast("long").alias("df_within")))
+    return rows.agg(*aggs).select(F.inline(F.array(*parts)))
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -154,6 +164,8 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     """Survival function of the F distribution (regularised incomplete beta)."""
     if f is None or math.isnan(f):
         return float("nan")
+    if math.isinf(f):
+        return 0.0
     if f <= 0:
         return 1.0
     x = d2 / (d2 + d1 * f)
@@ -259,35 +271,73 @@ def nystroem(df: DataFrame, cols: list[str], key: str, gamma: float = 0.2, n_com
     return df.withColumns(out)
 
 
-def agglomerate(df: DataFrame, cols: list[str], n_clusters: int, prefix: str = "agg") -> DataFrame:
-    """Ward clustering of the columns (distances from one aggregate), members averaged per row."""
+def column_distances(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Squared Euclidean distances of all pairs of columns over the rows that both know: two scans for any number of columns."""
     p = len(cols)
-    row = df.agg(*[F.sum((F.col(cols[i]) - F.col(cols[j])) ** 2).alias(f"d{i}_{j}")
-                   for i in range(p) for j in range(i + 1, p)]).first()
-    D = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i + 1, p):
-            D[i, j] = D[j, i] = float(row[f"d{i}_{j}"] or 0.0)
-    clusters = {i: [i] for i in range(p)}
-    dist = {(i, j): D[i, j] for i in range(p) for j in range(i + 1, p)}
-    while len(clusters) > n_clusters:
-        (a, b), _ = min(dist.items(), key=lambda kv: (kv[1], kv[0]))
-        na, nb = len(clusters[a]), len(clusters[b])
-        new = {}
-        for c in clusters:
-            if c in (a, b):
-                continue
-            nc = len(clusters[c])
-            dac = dist[tuple(sorted((a, c)))]
-            dbc = dist[tuple(sorted((b, c)))]
-            dab = dist[(a, b)]
-            new[c] = ((na + nc) * dac + (nb + nc) * dbc - nc * dab) / (na + nb + nc)
-        clusters[a] = clusters[a] + clusters.pop(b)
-        dist = {k: v for k, v in dist.items() if a not in k and b not in k}
-        for c, v in new.items():
-            dist[tuple(sorted((a, c)))] = v
-    groups = sorted(sorted(m) for m in clusters.values())
-    out = {f"{prefix}{g}": _sum([F.col(cols[i]) for i in m]) / len(m) for g, m in enumerate(groups)}
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    st = df.agg(F.count("*").alias("n"), *[e for i, c in enumerate(x) for e in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"))]).first()
+    if not st["n"]:
+        return np.zeros((p, p))
+    known = [st[f"m{i}"] for i in range(p) if st[f"m{i}"] is not None]
+    shift = F.lit(sum(known) / len(known) if known else 0.0)  # one for all columns: differences stay, squares get small
+    v = [F.coalesce(c - shift, F.lit(0.0)) for c in x]
+    holes = [i for i in range(p) if st[f"n{i}"] < st["n"]]
+    marks = [x[i].isNotNull().cast("double") for i in holes]
+    g = cross_products(df, [*v, F.lit(1.0), *marks, *([c * c for c in v] if holes else [])])
+    mark = np.full(p, p)
+    mark[holes] = p + 1 + np.arange(len(holes))
+    squares = g[p + 1 + len(holes):][:, mark] if holes else np.repeat(np.diag(g)[:p, None], p, 1)
+    d = np.maximum(squares + squares.T - 2 * g[:p, :p], 0.0)
+    np.fill_diagonal(d, 0.0)
+    return d
+
+
+def ward_merges(d: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges (height, column, column) of Ward's clustering by chains of nearest neighbours: p^2 steps, not p^3.
+
+    Ends of a chain that are each other's nearest merge; ties go to the chain's last link, then to the lower number.
+    """
+    d, p = np.array(d, float), len(d)
+    np.fill_diagonal(d, np.inf)
+    size, alive, merges, chain = np.ones(p), np.ones(p, bool), [], []
+    for _ in range(p - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            a = chain[-1]
+            row = np.where(alive, d[a], np.inf)
+            b = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        a, b = min(a, b), max(a, b)
+        height = d[a, b]
+        merges.append((float(height), a, b))
+        joined = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * height) / (size[a] + size[b] + size)
+        alive[b] = False
+        size[a] += size[b]
+        joined[a] = np.inf
+        d[a], d[:, a] = joined, joined
+    return sorted(merges, key=lambda m: m[0])
+
+
+def agglomerate(df: DataFrame, cols: list[str], n_clusters: int, prefix: str = "agg") -> DataFrame:
+    """Ward clustering of the columns (distances from one pass of cross products), members averaged per row.
+
+    A row's NULL members are left out of its average; a cluster without any known member is NULL.
+    """
+    group = list(range(len(cols)))
+    for _, a, b in ward_merges(column_distances(df, cols))[:max(0, len(cols) - n_clusters)]:
+        group = [group[a] if g == group[b] else g for g in group]
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(group):
+        members.setdefault(g, []).append(i)
+    out = {}
+    for k, m in enumerate(sorted(members.values())):
+        known = _sum([F.col(f"`{cols[i]}`").isNotNull().cast("int") for i in m])
+        out[f"{prefix}{k}"] = F.try_divide(_sum([F.coalesce(F.col(f"`{cols[i]}`").cast("double"), F.lit(0.0)) for i in m]), known)
     return df.withColumns(out)
 
 

@@ -7,7 +7,6 @@ scan, partial aggregation before the shuffle) and then turned into rows with
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +49,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Null percentage per column, only columns that have nulls."""
+    """Null percentage per column, only columns that have nulls; an empty table has none."""
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(F.col(c).isNull()).alias(f"_c{i}") for i, c in enumerate(df.columns)])
-    items = [(c, {"null_pct": F.col(f"_c{i}") * 100.0 / F.col("_n")}) for i, c in enumerate(df.columns)]
+    items = [(c, {"null_pct": F.try_divide(F.col(f"_c{i}") * 100.0, F.col("_n"))}) for i, c in enumerate(df.columns)]
     structs = [F.struct(F.lit(name).alias("column"), *[v.alias(k) for k, v in fields.items()])
                for name, fields in items]
     return row.select(F.inline(F.array(*structs))).where(F.col("null_pct") > 0)
@@ -180,7 +179,3 @@ def matrix_check(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return _long_form(row, [(c, {"n_missing": F.col(f"_a{i}"), "max": F.col(f"_b{i}"),
                                  "min": F.col(f"_c{i}"), "n_distinct": F.col(f"_d{i}")})
                             for i, c in enumerate(cols)])
-
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)

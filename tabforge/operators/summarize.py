@@ -11,10 +11,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.plans.ranking import null_safe_join
+from tabforge.plans.bounded import ship
+from tabforge.plans.ranking import exact_quantiles, null_safe_join
+
+ship(__name__)
 
 
 def _c(x) -> Column:
@@ -57,27 +61,48 @@ def rate_ci(df: DataFrame, key, y: str, z: float = 1.96) -> DataFrame:
     return g.select(*keys, "mean", "n", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
 
 
+# Shares of a Poisson(1) variable at most 0, 1, ... 7 in steps of 2**-16.
+POISSON_STEPS = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+
+
 def rate_ci_bootstrap(df: DataFrame, key: str, y: str, row_key: str, b: int = 200,
                       seed: int = 0) -> DataFrame:
-    """G5 (bootstrap form): B Poisson(1) resamples, weights drawn from a hash of (seed, row, b).
+    """G5 (bootstrap form): mean of B Poisson(1) resamples per group, 2.5 and 97.5 % quantiles ``lo, hi``.
 
-    Each row is weighted in all B replicates at once (an array of weights,
-    exploded inside the task), so no data is joined or copied across tasks.
+    A row's weights are read from md5('seed#row key#i'), eight of 16 bits each for i = 0, 1, ...: the same on any
+    cluster. No row is copied: every task adds its rows' weights up into one array of B sums per group, and Spark adds
+    the tasks' arrays. A resample without any row of a group is left out of its quantiles. NULL targets are left out.
     """
-    reps = F.sequence(F.lit(0), F.lit(b - 1))
-    # Poisson(1) by inversion of a uniform from xxhash64: P(0)=e^-1, P(≤1)=2e^-1, P(≤2)=2.5e^-1, ...
-    def weight(r):
-        u = (F.abs(F.xxhash64(F.lit(seed), F.col(row_key), r)) % 1000003) / 1000003.0
-        # as many cuts as the million steps of u can tell apart
-        cuts = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(10)]).tolist()
-        w = F.when(u < cuts[0], 0)
-        for i, c in enumerate(cuts[1:], start=1):
-            w = w.when(u < c, i)
-        return w.otherwise(len(cuts))
-    ex = df.select(key, y, row_key, F.explode(reps).alias("rep"))
-    ex = ex.withColumn("w", weight(F.col("rep")))
-    per = ex.groupBy(key, "rep").agg((F.sum(F.col("w") * F.col(y)) / F.sum("w")).alias("m"))
-    return per.groupBy(key).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    digests = F.concat(*[F.unhex(F.md5(F.concat(F.lit(f"{seed}#"), F.col(row_key).cast("string"), F.lit(f"#{i}")))) for i in range(-(-b // 8))])
+    rows = df.where(F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(y).cast("double").alias("y"), digests.alias("d"))
+    kind = dict(rows.dtypes)["k"]
+
+    def add_up(batches):
+        sums: dict = {}
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column("d").to_pylist()), ">u2").reshape(batch.num_rows, -1)[:, :b]
+            weight = np.searchsorted(POISSON_STEPS, bits, side="right").astype(float)
+            codes = batch.column("k").dictionary_encode(null_encoding="encode")
+            values, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            both = np.stack([np.add.reduceat(x[order], starts) for x in (weight * batch.column("y").to_numpy()[:, None], weight)], 1)
+            for i, x in zip(at[order][starts].tolist(), both):
+                sums[values[i]] = sums[values[i]] + x if values[i] in sums else x
+            if len(sums) > 4096:  # many groups: the arrays leave in portions
+                yield _portion(sums, batch.schema.field("k").type)
+                sums = {}
+        if sums:
+            yield _portion(sums, batch.schema.field("k").type)
+    parts = rows.mapInArrow(add_up, f"k {kind}, s array<double>, w array<double>")
+    per = (parts.select("k", F.posexplode(F.arrays_zip("s", "w")).alias("rep", "x")).groupBy("k", "rep")
+           .agg(F.try_divide(F.sum("x.s"), F.sum("x.w")).alias("m")))
+    return per.groupBy(F.col("k").alias(key)).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+def _portion(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
+    lists = [pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.float64())) for i in range(2)]
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), *lists], ["k", "s", "w"])
 
 
 def facet_rate(df: DataFrame, x: str, facet: str, y: str) -> DataFrame:
@@ -100,16 +125,35 @@ def binned_rate(df: DataFrame, c: str, edges: list[float], y: str) -> DataFrame:
         F.avg(y).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
-def histogram(df: DataFrame, c: str, bins: int, by: str | None = None) -> DataFrame:
+def auto_bins(df: DataFrame, c: str, rule: str = "auto") -> int:
+    """Number of equal-width bins from the data: ``fd`` has width 2 IQR / n^(1/3) (exact quartiles), ``sturges``
+    range / (log2 n + 1), ``auto`` the smaller of the two widths (the second, if the quartiles are equal). One bin for a
+    constant column; an empty one has none."""
+    if rule not in ("auto", "fd", "sturges"):
+        raise ValueError(rule)
+    x = F.col(c).cast("double")
+    n, lo, hi = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n or hi == lo:
+        return min(1, n)
+    sturges = (hi - lo) / (math.log2(n) + 1.0)
+    q = {r["p"]: r["value"] for r in exact_quantiles(df.select(x.alias("x")), ["x"], [0.25, 0.75]).collect()} if rule != "sturges" else {0.25: 0.0, 0.75: 0.0}
+    fd = 2.0 * (q[0.75] - q[0.25]) / n ** (1.0 / 3.0)
+    width = sturges if rule == "sturges" or fd == 0 else fd if rule == "fd" else min(fd, sturges)
+    return math.ceil((hi - lo) / width)
+
+
+def histogram(df: DataFrame, c: str, bins: int | str, by: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max]; last bin right-closed (numpy rule).
 
     min/max come from one global aggregate (a single bounded row) and enter the
-    plan as literals, so binning stays inside the scan's codegen stage.
+    plan as literals, so binning stays inside the scan's codegen stage. ``bins`` may be a rule of ``auto_bins``.
     """
+    if isinstance(bins, str):
+        bins = max(1, auto_bins(df, c, bins))
     lo, hi = df.agg(F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))).first()
     keys = [by] if by else []
     if lo is None:
-        return df.sparkSession.createDataFrame([], f"{by + ' string, ' if by else ''}bin int, left double, right double, n long")
+        return df.sparkSession.createDataFrame([], f"{by + ' ' + dict(df.dtypes)[by] + ', ' if by else ''}bin int, left double, right double, n long")
     width = (hi - lo) / bins
     x = F.col(c).cast("double")
     idx = F.lit(0) if width == 0 else F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
@@ -126,15 +170,18 @@ def kde(df: DataFrame, c: str, grid: list[float] | None = None, points: int = 50
     Values are first collapsed to (value, count); each distinct value adds its
     contribution to every grid point inside the task (array transform +
     posexplode), and partial aggregation sums per grid point before the shuffle.
-    The grid is a literal array (default: ``points`` steps over [min, max]).
+    The grid is a literal array (default: ``points`` steps over [min, max]). A group of one value has no bandwidth:
+    its density is NULL. No values give no rows.
     """
     keys = [by] if by else []
     x = F.col(c).cast("double")
     base = df.where(F.col(c).isNotNull()).select(*keys, x.alias("x"))
     if grid is None:
         lo, hi = base.agg(F.min("x"), F.max("x")).first()
-        step = (hi - lo) / (points - 1)
-        grid = [lo + i * step for i in range(points)]
+        if lo is None:
+            grid, lo, hi, points = [0.0], 0.0, 0.0, 0
+        step = (hi - lo) / max(1, points - 1)
+        grid = [lo + i * step for i in range(points)] or [0.0]
     garr = F.array(*[F.lit(float(g)) for g in grid])
     distinct = base.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("k"))
     if keys:
@@ -144,10 +191,10 @@ def kde(df: DataFrame, c: str, grid: list[float] | None = None, points: int = 50
         n, sd = base.agg(F.count(F.lit(1)), F.stddev_samp("x")).first()
         j = distinct.withColumn("_n", F.lit(n)).withColumn("_sd", F.lit(sd))
     j = j.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    contrib = F.transform(garr, lambda g: F.col("k") * F.exp(-0.5 * F.pow((g - F.col("x")) / F.col("_h"), 2)))
+    contrib = F.transform(garr, lambda g: F.col("k") * F.exp(-0.5 * F.pow(F.try_divide(g - F.col("x"), F.col("_h")), 2)))
     ex = j.select(*keys, "_n", "_h", F.posexplode(contrib).alias("i", "s"))
     agg = ex.groupBy(*keys, "i", "_n", "_h").agg(F.sum("s").alias("s"))
-    dens = F.col("s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    dens = F.try_divide(F.col("s"), F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
     return agg.select(*keys, F.col("i").alias("grid_index"), F.element_at(garr, F.col("i") + 1).alias("x"),
                       dens.alias("density"))
 

@@ -22,35 +22,60 @@ def _hash_order(key: str, seed) -> Column:
 
 
 # M1 / M2 -------------------------------------------------------------------
-def _first_k(df: DataFrame, key: str, seed, k: int) -> Column:
-    """Predicate: the row is among the k first by (md5(seed ‖ key), key).
+#: Rows of the last bracket that are read back to find the boundary row.
+BRACKET_ROWS = 10_000
 
-    Only the narrow (hash, key) projection is numbered; the boundary row is
-    read back and the split becomes a plain filter on the original table
-    (no join, no copy of the wide rows).
+
+def _first_k(df: DataFrame, key: str, seed, k: int, n: int) -> Column:
+    """Predicate: the row is among the k first of n by (md5(seed ‖ key), key).
+
+    Hashes are uniform, so the k-th lies close to k/n of their range: scans count a bracket around it, which shrinks to
+    about the square root of its rows each time, until its few rows are read back. The split is then a plain filter on
+    the table: nothing is sorted, shuffled or written. A NULL key raises, as rows without one cannot be told apart.
     """
     h = _hash_order(key, seed)
     if k <= 0:
         return F.lit(False)
-    narrow = df.select(h.alias("_h"), F.col(key))
-    row = exact_row_number(narrow, ["_h", key], name="_rn").where(F.col("_rn") == k).first()
-    if row is None:  # k ≥ n
+    if k >= n:
         return F.lit(True)
-    bh, bk = row["_h"], row[key]
+    u = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")  # 60 bits
+    low, high, below, inside = 0, 1 << 60, 0, n
+    while inside > BRACKET_ROWS and high - low > 1:
+        near = low + int((high - low) * ((k - below) / inside))
+        margin = int((high - low) * (4.0 * math.sqrt(inside) + 10.0) / inside) + 1
+        a, b = max(low, near - margin), min(high, near + margin)
+        before, within = df.where((u >= low) & (u < high)).agg(F.count_if(u < a), F.count_if((u >= a) & (u < b))).first()
+        if k - below <= before:  # outside the bracket: far rarer than one time in ten thousand
+            high, inside = a, before
+        elif k - below <= before + within:
+            low, high, below, inside = a, b, below + before, within
+        else:
+            low, below, inside = b, below + before + within, inside - before - within
+    if inside > BRACKET_ROWS:
+        raise ValueError(f"{key} is not unique: many rows share one value")
+    rows = df.where((u >= low) & (u < high)).select(h.alias("_h"), F.col(key)).orderBy("_h", key).collect()
+    bh, bk = rows[k - below - 1]["_h"], rows[k - below - 1][key]
     return (h < F.lit(bh)) | ((h == F.lit(bh)) & (F.col(key) <= F.lit(bk)))
 
 
+def _counted(df: DataFrame, key: str) -> int:
+    n, known = df.agg(F.count(F.lit(1)), F.count(key)).first()
+    if known < n:
+        raise ValueError(f"{key} is NULL in {n - known} rows")
+    return n
+
+
 def split(df: DataFrame, key: str, train_frac: float, seed: int = 0, name: str = "part") -> DataFrame:
-    """Tag rows 'train'/'test': test size = ceil((1 − train_frac)·n) (sklearn rule), the rest train."""
-    n = df.count()
+    """Tag rows 'train'/'test': test size = ceil((1 − train_frac)·n) (sklearn rule), the rest train. A NULL key raises."""
+    n = _counted(df, key)
     n_test = math.ceil((1.0 - train_frac) * n)
-    return df.withColumn(name, F.when(_first_k(df, key, seed, n - n_test), "train").otherwise("test"))
+    return df.withColumn(name, F.when(_first_k(df, key, seed, n - n_test, n), "train").otherwise("test"))
 
 
 def sample_exact(df: DataFrame, key: str, frac: float, seed: int = 0) -> DataFrame:
-    """Exactly round(frac·n) rows, chosen by hash order."""
-    n = df.count()
-    return df.where(_first_k(df, key, seed, int(round(frac * n))))
+    """Exactly round(frac·n) rows, chosen by hash order. A NULL key raises."""
+    n = _counted(df, key)
+    return df.where(_first_k(df, key, seed, int(round(frac * n)), n))
 
 
 # M3 ------------------------------------------------------------------------
@@ -59,9 +84,10 @@ def stratified_folds(df: DataFrame, y: str, key: str, k: int, shuffle_seed: int
     """fold = (position within its class − 1) mod k; class sizes per fold differ by ≤ 1.
 
     Unshuffled: position by key; shuffled: by md5(seed ‖ key). ``key`` must be
-    unique. Only the narrow (key, class, order) projection is numbered and
+    unique; a NULL key raises. Only the narrow (key, class, order) projection is numbered and
     checkpointed; the fold joins back to the full rows on the key.
     """
+    _counted(df, key)
     narrow = df.select(key, y)
     order = [key]
     if shuffle_seed is not None:
@@ -105,14 +131,15 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
     Per distinct score: (positives, negatives). AUC = Σ pos·(neg_below + neg/2) / (P·N),
     where neg_below is a prefix sum over distinct scores in order (one window when
-    the distinct-score table is provably small, else the distributed blocked prefix).
+    the distinct-score table is provably small, else the distributed blocked prefix). Rows without a label or a score
+    don't count; NULL if only one class is left.
     """
     from tabforge.operators.sequence import ordered_prefix
-    g = df.groupBy(F.col(score).alias("_s")).agg(
+    g = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
     r = ordered_prefix(g, ["_s"], "_neg", "sum", "_cum")
     contrib = F.col("_pos") * ((F.col("_cum") - F.col("_neg")) + F.col("_neg") / 2.0)
-    return r.agg((F.sum(contrib) / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
+    return r.agg(F.try_divide(F.sum(contrib), (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"))
 
 
 # M13 / M14 / M15 -------------------------------------------------------------

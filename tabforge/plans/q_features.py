@@ -80,6 +80,52 @@ def dfs_orders(spark, sf):
     return out.select("o_orderkey", *sel)
 
 
+DEEP = ["mean", "max", "min", "std"]
+DEEP_FEATURES = FT.define_features(PARENTS, NUMERIC, CATEGORICAL, BOOLEAN, depth=2, deep_primitives=DEEP)
+
+
+def _signed_log(name):
+    return f"sign({name}) * ln(1 + abs({name}))"
+
+
+def _dfs_deep_sql():
+    """Depth 2 by the definition: the features of depth 1 on every order, aggregated again by each other parent."""
+    one, two = ([f for f in DEEP_FEATURES if f.depth == d] for d in (1, 2))
+
+    def values(table, alias, p, features):
+        return [f"{alias}{k} AS (SELECT {p}, {f.child if isinstance(f.child, str) else f.child.name} AS {f.name} FROM (SELECT {p}, {c}, "
+                f"row_number() OVER (PARTITION BY {p} ORDER BY count(*) DESC, {c}) AS rn FROM {table} WHERE {c} IS NOT NULL GROUP BY {p}, {c}) WHERE rn = 1)"
+                for k, f in enumerate(features) for c in [f.child if isinstance(f.child, str) else f.child.name]]
+    ctes, joins, last = [f"b AS {BASE_SQL}"], [], []
+    for i, p in enumerate(PARENTS):
+        mine = [f for f in one if f.parent == p]
+        aggs = [f"count(*) AS {f.name}" if f.child == "rows" else f"{SQL_PRIM[f.primitive].format(c=f.child)} AS {f.name}" for f in mine if not f.categorical]
+        ctes.append(f"g{i} AS (SELECT {p}, {', '.join(aggs)} FROM b GROUP BY {p})")
+        modes = [f for f in mine if f.categorical]
+        ctes += values("b", f"m{i}_", p, modes)
+        joins += [f"LEFT JOIN g{i} USING ({p})", *(f"LEFT JOIN m{i}_{k} USING ({p})" for k in range(len(modes)))]
+    ctes.append("w AS (SELECT b.*, " + ", ".join(f.name for f in one) + " FROM b " + " ".join(joins) + ")")
+    for i, p in enumerate(PARENTS):
+        mine = [f for f in two if f.parent == p]
+        ctes.append(f"h{i} AS (SELECT {p}, " + ", ".join(f"{SQL_PRIM[f.primitive].format(c=f.child.name)} AS {f.name}" for f in mine if not f.categorical)
+                    + f" FROM w GROUP BY {p})")
+        modes = [f for f in mine if f.categorical]
+        ctes += values("w", f"n{i}_", p, modes)
+        last += [f"LEFT JOIN h{i} USING ({p})", *(f"LEFT JOIN n{i}_{k} USING ({p})" for k in range(len(modes)))]
+    sel = [f.name if f.categorical else f"round({_signed_log(f.name)}, 6) AS {f.name}" for f in DEEP_FEATURES]
+    ctes.append(f"u AS (SELECT DISTINCT {', '.join([*PARENTS, *(f.name for f in one)])} FROM w)")
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(PARENTS)}, {', '.join(sel)} FROM u " + " ".join(last)
+
+
+@register("dfs_depth2_orders", _dfs_deep_sql())
+def dfs_depth2_orders(spark, sf):
+    """All features up to depth 2, once per combination of parent values."""
+    out = FT.dfs(dfs_base(spark, sf), "o_orderkey", PARENTS, numeric=NUMERIC, categorical=CATEGORICAL, boolean=BOOLEAN,
+                 depth=2, deep_primitives=DEEP)
+    return out.select(*PARENTS, *[F.col(f.name) if f.categorical else F.round(F.expr(_signed_log(f.name)), 6).alias(f.name)
+                                  for f in DEEP_FEATURES]).distinct()
+
+
 @register("normalize_priority_entity", """
 SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority""")
 def normalize_priority_entity(spark, sf):

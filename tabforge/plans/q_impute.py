@@ -188,3 +188,51 @@ def knn_impute_balance_wide(spark, sf):
     f = I.knn_impute(c, "c_custkey", "c_acctbal", WIDE, k=100)
     j = f.join(c.select("c_custkey", F.col("c_acctbal").isNull().alias("imputed")), "c_custkey")
     return j.select("c_custkey", r4("c_acctbal").alias("c_acctbal"), "imputed")
+
+
+# --- I2 over 22 features of orders: many rows, few-valued features, ties everywhere ----------------------------------------
+MONTHS = ["01", "03", "05", "07", "08", "10", "12"]
+FLAGS = ["A", "N", "R"]
+ORDER_FEATURES = (["n_lines", "quantity", "discount", "tax"] + [f"month{i}" for i in range(7)] + [f"flag{f}" for f in FLAGS] + ["open", "lines_late"]
+                  + [f"prio{p}" for p in PRIORITIES] + ["balance"])
+
+
+def order_features(spark, sf):
+    """Counts and whole-number sums per order (equal in any order of addition); tax is NULL for orders of one line."""
+    n = F.count("*")
+    li = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        n.alias("n_lines"), (F.sum("l_quantity") / 50).alias("quantity"), (F.sum(F.round(F.col("l_discount") * 100).cast("int")) / 10).alias("discount"),
+        F.when(n > 1, F.sum(F.round(F.col("l_tax") * 100).cast("int")) / 8).alias("tax"),
+        *[F.count_if(F.date_format("l_shipdate", "MM") == m).alias(f"month{i}") for i, m in enumerate(MONTHS)],
+        *[F.count_if(F.col("l_returnflag") == f).alias(f"flag{f}") for f in FLAGS],
+        F.count_if(F.col("l_linestatus") == "O").alias("open"), F.count_if(F.col("l_linenumber") > 3).alias("lines_late"))
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 5000).alias("balance"))
+    o = load(spark, sf, "orders").join(c, "o_custkey", "left").join(li, "o_orderkey", "left")
+    return o.select("o_orderkey", *ORDER_FEATURES[:16], *[(F.substring("o_orderpriority", 1, 1) == p).cast("int").alias(f"prio{p}") for p in PRIORITIES], "balance",
+                    F.when(F.col("o_orderkey") % 20 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+
+
+_ORDER_DIFFS = [f"(r.{f} - d.{f})" for f in ORDER_FEATURES]
+_ORDER_DIST = (f"({' + '.join(f'coalesce({x} * {x}, 0)' for x in _ORDER_DIFFS)}) / "
+               f"nullif({' + '.join(f'CAST({x} IS NOT NULL AS INTEGER)' for x in _ORDER_DIFFS)}, 0)")
+
+
+@register("knn_impute_price_orders", f"""
+WITH l AS (SELECT l_orderkey AS o_orderkey, CAST(count(*) AS DOUBLE) AS n_lines, sum(l_quantity) / 50 AS quantity,
+       sum(CAST(round(l_discount * 100) AS INTEGER)) / CAST(10 AS DOUBLE) AS discount,
+       CASE WHEN count(*) > 1 THEN sum(CAST(round(l_tax * 100) AS INTEGER)) / CAST(8 AS DOUBLE) END AS tax,
+       {", ".join(f"CAST(count(*) FILTER (strftime(l_shipdate, '%m') = '{m}') AS DOUBLE) AS month{i}" for i, m in enumerate(MONTHS))},
+       {", ".join(f"CAST(count(*) FILTER (l_returnflag = '{f}') AS DOUBLE) AS flag{f}" for f in FLAGS)},
+       CAST(count(*) FILTER (l_linestatus = 'O') AS DOUBLE) AS "open", CAST(count(*) FILTER (l_linenumber > 3) AS DOUBLE) AS lines_late
+       FROM lineitem GROUP BY l_orderkey),
+     b AS (SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END AS y, l.* EXCLUDE (o_orderkey),
+       {", ".join(f"CAST(substr(o_orderpriority, 1, 1) = '{p}' AS DOUBLE) AS prio{p}" for p in PRIORITIES)}, c_acctbal / 5000 AS balance
+       FROM orders o LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN l ON l.o_orderkey = o.o_orderkey),
+     p AS (SELECT r.o_orderkey, d.y, {_ORDER_DIST} AS dist, d.o_orderkey AS dk FROM b r, b d WHERE r.y IS NULL AND d.y IS NOT NULL),
+     t AS (SELECT * FROM p WHERE dist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY dist, dk) <= 25),
+     e AS (SELECT o_orderkey, sum(y / greatest(dist, 1e-6)) / sum(1 / greatest(dist, 1e-6)) AS est FROM t GROUP BY o_orderkey),
+     m AS (SELECT min(y) AS lo, max(y) AS hi FROM b)
+SELECT b.o_orderkey, round(coalesce(b.y, least(greatest(e.est, m.lo), m.hi)), 3) AS o_totalprice FROM b LEFT JOIN e ON b.o_orderkey = e.o_orderkey, m""")
+def knn_impute_price_orders(spark, sf):
+    f = I.knn_impute(order_features(spark, sf), "o_orderkey", "o_totalprice", ORDER_FEATURES, k=25)
+    return f.select("o_orderkey", F.round("o_totalprice", 3).alias("o_totalprice"))

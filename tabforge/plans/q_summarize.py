@@ -62,9 +62,15 @@ def rate_ci_priority(spark, sf):
     return g.select("o_orderpriority", r4("mean").alias("mean"), "n", r4("lo").alias("lo"), r4("hi").alias("hi"))
 
 
-@register("rate_ci_bootstrap_priority")
+@register("rate_ci_bootstrap_priority", f"""
+WITH h AS (SELECT o_orderpriority, label, i, md5('0#' || o_orderkey || '#' || i) AS d FROM {LABELLED_ORDERS_SQL}, range(13) t(i)),
+     u AS (SELECT o_orderpriority, label, i * 8 + j AS rep, ('0x' || substr(d, j * 4 + 1, 4))::INTEGER AS u FROM h, range(8) t(j) WHERE i * 8 + j < 100),
+     w AS (SELECT o_orderpriority, label, rep, {" + ".join(f"CAST(u >= {v} AS INTEGER)" for v in S.POISSON_STEPS)} AS w FROM u),
+     m AS (SELECT o_orderpriority, rep, sum(w * label) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT o_orderpriority, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY ALL""")
 def rate_ci_bootstrap_priority(spark, sf):
-    return S.rate_ci_bootstrap(labelled_orders(spark, sf), "o_orderpriority", "label", "o_orderkey", b=100)
+    g = S.rate_ci_bootstrap(labelled_orders(spark, sf), "o_orderpriority", "label", "o_orderkey", b=100)
+    return g.select("o_orderpriority", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @register("facet_rate_segment_priority", f"""

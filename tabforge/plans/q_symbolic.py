@@ -87,10 +87,15 @@ def pareto_front_population(spark, sf):
                                                                  "cross_entropy")
 
 
-@register("pareto_rank_population")
+@register("pareto_rank_population", f"""
+WITH RECURSIVE s AS ({SCORE_SQL}),
+     d AS (SELECT a.id AS above, b.id AS below FROM s a JOIN s b ON a.correct >= b.correct AND a.cross_entropy <= b.cross_entropy
+           AND (a.correct > b.correct OR a.cross_entropy < b.cross_entropy)),
+     r AS (SELECT id, 1 AS front FROM s UNION SELECT d.below AS id, r.front + 1 AS front FROM r JOIN d ON d.above = r.id)
+SELECT id, correct, cross_entropy, CAST(max(front) AS INTEGER) AS front FROM r JOIN s USING (id) GROUP BY ALL""")
 def pareto_rank_population(spark, sf):
     s = scored_table(spark, sf)
-    return NS.pareto_rank(s, "id", "correct", "cross_entropy").select("id", "correct", "cross_entropy", "front")
+    return NS.pareto_rank(s, "id", "correct", "cross_entropy").select(F.col("id").cast("int").alias("id"), "correct", "cross_entropy", "front")
 
 
 EVAL = POP

@@ -111,12 +111,51 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
+def _write_json(spark: SparkSession, value, path: str) -> None:
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_fitted(spark: SparkSession, model, path: str) -> str:
+    """Any fitted model of ``operators.models``: a Spark ML model, a weighted ensemble of them, or a table of numbers.
+
+    The folder holds a note of the kind (JSON), and the models or numbers; all of it goes through Spark's writers.
+    """
+    if isinstance(model, dict):  # linear discriminants, naive Bayes
+        numbers = {k: [x.tolist() if hasattr(x, "tolist") else x for x in v] if isinstance(v, list) else v for k, v in model.items()}
+        _write_json(spark, {"kind": "numbers", "model": numbers}, f"{path}/note")
+    elif hasattr(model, "members"):  # an ensemble
+        for k, (m, _) in enumerate(model.members):
+            m.write().overwrite().save(f"{path}/member-{k}")
+        _write_json(spark, {"kind": "ensemble", "weights": [w for _, w in model.members], "classes": model.classes,
+                            "type": f"{type(model.members[0][0]).__module__}.{type(model.members[0][0]).__name__}"}, f"{path}/note")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+        _write_json(spark, {"kind": "ml", "type": f"{type(model).__module__}.{type(model).__name__}"}, f"{path}/note")
+    return path
+
+
+#: Where a saved model's class may come from.
+MODEL_MODULES = ("pyspark.ml.", "tabforge.operators.")
+
+
+def load_fitted(spark: SparkSession, path: str):
+    """What ``save_fitted`` wrote."""
+    import importlib
+    note = json.loads(spark.read.text(f"{path}/note").first()["value"])
+    if note["kind"] == "numbers":
+        return note["model"]
+    module, name = note["type"].rsplit(".", 1)
+    if not f"{module}.".startswith(MODEL_MODULES):
+        raise ValueError(f"not a model class: {note['type']}")
+    cls = getattr(importlib.import_module(module), name)
+    if note["kind"] == "ml":
+        return cls.load(f"{path}/model")
+    from tabforge.operators.models import Ensemble
+    return Ensemble([(cls.load(f"{path}/member-{k}"), w) for k, w in enumerate(note["weights"])], note["classes"])
+
+
 # A7 -------------------------------------------------------------------------
 def read_xy(spark: SparkSession, path: str, sep: str = ",", target: str = "target") -> DataFrame:
     """Delimited numeric table: every column cast to double, ``target`` renamed ``target``."""
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     return raw.select(*[F.col(c).try_cast("double").alias("target" if c == target else c) for c in raw.columns])
-
-
-def describe_saved(df_roles: dict[str, list[str]]) -> str:
-    return json.dumps(df_roles, sort_keys=True)

@@ -154,34 +154,53 @@ def test_knn_many_rounds_with_checkpoints(spark):
         assert [k for _, k in sorted(got[i])] == exp
 
 
-def test_dfs_mode_paths_agree(spark):
+def test_dfs_modes(spark):
     from tabforge.operators.features import dfs
     rng = random.Random(13)
     rows = [(i, rng.choice("xyz"), rng.choice(["a", "b", "c", "d"]), float(rng.randint(0, 9))) for i in range(400)]
     df = spark.createDataFrame(rows, "k int, p string, c string, v double")
-    a = dfs(df, "k", ["p"], numeric=["v"], categorical=["c"])
-    b = dfs(df, "k", ["p"], numeric=["v"], categorical=["c"], max_mode_values=2)
-    pick = lambda d: sorted((r["p"], r["p__mode__c"], r["p__num_unique__c"]) for r in d.select("p", "p__mode__c", "p__num_unique__c").distinct().collect())
-    assert pick(a) == pick(b)
+    got = {r["p"]: r for r in dfs(df, "k", ["p"], numeric=["v"], categorical=["c"]).collect()}
     for p in "xyz":
         counts = {}
         for _, pp, c, _ in rows:
             if pp == p:
                 counts[c] = counts.get(c, 0) + 1
-        best = min(counts, key=lambda c: (-counts[c], c))
-        assert dict((x[0], x[1]) for x in pick(a))[p] == best
+        assert got[p]["p__mode__c"] == min(counts, key=lambda c: (-counts[c], c)) and got[p]["p__num_unique__c"] == len(counts)
 
 
-def test_dfs_columns_and_cap_do_not_depend_on_the_number_of_values(spark):
-    from tabforge.operators.features import dfs
+def test_dfs_depth_three(spark):
+    """Against pandas, which attaches every level to the base rows; NULL parents, children and single rows."""
+    import pandas as pd
+    from tabforge.operators.features import define_features, dfs
     rng = random.Random(14)
-    rows = [(i, rng.choice("xyz"), rng.choice("abcd"), rng.choice("uv"), float(rng.randint(0, 9))) for i in range(200)]
-    df = spark.createDataFrame(rows, "k int, p string, c string, e string, v double")
-    for cap in (None, 3, 10):
-        few, many = (dfs(df, "k", ["p"], numeric=["v"], categorical=["c", "e"], max_features=cap, max_mode_values=m) for m in (100, 1))
-        assert few.columns == many.columns
-        assert cap is None or len(few.columns) == len(df.columns) + cap
-        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    rows = [(i, rng.choice(["x", "y", "z", None]), rng.choice("abcd"), rng.choice([1, 2, 3]), rng.choice([None, 1.5, 2.0, 7.25, float(i)])) for i in range(150)]
+    rows += [(150, "single", "a", 1, 3.0), (151, "none", "b", 2, None)]
+    df = spark.createDataFrame(rows, "k int, p string, c string, e int, v double")
+    parents, prims = ["p", "c", "e"], ["sum", "mean", "max", "min", "std", "skew"]
+    features = define_features(parents, ["v"], ["c"], depth=3, deep_primitives=["mean", "std", "skew"])
+    out = dfs(df, "k", parents, numeric=["v"], categorical=["c"], depth=3, deep_primitives=["mean", "std", "skew"])
+    assert out.columns == [*df.columns, *(f.name for f in features)] and len(set(out.columns)) == len(out.columns)
+    assert {f.depth for f in features} == {1, 2, 3} and prims == [f.primitive for f in features if f.parent == "e" and f.child == "v"]
+    wide = pd.DataFrame(rows, columns=df.columns)
+    wide["rows"] = 1
+    for f in features:
+        child = f.child if isinstance(f.child, str) else f.child.name
+        g = wide[[f.parent, child]].dropna(subset=[f.parent]).groupby(f.parent)[child]
+        if f.primitive == "mode":
+            made = g.apply(lambda s: s.value_counts().sort_index().sort_values(ascending=False, kind="stable").index[0] if s.notna().any() else None)
+        else:
+            made = {"count": g.sum, "sum": lambda: g.sum(min_count=1), "num_unique": g.nunique}.get(f.primitive, getattr(g, f.primitive, None))()
+        wide[f.name] = wide[f.parent].map(made)
+    got = {r["k"]: r for r in out.collect()}
+    for r in wide.to_dict("records"):
+        for f in features:
+            x, y = r[f.name], got[r["k"]][f.name]
+            if f.primitive in ("std", "skew") and x == x and x is not None and abs(x) < 1e-9:
+                assert y is None or abs(y) < 1e-6, f.name
+            elif x is None or x != x:
+                assert y is None, (f.name, r, y)
+            else:
+                assert x == y if isinstance(x, str) else y is None and f.primitive == "skew" or abs(x - y) <= 1e-6 * max(1, abs(x)), (f.name, x, y)
 
 
 def test_group_assign_splits_a_hot_key(spark):
