@@ -15,10 +15,12 @@ looked up in the tasks; only the pairs beyond it, rare ones, are shuffled to the
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +40,33 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Aligner:
-    """Both tokenizers and the tables of their tokens' bytes; pieces met before."""
+    """Both tokenizers, the tables of their tokens' bytes, and the pieces met before."""
 
     def __init__(self, spec_a: bytes, spec_b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(spec_a.decode())
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.encode_a, names = _byte_level(spec_a)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=spec_b)
         byte = {c: i for i, c in enumerate(_byte_chars())}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.bytes_a = [bytes(byte[c] for c in names.get(i, "") if c in byte) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.long_a, self.long_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.base, self.blank = len(pieces), self.b.piece_to_id("▁")
+        # A token as it stands in the groups: a comma follows inside one side, a bar after A's side, a semicolon after B's.
+        self.written = [f"{i}{c}" for n, marks in ((len(self.bytes_a), ",|"), (len(pieces), ",;")) for c in marks for i in range(n)]
+        self.long_written = np.array([*map(len, self.written)], np.int64)
         # A text may be cut before a blank or line break only if no piece reaches over such a place.
         held = [p.replace("▁", " ") for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.cut = not any(re.search(r"[^ \n][ \n]|\n.|.\n", p, re.S) for p in held)
         self.forget()
 
     def forget(self) -> None:
+        """Pieces met before: their number, and by number what ``align`` says of them."""
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.facts: list[tuple] = []  # of every piece: tokens of A and B, groups, links, the groups written out
+        self.groups: list[str | None] = []
+        self.facts = np.zeros((0, 4), np.int64)
         self.start, self.size, self.pool = (np.zeros(0, np.int64) for _ in range(3))  # where its pairs lie
 
     def _ids_b(self, pieces: list[str]) -> list[list[int]]:
@@ -73,67 +76,67 @@ class Aligner:
             if p == " ":
                 out[k] = [self.blank]
             elif p[:1] != " ":
-                out[k] = out[k][1:] if out[k] and self.bytes_b[out[k][0]] == b" " else None
+                out[k] = out[k][1:] if out[k] and self.bytes_b[out[k][0]] == b" " else []
         return out
 
-    def align(self, pieces: list[str]) -> list[tuple]:
-        """``n_a, n_b, n_groups, n_links, groups, pairs`` of each piece, None where the tokens' bytes are not its own.
+    def align(self, pieces: list[str]) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray]:
+        """Of every piece ``n_a, n_b, n_groups, n_links``, the groups written out (None where a tokenizer's bytes are not the
+        piece's own), the number of its pairs, and all pairs (``a * base + b``, as often as linked) in a row.
 
-        A pair is ``a * base + b``, as often as it is linked.
+        All pieces lie behind each other in arrays of tokens, so offsets where tokens of both end are looked up at once.
         """
-        out = []
-        for piece, a, b in zip(pieces, self.a.encode_batch(pieces, add_special_tokens=False), self._ids_b(pieces)):
-            a, raw = a.ids, piece.encode("utf-8", "surrogatepass")
-            ta, tb = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b or ()]
-            if not raw or b is None or b"".join(ta) != raw or b"".join(tb) != raw:
-                out.append(None)
-                continue
-            if len(a) * len(b) <= 4096:
-                out.append(self._small(a, b, ta, tb))
-            else:
-                out.append(self._large(np.array(a, np.int64), np.array(b, np.int64), [*map(len, ta)], [*map(len, tb)]))
-        return out
-
-    def _small(self, a, b, ta, tb) -> tuple:
-        groups, pairs, i, j, ea, eb = [], [], 0, 0, 0, 0
-        while i < len(a):
-            i0, j0 = i, j
-            ea, eb, i, j = ea + len(ta[i]), eb + len(tb[j]), i + 1, j + 1
-            while ea != eb:
-                if ea < eb:
-                    ea, i = ea + len(ta[i]), i + 1
-                else:
-                    eb, j = eb + len(tb[j]), j + 1
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            pairs += [x * self.base + y for x in a[i0:i] for y in b[j0:j]]
-        return len(a), len(b), len(groups), len(pairs), ";".join(groups), np.array(pairs, np.int64)
-
-    def _large(self, a, b, la, lb) -> tuple:
-        """The same by sorted arrays; for pieces without white space, which may be long."""
-        ea, eb = np.cumsum(la), np.cumsum(lb)
-        cuts = np.intersect1d(ea, eb)
-        ga, gb = np.searchsorted(ea, cuts) + 1, np.searchsorted(eb, cuts) + 1
-        groups, pairs, i0, j0 = [], [], 0, 0
-        for i, j in zip(ga.tolist(), gb.tolist()):
-            groups.append(",".join(map(str, a[i0:i].tolist())) + "|" + ",".join(map(str, b[j0:j].tolist())))
-            pairs.append((a[i0:i, None] * self.base + b[None, j0:j]).ravel())
-            i0, j0 = i, j
-        pairs = np.concatenate(pairs)
-        return len(a), len(b), len(groups), len(pairs), ";".join(groups), pairs
+        ids_a, ids_b = self.encode_a(pieces), self._ids_b(pieces)
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        good = np.ones(len(pieces), bool)
+        for ids, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join(map(table.__getitem__, chain.from_iterable(ids))) != b"".join(raw) or [*map(len, raw)] != [
+                    sum(map(len, map(table.__getitem__, x))) for x in ids]:
+                good &= [b"".join(map(table.__getitem__, x)) == r for x, r in zip(ids, raw)]
+        flat, owner = [], []
+        for ids in (ids_a, ids_b):
+            ids = [x if g else [] for x, g in zip(ids, good)] if not good.all() else ids
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())))
+            owner.append(np.repeat(np.arange(len(ids)), sizes))
+        a, b = flat
+        ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
+        mark = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, bool)
+        mark[ends_a] = True
+        cuts = ends_b[mark[ends_b]]
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        first_b = np.cumsum(in_b) - in_b
+        times = in_b[group_a]  # an A token meets every B token of its group
+        where = np.cumsum(times) - times
+        mate = np.repeat(first_b[group_a] - where, times) + np.arange(int(times.sum()))
+        pairs = np.repeat(a, times) * self.base + b[mate]
+        n = len(pieces)
+        group_owner = owner[1][np.append(group_b[1:] != group_b[:-1], True)] if len(b) else np.zeros(0, np.int64)
+        links = np.bincount(owner[0], weights=times, minlength=n).astype(np.int64)
+        facts = np.stack([*(np.bincount(o, minlength=n) for o in (owner[0], owner[1], group_owner)), links], 1)
+        # Written out: A's tokens of a group, then B's.
+        last_a, last_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (group_a, group_b))
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = a + last_a * len(self.bytes_a)
+        code[np.arange(len(b)) + np.cumsum(in_a)[group_b]] = b + 2 * len(self.bytes_a) + last_b * self.base
+        text = "".join(map(self.written.__getitem__, code.tolist()))
+        stops = np.append(0, np.cumsum(self.long_written[code]))[np.cumsum(facts[:, 0] + facts[:, 1])].tolist()
+        groups = [text[i:max(i, j - 1)] if g else None for i, j, g in zip([0, *stops], stops, good.tolist())]
+        return facts, groups, links, pairs
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.number]
         if len(self.number) + len(new) > KNOWN_PIECES or self.chars > KNOWN_CHARS:
             self.forget()
             new = list(pieces)
+        if not new:
+            return
+        facts, groups, size, pairs = self.align(new)
         self.chars += sum(map(len, new))
-        done = self.align(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.facts += [d and d[:5] for d in done]
-        none = np.zeros(0, np.int64)
-        sizes = np.fromiter((len(d[5]) if d else 0 for d in done), np.int64, len(done))
-        self.size = np.concatenate((self.size, sizes))
-        self.pool = np.concatenate((self.pool, *(d[5] if d else none for d in done)))
+        self.facts = np.concatenate((self.facts, facts))
+        self.groups += groups
+        self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, pairs))
         self.start = np.cumsum(self.size) - self.size
 
     def pieces(self, text: str) -> list[str]:
@@ -143,27 +146,68 @@ class Aligner:
         return PIECE.findall(" " + text) if self.cut and not OTHER_SPACE.search(text) else [" " + text]
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple]:
-        """Per text: ``n_a, n_b, n_groups, n_links, groups, distinct pairs, how often each is linked``."""
+        """Portions of the texts in order: ``n_a, n_b, n_groups, n_links`` of each, its groups, its number of distinct pairs,
+        and the pairs of all with how often each is linked."""
         group, chars = [], 0
         for k, t in enumerate(texts):
             group.append(self.pieces(t or ""))
             chars += len(t or "")
             if chars >= BATCH_CHARS or k + 1 == len(texts):
                 self.learn(set().union(*group))
-                for pieces in group:
-                    at = [self.number[p] for p in pieces]
-                    facts = [self.facts[i] for i in at]
-                    if not at or None in facts:
-                        yield 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-                        continue
-                    n_a, n_b, n_g, n_l, groups = zip(*facts)
-                    where = np.array(at)
-                    size = self.size[where]
-                    ends = np.cumsum(size)
-                    pairs, often = np.unique(self.pool[np.repeat(self.start[where] - ends + size, size) + np.arange(ends[-1])], return_counts=True)
-                    yield sum(n_a), sum(n_b), sum(n_g), sum(n_l), ";".join(groups), pairs, often
+                yield self._portion(group)
                 group, chars = [], 0
 
+    def _portion(self, group: list[list[str]]) -> tuple:
+        n = len(group)
+        ats = [[*map(self.number.__getitem__, pieces)] for pieces in group]
+        groups = []
+        for i, at in enumerate(ats):
+            written = [*map(self.groups.__getitem__, at)]
+            if None in written:
+                ats[i], written = [], []
+            groups.append(";".join(written))
+        at = np.fromiter(chain.from_iterable(ats), np.int64)
+        doc = np.repeat(np.arange(n), [*map(len, ats)])
+        facts = np.zeros((n, 4), np.int64)
+        np.add.at(facts, doc, self.facts[at])
+        size = self.size[at]
+        ends = np.cumsum(size)
+        pairs = self.pool[np.repeat(self.start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        span = len(self.bytes_a) * self.base
+        keys, often = np.unique(np.repeat(doc, size) * span + pairs, return_counts=True)
+        return facts, groups, np.bincount(keys // span, minlength=n), keys % span, often
+
+
+# Fixed value: how byte-level tokenizer files of this kind part a text before merging.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level(spec: bytes):
+    """A function from texts to ids, and the vocabulary by id, of a byte-level tokenizer file.
+
+    Where the file's merges are in the order of the ids they make, its vocabulary is a table of merge ranks, which a
+    smaller and faster library takes. Any other file goes to the library of the file's format.
+    """
+    file = json.loads(spec)
+    vocab, merges, pre = file["model"]["vocab"], file["model"]["merges"], file["pre_tokenizer"]
+    names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    plain = (file.get("normalizer") is None and pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+             and not file["model"].get("dropout") and made == list(range(256, 256 + len(made))))
+    if plain:
+        import tiktoken
+        byte = {c: i for i, c in enumerate(_byte_chars())}
+        special = {t["content"] for t in file["added_tokens"]}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+        one = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [*map(one, texts)], names
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_str(spec.decode())
+    t.encode_special_tokens = True
+    t.no_truncation()
+    t.no_padding()
+    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)], names
+
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -181,22 +225,17 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool =
         aligner = Aligner(*spec.value)
         names = [f.split(" ")[0] for f in schema.split(", ")]
         for frame in frames:
-            at = 0
-            while at < frame.num_rows:  # results leave in portions, as long texts have many pairs
-                sizes = np.cumsum(frame.column(0).slice(at).to_pandas().str.len().to_numpy())
-                step = max(1, int(np.searchsorted(sizes, 4 * BATCH_CHARS)))
-                part = frame.slice(at, step)
-                at += step
-                texts = part.column(0).to_pylist()
-                rows = list(aligner.texts(texts))
-                keys = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
-                cols = list(zip(*rows))
-                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in cols[4]]
-                ends = np.cumsum([0] + [len(p) for p in cols[5]])
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c), t))
-                         for c, t in ((cols[5], pa.int64()), (cols[6], pa.int32()))]
-                arrays = [pa.array(keys, pa.binary()), part.column(1), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(sha), *lists]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[4])] * keep_groups, names)
+            texts, at = frame.column(0).to_pylist(), 0
+            for facts, groups, many, pairs, often in aligner.texts(texts):  # portions, as long texts have many pairs
+                mine = texts[at:at + len(groups)]
+                keys = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in mine]
+                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                ends = pa.array(np.append(0, np.cumsum(many)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c, t)) for c, t in ((pairs, pa.int64()), (often, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), frame.column(1).slice(at, len(mine)), *(pa.array(facts[:, i]) for i in range(4)),
+                     pa.array(sha, pa.string()), *lists, *([pa.array(groups, pa.string())] if keep_groups else [])], names)
+                at += len(mine)
     distinct = docs.groupBy(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
     return distinct.mapInArrow(run, schema)
 
