@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 4  # each round changes both halves
+WALK = 64
 EPOCH, DAYS = "1900-01-01", (319, 229)  # 200 years from the epoch are 319 * 229 days
 
 _START, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -182,14 +183,26 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
+    """Every form has strings of its own: with slashes, those that are valid as day/month, and those that are only
+    valid as month/day. The latter are permuted until another such string comes up, which is one-to-one among them."""
     epoch = F.lit(EPOCH).cast("date")
 
-    def written(form):
+    def written(form, accept=None):
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), epoch).cast("long")
-        p = feistel(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
-        new = F.transform(F.array(p), lambda r: F.date_format(F.date_add(epoch, (r["x"] * DAYS[1] + r["y"]).cast("int")), form))[0]
-        return F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), new)
-    return F.coalesce(*[written(form) for form in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")])
+        as_date = lambda n: F.date_add(epoch, n.cast("int"))
+
+        def turn(n):
+            return _once(feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date"), lambda r: r["x"] * DAYS[1] + r["y"])
+        if accept is None:
+            new = turn(day)
+        else:
+            # Three in five days are accepted: WALK turns fail once in 10^25 keys and days.
+            start = F.struct(day.alias("n"), F.lit(False).alias("done"))
+            step = lambda s, _: F.when(s["done"], s).otherwise(_once(turn(s["n"]), lambda n: F.struct(n.alias("n"), accept(as_date(n)).alias("done"))))
+            new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: F.when(s["done"], s["n"]))
+        return F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), F.date_format(_once(new, as_date), form))
+    slashes = F.coalesce(written("dd/MM/yyyy"), written("MM/dd/yyyy", lambda d: F.dayofmonth(d) > 12))
+    return F.coalesce(written("yyyy-MM-dd"), written("dd.MM.yyyy"), slashes)
 
 
 def _email(m: Column, key: Column) -> Column:
