@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import settle, ship
+from tabforge.llm.common import settle, ship, small
 
 ship(__name__)
 GRAM = 32  # bytes of the first rank
@@ -27,7 +27,8 @@ PIECE = 1 << 20  # window starts handled at a time
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2^64
 NO_ID = -(1 << 63)
 CHUNK, SAMPLE = 4096, 16  # one in SAMPLE chunks of text is searched for hot first ranks
-HOT_SHARE, HOT_LEAST = 512, 16  # hot: more than one in HOT_SHARE sampled places (so fewer than that are hot), and so many of them
+HOT_SHARE, HOT_LEAST = 512, 16  # hot: more than one in HOT_SHARE sampled places, and so many of them,
+HOT_PLACES = 1 << 20  # or about so many places, however small a share of all they are
 SHARES = 256
 
 
@@ -111,13 +112,14 @@ def hot_grams(own: DataFrame, length: int) -> DataFrame:
     counts = settle(own.select("id", "text").mapInArrow(some, "gram long").groupBy("gram").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     counts = counts.where(F.col("count") >= HOT_LEAST)
-    return settle(counts.where(F.col("count") * HOT_SHARE > total).select("gram", F.lit(True).alias("hot")))
+    hot = (F.col("count") * HOT_SHARE > total) | (F.col("count") * SAMPLE > HOT_PLACES)
+    return settle(counts.where(hot).select("gram", F.lit(True).alias("hot")))
 
 
 def shared_out(df: DataFrame, hot: DataFrame, *place: Column | str) -> DataFrame:
     """Adds ``share``: -1, or for the rows of a hot gram one of SHARES by the hash of ``place``."""
     share = F.when(F.col("hot"), F.pmod(F.xxhash64(*place), F.lit(SHARES)).cast("int")).otherwise(-1)
-    return df.join(F.broadcast(hot), "gram", "left").withColumn("share", share).drop("hot")
+    return df.join(small(hot, 16), "gram", "left").withColumn("share", share).drop("hot")
 
 
 def by_id(df: DataFrame, group: tuple[str, ...], at: str, opened: bool = True) -> DataFrame:
