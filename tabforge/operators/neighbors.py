@@ -166,6 +166,24 @@ def _descend(queries: DataFrame, levels: list[DataFrame], splits: list[DataFrame
     return q
 
 
+def _blocks(queries: DataFrame, depth: int, block_rows: int) -> DataFrame:
+    """Adds ``block``: vectors of one part of the tree, about ``block_rows`` of them.
+
+    The part is the lowest node above a vector's leaf that half a block of query vectors lie under, so that few queries
+    make few blocks; a part with more is divided by a hash.
+    """
+    chain = [F.col("home")]
+    for _ in range(depth):
+        chain.append(F.when(chain[-1] > 0, F.floor((chain[-1] - 1) / SLOTS).cast("long")))
+    homes = settled(queries.groupBy("home").agg(F.count("*").alias("m")))
+    above = homes.select("home", "m", F.posexplode(F.filter(F.array(*chain), lambda v: v.isNotNull())).alias("up", "part"))
+    under = above.groupBy("part").agg(F.sum("m").alias("held"))
+    parts = (above.join(under, "part").where((F.col("held") * 2 >= block_rows) | (F.col("part") == 0)).groupBy("home")
+             .agg(F.min_by(F.struct("part", F.ceil(F.col("held") / block_rows).alias("shares")), "up").alias("p")))
+    share = F.pmod(F.xxhash64("x"), F.col("p.shares"))
+    return queries.join(checked_broadcast(parts, 1 << 17), "home").withColumn("block", F.xxhash64("p.part", share)).drop("p")
+
+
 def _reach(blocks: DataFrame, levels: list[DataFrame], leaf_rows: int, dims: int, metric: str) -> DataFrame:
     """``block, leaf``: cells whose box is not farther from the block's box than the block's largest k-th distance."""
     def bound():
@@ -182,7 +200,7 @@ def _reach(blocks: DataFrame, levels: list[DataFrame], leaf_rows: int, dims: int
         kids = nodes.withColumn("at", _parent())
         frontier = (frontier.join(kids, "at").withColumn("lb", bound())
                     .where(F.col("lb").isNotNull() & (F.col("kth").isNull() | (F.col("lb") * (1 - 1e-9) <= F.col("kth")))))
-        reached.append(frontier.where((F.col("n") <= leaf_rows) & (F.col("node") != F.col("home"))).select("block", F.col("node").alias("leaf")))
+        reached.append(frontier.where(F.col("n") <= leaf_rows).select("block", F.col("node").alias("leaf")))
         frontier = frontier.where(F.col("n") > leaf_rows).drop("at", "lb", "n", "lo", "hi", "holes").withColumnRenamed("node", "at")
     out = reached[0]
     for r in reached[1:]:
@@ -218,26 +236,24 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
         "idx", F.row_number().over(number.partitionBy("leaf")).cast("long")))
     qv = _descend(q.select("x").distinct(), levels, splits, k).withColumnRenamed("node", "home")
     qv = settled(qv.withColumn("vid", F.monotonically_increasing_id()))
-    n_blocks = qv.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    qv = settled(qv.join(checked_broadcast(n_blocks, 1 << 17), "home").withColumn(
-        "block", F.xxhash64("home", F.pmod(F.xxhash64("x"), F.col("parts")))).drop("parts"))
+    qv = settled(_blocks(qv, len(splits), block_rows))
 
-    def search(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-        """The block's vectors against the cell's, for every pair ``leaf, block``; both are bounded."""
-        left = vectors.join(pairs, "block").select("leaf", "block", "vid", "x", "kth")
+    def search(pairs: DataFrame, vectors: DataFrame, which: str) -> DataFrame:
+        """The block's vectors that ``which`` names against the cell's, for every pair ``leaf, block``; both are bounded."""
+        left = vectors.join(pairs, "block").where(which).select("leaf", "block", "vid", "x", "kth")
         met = pairs.select(F.col("leaf").alias("cell"), F.col("block").alias("by"))
         right = cells.join(met, F.col("leaf") == F.col("cell")).select("cell", "by", "idx", "x")
         return settled(left.groupBy("leaf", "block").cogroup(right.groupBy("cell", "by")).applyInArrow(
             lambda key, a, b: _nearest(key, a, b, k, dims, metric), "vid long, leaf long, idx long, dist double"))
     own = settled(qv.select(F.col("home").alias("leaf"), "block").distinct())
-    found = search(own, qv.withColumn("kth", F.lit(None).cast("double")))
+    found = search(own, qv.withColumn("kth", F.lit(None).cast("double")), "leaf = home")
     if splits:
         got = found.groupBy("vid").agg(F.count("*").alias("got"), F.max("dist").alias("far"))
         bounded = settled(qv.join(got, "vid", "left").select("vid", "x", "block", "home", F.when(F.col("got") >= k, F.col("far")).alias("kth")))
         # A block that holds a vector without a bound has none itself.
-        blocks = _boxes(bounded, ["block", "home"], dims, F.when(F.bool_and(F.col("kth").isNotNull()), F.max("kth")).alias("kth"))
-        blocks = settled(blocks.select("block", "home", "kth", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("holes").alias("qholes")))
-        found = found.unionByName(search(_reach(blocks, levels, leaf_rows, dims, metric), bounded))
+        blocks = _boxes(bounded, ["block"], dims, F.when(F.bool_and(F.col("kth").isNotNull()), F.max("kth")).alias("kth"))
+        blocks = settled(blocks.select("block", "kth", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("holes").alias("qholes")))
+        found = found.unionByName(search(_reach(blocks, levels, leaf_rows, dims, metric), bounded, "leaf <> home"))
     best = Window.partitionBy("vid").orderBy("dist", "row.dk")
     # Vectors beyond the k-th distance go first, so rows are only unpacked for what may rank.
     near = found.withColumn("r", F.rank().over(Window.partitionBy("vid").orderBy("dist"))).where(F.col("r") <= k).drop("r")

@@ -58,4 +58,4 @@ def test_entry_and_registry(spark):
     assert set(sql) <= set(qs)
     # The corpus operators' queries are there exactly if their optional subpackage is.
     corpus = [n for n in qs if n.lower().startswith("op") or "pipeline" == n]
-    assert len(corpus) == (0 if E.llm is None else 11)
+    assert len(corpus) == (0 if E.llm is None else 14)
