@@ -41,9 +41,10 @@ def _first_k(df: DataFrame, key: str, seed, k: int, n: int) -> Column:
     u = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")  # 60 bits
     low, high, below, inside = 0, 1 << 60, 0, n
     while inside > BRACKET_ROWS and high - low > 1:
-        near = low + int((high - low) * ((k - below) / inside))
-        margin = int((high - low) * (4.0 * math.sqrt(inside) + 10.0) / inside) + 1
-        a, b = max(low, near - margin), min(high, near + margin)
+        near = min(high - 1, low + int((high - low) * ((k - below) / inside)))
+        # At most half of the range, so that it shrinks whatever the rows.
+        margin = min(int((high - low) * (4.0 * math.sqrt(inside) + 10.0) / inside), (high - low) // 4)
+        a, b = max(low, near - margin), min(high, near + margin + 1)
         before, within = df.where((u >= low) & (u < high)).agg(F.count_if(u < a), F.count_if((u >= a) & (u < b))).first()
         if k - below <= before:  # outside the bracket: far rarer than one time in ten thousand
             high, inside = a, before
