@@ -191,7 +191,8 @@ def test_bins_by_rule(spark):
     for x in (rng.normal(size=500), np.r_[np.zeros(300), rng.rand(50)], np.ones(5), np.arange(3.0)):
         df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
         for rule in ("auto", "fd", "sturges"):
-            if rule == "fd" and np.subtract(*np.percentile(x, [75, 25])) == 0:
+            if np.subtract(*np.percentile(x, [75, 25])) == 0:  # newer libraries widen such bins in another way
+                assert S.auto_bins(df, "x", rule) == len(np.histogram_bin_edges(x, "sturges")) - 1
                 continue
             assert S.auto_bins(df, "x", rule) == len(np.histogram_bin_edges(x, rule)) - 1, (rule, len(x))
     assert S.auto_bins(df.where("x > 99"), "x") == 0 and S.histogram(df.where("x > 99"), "x", "auto").count() == 0
