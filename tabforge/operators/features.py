@@ -24,10 +24,15 @@ CATEGORICAL_PRIMITIVES = ["num_unique", "mode"]
 BOOLEAN_PRIMITIVES = ["percent_true"]
 
 
+def _flat(lo: Column, hi: Column) -> Column:
+    """No spread beyond the rounding of equal sums added in another order."""
+    return hi - lo <= 1e-12 * F.greatest(F.abs(lo), F.abs(hi))
+
+
 def sample_skew(c: Column) -> Column:
-    """Bias-corrected skewness (pandas form): g1·√(n(n−1))/(n−2); null for n < 3."""
+    """Bias-corrected skewness (pandas form): g1·√(n(n−1))/(n−2); null for n < 3, 0 without spread."""
     n = F.count(c).cast("double")
-    return F.when(n >= 3, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n >= 3, F.when(_flat(F.min(c), F.max(c)), 0.0).otherwise(F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
 def sample_kurtosis(c: Column) -> Column:
@@ -120,8 +125,8 @@ def _weighted(rows: DataFrame, by: str, wanted: dict[str, dict[str, str]]) -> Da
             "sum": lambda: F.col(f"_s{i}"), "mean": lambda: F.col(f"_s{i}") / count, "count": lambda: F.coalesce(F.col(f"_n{i}"), F.lit(0)),
             "min": lambda: F.col(f"_lo{i}"), "max": lambda: F.col(f"_hi{i}"),
             "std": lambda: F.when(count > 1, F.when(flat, 0.0).otherwise(F.sqrt(F.col(f"_c2{i}") / (count - 1)))),
-            "skew": lambda: F.when((count >= 3) & ~flat, (F.col(f"_c3{i}") / count) / F.pow(F.col(f"_c2{i}") / count, F.lit(1.5))
-                                   * F.sqrt(count * (count - 1)) / (count - 2)),
+            "skew": lambda: F.when(count >= 3, F.when(_flat(F.col(f"_lo{i}"), F.col(f"_hi{i}")), 0.0).otherwise(
+                (F.col(f"_c3{i}") / count) / F.pow(F.col(f"_c2{i}") / count, F.lit(1.5)) * F.sqrt(count * (count - 1)) / (count - 2))),
         }
         out += [forms[x]().alias(name) for x, name in wanted[c].items()]
     return first.select(by, *out)

@@ -107,6 +107,8 @@ def test_sample_skew_kurtosis(spark):
     df = spark.createDataFrame([(float(v),) if v is not None else (None,) for v in [1, 2, 2, 3, None, 10]], "x double")
     sk, ku = df.agg(sample_skew(F.col("x")), sample_kurtosis(F.col("x"))).first()
     assert abs(sk - 2.028699) < 1e-5 and abs(ku - 4.272147) < 1e-5
+    flat = spark.createDataFrame([(0.1,)] * 3 + [(None,)], "x double")
+    assert flat.agg(sample_skew(F.col("x"))).first()[0] == 0 and flat.limit(2).agg(sample_skew(F.col("x"))).first()[0] is None
 
 
 def test_ewm_fixture(spark):
