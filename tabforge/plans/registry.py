@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 MODULES = ["q_sources", "q_profile", "q_columns", "q_encode", "q_combine", "q_summarize", "q_sequence",
-           "q_impute", "q_features", "q_preprocess", "q_validate", "q_symbolic", "q_models", "q_fitted", "q_search", "q_edges", "q_flow"]
+           "q_impute", "q_features", "q_preprocess", "q_validate", "q_symbolic", "q_models", "q_fitted", "q_search", "q_folds", "q_edges", "q_flow"]
 
 
 def _load_all() -> None:
