@@ -14,7 +14,7 @@ from tabforge.plans.tables import LABELLED_LINEITEM_SQL, LABELLED_ORDERS_SQL, la
 FEATS = ["price", "balance", "c_nationkey", "prio"]
 
 
-def order_data(spark, sf, k=3):
+def order_data(spark, sf, k=9):
     o = labelled_orders(spark, sf).select(
         "o_orderkey", "label", (F.col("o_totalprice") / 100000).alias("price"),
         (F.col("c_acctbal") / 1000).alias("balance"), "c_nationkey",
@@ -22,9 +22,15 @@ def order_data(spark, sf, k=3):
     return V.stratified_folds(o, "label", "o_orderkey", k)
 
 
+def held_out(spark, sf):
+    """(training rows, held-out rows): the last of the folds is held out."""
+    d = order_data(spark, sf)
+    return d.where(F.col("fold") < 8), d.where(F.col("fold") == 8)
+
+
 @register("cross_validate_models_orders")
 def cross_validate_models_orders(spark, sf):
-    d = order_data(spark, sf)
+    d = order_data(spark, sf, 3)
     ests = {"logreg": L.logreg(maxIter=20), "tree": L.tree(maxDepth=4, seed=0),
             "forest": L.forest(numTrees=10, maxDepth=4, seed=0),
             "forest_no_bootstrap": L.forest_no_bootstrap(numTrees=10, maxDepth=4, seed=0),
@@ -34,14 +40,14 @@ def cross_validate_models_orders(spark, sf):
 
 @register("grid_search_forest_orders")
 def grid_search_forest_orders(spark, sf):
-    table, _ = L.grid_search(order_data(spark, sf), L.forest(seed=0), {"numTrees": [5, 10], "maxDepth": [3, 5]},
+    table, _ = L.grid_search(order_data(spark, sf, 3), L.forest(seed=0), {"numTrees": [5, 10], "maxDepth": [3, 5]},
                              FEATS, "label", "fold")
     return table
 
 
 @register("random_search_logreg_orders")
 def random_search_logreg_orders(spark, sf):
-    table, _ = L.random_search(order_data(spark, sf), L.logreg(maxIter=20),
+    table, _ = L.random_search(order_data(spark, sf, 3), L.logreg(maxIter=20),
                                {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": [0.0, 1.0]},
                                FEATS, "label", "fold", n_iter=4, seed=3)
     return table
@@ -49,38 +55,38 @@ def random_search_logreg_orders(spark, sf):
 
 @register("pipeline_search_orders")
 def pipeline_search_orders(spark, sf):
-    n = order_data(spark, sf).count()
+    n = order_data(spark, sf, 3).count()
     cands = {"tree": lambda c: L.tree(maxDepth=3, seed=0), "logreg": lambda c: L.logreg(maxIter=10),
              "rbf_svm": lambda c: L.rbf_svm(c, n, gamma=0.5, C=1.0, n_components=20, seed=0)}
-    return L.pipeline_search(order_data(spark, sf), cands, FEATS, "label", "fold", n=4, seed=1, patience=2)
+    return L.pipeline_search(order_data(spark, sf, 3), cands, FEATS, "label", "fold", n=4, seed=1, patience=2)
 
 
 @register("adaboost_orders")
 def adaboost_orders(spark, sf):
-    d = order_data(spark, sf)
-    ens = L.adaboost(d, FEATS, "label", "o_orderkey", depth=3, rounds=4)
-    p = L.adaboost_predict(ens, d, FEATS, "o_orderkey")
-    return V.accuracy(p.join(d.select("o_orderkey", "label"), "o_orderkey"), "label", "prediction")
+    train, test = held_out(spark, sf)
+    ens = L.adaboost(train, FEATS, "label", "o_orderkey", depth=3, rounds=8)
+    p = L.adaboost_predict(ens, test, FEATS, "o_orderkey")
+    return V.accuracy(p.join(test.select("o_orderkey", "label"), "o_orderkey"), "label", "prediction")
 
 
 @register("rbf_svm_mlp_orders")
 def rbf_svm_mlp_orders(spark, sf):
-    d = L.with_label(order_data(spark, sf), "label")
+    train, test = (L.with_label(d, "label") for d in held_out(spark, sf))
     out = []
-    for name, est in [("rbf_svm", L.rbf_svm(FEATS, d.count(), gamma=0.5, C=1.0, n_components=20)),
+    for name, est in [("rbf_svm", L.rbf_svm(FEATS, train.count(), gamma=0.5, C=1.0, n_components=20)),
                       ("mlp", L.assembled(L.mlp([len(FEATS), 5, 2], maxIter=30, seed=0), FEATS))]:
-        m = est.fit(d)
-        acc = V.accuracy(m.transform(d), "label", "prediction").select(F.lit(name).alias("model"), "accuracy")
+        m = est.fit(train)
+        acc = V.accuracy(m.transform(test), "label", "prediction").select(F.lit(name).alias("model"), "accuracy")
         out.append(acc)
     return out[0].unionByName(out[1])
 
 
 @register("lda_orders")
 def lda_orders(spark, sf):
-    d = order_data(spark, sf)
-    m = L.lda_fit(d, FEATS, "label")
-    p = L.lda_predict(m, d, "o_orderkey")
-    return V.accuracy(p.join(d.select("o_orderkey", "label"), "o_orderkey"), "label", "prediction")
+    train, test = held_out(spark, sf)
+    m = L.lda_fit(train, FEATS, "label")
+    p = L.lda_predict(m, test, "o_orderkey")
+    return V.accuracy(p.join(test.select("o_orderkey", "label"), "o_orderkey"), "label", "prediction")
 
 
 @register("importances_top_forest")
