@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` applies them in order and writes each result as Parquet into the shared folder.
+
+Rows are told apart by id and text, so ids may be null or repeated; an empty table gives an empty result; columns beside
+those of ``documents`` pass through all stages but the last. ``__id``, ``__hash`` and ``__again`` are working names: a
+column of ``docs`` that has one of them is overwritten.
 """
 
 from __future__ import annotations
