@@ -2,7 +2,8 @@
 
 Series are numbered with the distributed ``exact_row_number`` (range
 partitioned, so a series holding a third of all rows is spread over many
-tasks). Running aggregates are computed in fixed-size blocks of the series:
+tasks) on their key columns alone; whole rows are shuffled once, to meet their
+results. Running aggregates are computed in fixed-size blocks of the series:
 a window inside each (series, block) — bounded group size — plus a prefix over
 block totals, applied recursively to the (much smaller) block table.
 """
@@ -64,9 +65,31 @@ def ordered_prefix(df: DataFrame, order_by: list, value: str, op: str, out: str,
     return r.drop("_all", "_i", "_incl")
 
 
-def series_position(df: DataFrame, series: str, order_by: list, name: str = "t") -> DataFrame:
-    """1-based position of each row inside its series (distributed, skew-safe)."""
-    return exact_row_number(df, order_by, partition_by=[series], name=name)
+def _numbered(df: DataFrame, series: str, order_by: list[str], value: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows with their key ``_k`` (series, order and value), and those key columns alone, numbered as ``_t``.
+
+    Only the narrow side is sorted and checkpointed. A NULL inside the key equals a NULL.
+    """
+    keyed = df.withColumn("_k", F.struct(*dict.fromkeys([series, *order_by, *([value] if value else [])])))
+    narrow = keyed.select(*dict.fromkeys([series, *([value] if value else [])]), "_k")
+    return keyed, exact_row_number(narrow, ["_k"], partition_by=[series], name="_t")
+
+
+def _back(keyed: DataFrame, numbered: DataFrame, *results: str) -> DataFrame:
+    """The rows with ``_t`` and ``results`` of the first row of their key, and ``_i``, their place among rows of one key.
+
+    One shuffle of the whole rows: the join on the key and the window inside it share it. Keys without a numbered
+    row leave.
+    """
+    first = numbered.groupBy("_k").agg(F.min("_t").alias("_t"), *[F.min_by(r, "_t").alias(r) for r in results])
+    same = Window.partitionBy("_k").orderBy("_k")
+    return keyed.join(first, "_k").withColumn("_i", F.row_number().over(same) - 1)
+
+
+def series_position(df: DataFrame, series: str, order_by: list[str], name: str = "t") -> DataFrame:
+    """1-based position of each row inside its series (distributed, skew-safe); ``order_by`` names columns, ascending."""
+    d = _back(*_numbered(df, series, order_by))
+    return d.withColumn(name, F.col("_t") + F.col("_i")).drop("_k", "_t", "_i")
 
 
 def running_agg(df: DataFrame, series: str, pos: str, value: str, op: str, out: str,
@@ -104,7 +127,7 @@ def ewm(df: DataFrame, series: str, order_by: list, value: str, f: float = 0.05,
     a = 1.0 - f
     la = math.log(a)
     B = max(1, int(math.ceil(40.0 / -la)))
-    d = series_position(df, series, order_by, name="_t")
+    keyed, d = _numbered(df, series, order_by, value)
     t0 = F.col("_t") - 1
     d = d.withColumn("_b", F.floor(t0 / B).cast("long")).withColumn("_o", t0 - F.col("_b") * B)
     c = F.when(F.col("_t") == 1, F.lit(1.0)).otherwise(F.lit(f))
@@ -116,25 +139,31 @@ def ewm(df: DataFrame, series: str, order_by: list, value: str, f: float = 0.05,
     p2 = tot.select(series, (F.col("_b") + 2).alias("_b"), F.col("_T").alias("_T2"))
     d = null_safe_join(null_safe_join(d, p1, [series, "_b"], "left"), p2, [series, "_b"], "left")
     carry = F.coalesce(F.col("_T1"), F.lit(0.0)) + F.lit(a ** B) * F.coalesce(F.col("_T2"), F.lit(0.0))
-    d = d.withColumn(out, F.col("_L") + F.exp(F.lit(la) * (F.col("_o") + 1)) * carry)
-    return d.drop("_b", "_o", "_L", "_T1", "_T2").withColumnRenamed("_t", "t")
+    d = d.withColumn("_s", F.col("_L") + F.exp(F.lit(la) * (F.col("_o") + 1)) * carry)
+    d = _back(keyed, d, "_s")
+    # Rows of one key follow each other with the same value x, so s nears x by the factor 1 − f from row to row.
+    x = F.coalesce(x, F.lit(0.0))
+    smooth = F.when(F.col("_i") == 0, F.col("_s")).otherwise(x + (F.col("_s") - x) * F.pow(F.lit(a), F.col("_i")))
+    return d.withColumns({"t": F.col("_t") + F.col("_i"), out: smooth}).drop("_k", "_t", "_i", "_s")
 
 
 def diverge_cut(df: DataFrame, series: str, order_by: list, value: str, factor: float = 5.0) -> DataFrame:
     """H4: keep each series up to and including the first row with value > factor × running min."""
-    d = series_position(df, series, order_by, name="t")
-    d = running_agg(d, series, "t", value, "min", "best")
-    stop = d.where(F.col(value) > F.lit(factor) * F.col("best")).groupBy(series).agg(F.min("t").alias("_stop"))
-    d = null_safe_join(d, settled(stop), [series], "left")
-    return d.where(F.col("_stop").isNull() | (F.col("t") <= F.col("_stop"))).drop("_stop")
+    keyed, d = _numbered(df, series, order_by, value)
+    d = running_agg(d, series, "_t", value, "min", "_best")
+    stop = d.where(F.col(value) > F.lit(factor) * F.col("_best")).groupBy(series).agg(F.min("_t").alias("_stop"))
+    d = null_safe_join(d, settled(stop), [series], "left").where(F.col("_stop").isNull() | (F.col("_t") <= F.col("_stop")))
+    d = _back(keyed, d, "_best", "_stop").withColumns({"t": F.col("_t") + F.col("_i"), "best": F.col("_best")})
+    return d.where(F.col("_stop").isNull() | (F.col("t") <= F.col("_stop"))).drop("_k", "_t", "_i", "_best", "_stop")
 
 
 def trim(df: DataFrame, series: str, order_by: list, head: int = 10, tail: int = 5) -> DataFrame:
     """H5: drop the first ``head`` and last ``tail`` rows of each series."""
-    d = series_position(df, series, order_by, name="t")
-    n = d.groupBy(series).agg(F.max("t").alias("_n"))
-    d = null_safe_join(d, settled(n), [series])
-    return d.where((F.col("t") > head) & (F.col("t") <= F.col("_n") - tail)).drop("_n")
+    keyed, d = _numbered(df, series, order_by)
+    n = d.groupBy(series).agg(F.max("_t").alias("_n"))
+    d = null_safe_join(d, settled(n), [series]).where(F.col("_t") <= F.col("_n") - tail)
+    d = _back(keyed, d, "_n").withColumn("t", F.col("_t") + F.col("_i"))
+    return d.where((F.col("t") > head) & (F.col("t") <= F.col("_n") - tail)).drop("_k", "_t", "_i", "_n")
 
 
 def best_run(df: DataFrame, run: str, step: str, loss: str, extra: list[str] = (), tie: list[str] = ()) -> DataFrame:

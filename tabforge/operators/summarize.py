@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.plans.bounded import ship
+from tabforge.plans.bounded import settled, ship
 from tabforge.plans.ranking import exact_quantiles, null_safe_join
 
 ship(__name__)
@@ -167,10 +167,9 @@ def kde(df: DataFrame, c: str, grid: list[float] | None = None, points: int = 50
         by: str | None = None) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth h = std·n^(-1/5), per ``by`` group.
 
-    Values are first collapsed to (value, count); each distinct value adds its
-    contribution to every grid point inside the task (array transform +
-    posexplode), and partial aggregation sums per grid point before the shuffle.
-    The grid is a literal array (default: ``points`` steps over [min, max]). A group of one value has no bandwidth:
+    Values are first collapsed to (value, count); every grid point is one sum of
+    one aggregate, so a task sends a row per group and no row per value and grid point.
+    The grid is literal (default: ``points`` steps over [min, max]). A group of one value has no bandwidth:
     its density is NULL. No values give no rows.
     """
     keys = [by] if by else []
@@ -182,21 +181,19 @@ def kde(df: DataFrame, c: str, grid: list[float] | None = None, points: int = 50
             grid, lo, hi, points = [0.0], 0.0, 0.0, 0
         step = (hi - lo) / max(1, points - 1)
         grid = [lo + i * step for i in range(points)] or [0.0]
-    garr = F.array(*[F.lit(float(g)) for g in grid])
     distinct = base.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("k"))
     if keys:
         st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("x").alias("_sd"))
-        j = null_safe_join(distinct, st, keys)
+        j = null_safe_join(settled(distinct), settled(st), keys)
     else:
         n, sd = base.agg(F.count(F.lit(1)), F.stddev_samp("x")).first()
         j = distinct.withColumn("_n", F.lit(n)).withColumn("_sd", F.lit(sd))
     j = j.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    contrib = F.transform(garr, lambda g: F.col("k") * F.exp(-0.5 * F.pow(F.try_divide(g - F.col("x"), F.col("_h")), 2)))
-    ex = j.select(*keys, "_n", "_h", F.posexplode(contrib).alias("i", "s"))
-    agg = ex.groupBy(*keys, "i", "_n", "_h").agg(F.sum("s").alias("s"))
-    dens = F.try_divide(F.col("s"), F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
-    return agg.select(*keys, F.col("i").alias("grid_index"), F.element_at(garr, F.col("i") + 1).alias("x"),
-                      dens.alias("density"))
+    point = [F.col("k") * F.exp(-0.5 * F.pow(F.try_divide(F.lit(float(g)) - F.col("x"), F.col("_h")), 2)) for g in grid]
+    agg = j.groupBy(*keys, "_n", "_h").agg(*[F.sum(s).alias(f"_s{i}") for i, s in enumerate(point)])
+    dens = [F.try_divide(F.col(f"_s{i}"), F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)) for i in range(len(grid))]
+    return agg.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("grid_index"), F.lit(float(g)).alias("x"), d.alias("density"))
+                                                for i, (g, d) in enumerate(zip(grid, dens))])))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
