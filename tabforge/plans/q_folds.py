@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabforge.operators import folds as X
+from tabforge.operators import newton as N
 from tabforge.operators import summarize as S
 from tabforge.operators import validate as V
 from tabforge.plans.registry import register
@@ -115,3 +116,33 @@ SELECT fold, round(avg(CAST(prediction = truth AS DOUBLE)), 6) AS score FROM p G
 def lda_folds_orders(spark, sf):
     d = labelled_orders(spark, sf).select(F.col("o_orderkey").alias("key"), "label", (F.col("o_totalprice") / 100000).alias("a"), (F.col("c_acctbal") / 1000).alias("b"))
     return _rounded(X.lda_folds(V.stratified_folds(d, "label", "key", K), ["a", "b"], "label", "fold")).drop("params")
+
+
+# --- linear classifiers, every fold and penalty in the same scans
+CS = [0.0001, 1.0, 100.0]
+LINEAR = {"a": "n_lines", "b": "quantity"}
+
+
+@register("ridge_folds_carts", f"""
+WITH d AS (SELECT key, label, n_lines AS a, quantity AS b, 2.0 * label - 1 AS y, {FOLD_SQL} FROM {CARTS_SQL}),
+     s AS (SELECT f.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, 2 * var_pop(a) * count(*) AS aa, 2 * var_pop(b) * count(*) AS bb,
+                  2 * covar_pop(a, b) * count(*) AS ab, 2 * covar_pop(a, y) * count(*) AS ay, 2 * covar_pop(b, y) * count(*) AS by_
+           FROM d JOIN (SELECT DISTINCT fold FROM d) f ON d.fold <> f.fold GROUP BY f.fold),
+     w AS (SELECT *, ((bb + 1 / c) * ay - ab * by_) / ((aa + 1 / c) * (bb + 1 / c) - ab * ab) AS wa,
+                  ((aa + 1 / c) * by_ - ab * ay) / ((aa + 1 / c) * (bb + 1 / c) - ab * ab) AS wb
+           FROM s, (VALUES {', '.join(f"('C={c}', CAST({c} AS DOUBLE))" for c in CS)}) g(params, c))
+SELECT params, d.fold, round(avg(CAST((my + (a - ma) * wa + (b - mb) * wb > 0) = (label = 1) AS DOUBLE)), 6) AS score
+FROM d JOIN w ON w.fold = d.fold GROUP BY params, d.fold""")
+def ridge_folds_carts(spark, sf):
+    d = carts(spark, sf).withColumnsRenamed({v: k for k, v in LINEAR.items()})
+    return _rounded(N.linear_folds(d, list(LINEAR), "label", "fold", "squared", CS))
+
+
+@register("logistic_folds_carts")
+def logistic_folds_carts(spark, sf):
+    return _rounded(N.linear_folds(carts(spark, sf), list(CUTS), "label", "fold", "logistic", CS))
+
+
+@register("linear_svm_folds_carts")
+def linear_svm_folds_carts(spark, sf):
+    return _rounded(N.linear_folds(carts(spark, sf), list(CUTS), "label", "fold", "squared_hinge", CS))

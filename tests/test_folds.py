@@ -1,5 +1,6 @@
 """Folds that share their work against one fit per fold."""
 
+import math
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators import folds as X
 from tabforge.operators import models as L
+from tabforge.operators import newton as N
 
 
 def table(spark):
@@ -82,3 +84,51 @@ def test_no_rows_and_one_class(spark):
     one = df.where("y = 'a'")
     assert set(got(X.naive_bayes_folds(one, ["a", "b"], "y", "fold", "multinomial", [1.0]))["alpha=1.0"].values()) == {1.0}
     assert set(got(X.lda_folds(one, ["a", "b"], "y", "fold"))[""].values()) == {1.0}
+
+
+def slope(rows, w, b, kind, c, positive):
+    """Gradient of |w|^2 / 2 + C * losses by weights and intercept, row by row."""
+    g = [*w, 0.0]
+    for x, y in rows:
+        s = 1 if y == positive else -1
+        m = s * (sum(a * v for a, v in zip(w, x)) + b)
+        d = {"logistic": -s / (1 + math.exp(m)), "squared_hinge": -2 * s * max(0.0, 1 - m), "squared": -2 * s * (1 - m)}[kind]
+        g = [v + c * d * t for v, t in zip(g, [*x, 1.0])]
+    return g
+
+
+@pytest.mark.parametrize("kind", ["logistic", "squared_hinge", "squared"])
+def test_linear_models_are_least(spark, kind):
+    df = table(spark).where("y is null or y <> 'rare'").withColumn("flat", F.lit(7.0))
+    data, models = N.linear_models(df, ["a", "b", "flat"], "y", "fold", kind, [0.01, 5.0])
+    rows = [(r["_f"], r["_x"], r["_y"]) for r in data.collect()]
+    assert len(models) == 4 * 2 * 3  # folds, penalties, classes against the rest
+    for params, f, k, w, b in models:
+        g = slope([(x, y) for h, x, y in rows if h != f], w, b, kind, float(params[2:]), k)
+        assert max(map(abs, g)) < 1e-4 and w[2] == 0
+    scores = got(N.linear_folds(df, ["a", "b", "flat"], "y", "fold", kind, [0.01, 5.0]))
+    for params, by_fold in scores.items():
+        for f, score in by_fold.items():
+            of = {k: (w, b) for p, h, k, w, b in models if (p, h) == (params, f)}
+            hits = [max(sorted(of), key=lambda k: sum(a * v for a, v in zip(of[k][0], x)) + of[k][1]) == y for h, x, y in rows if h == f]  # noqa: B023
+            assert score == pytest.approx(sum(hits) / len(hits))
+
+
+def test_linear_models_of_two_one_and_no_classes(spark):
+    df = table(spark).where("y in ('a', 'b')")
+    data, models = N.linear_models(df, ["a", "b"], "y", "fold", "logistic", [1.0])
+    for _, f, k, w, b in models:
+        if k == "a":
+            assert not any(w) and b == 0
+        else:
+            assert max(map(abs, slope([(r["_x"], r["_y"]) for r in data.collect() if r["_f"] != f], w, b, "logistic", 1.0, "b"))) < 1e-5
+    assert set(got(N.linear_folds(df.where("y = 'a'"), ["a"], "y", "fold", "logistic", [1.0]))["C=1.0"].values()) == {1.0}
+    assert N.linear_folds(df.where("k < 0"), ["a"], "y", "fold", "logistic", [1.0]).count() == 0
+    with pytest.raises(ValueError):
+        N.linear_folds(df, ["a"], "y", "fold", "logistic", [0.0])
+
+
+def test_separated_rows_settle(spark):
+    df = spark.createDataFrame([(i % 3, float(i), int(i > 50)) for i in range(100)], "fold int, a double, y int")
+    for kind in ("logistic", "squared_hinge"):
+        assert min(got(N.linear_folds(df, ["a"], "y", "fold", kind, [1000.0]))["C=1000.0"].values()) > 0.95
