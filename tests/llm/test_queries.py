@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tabforge.llm.queries import ORACLES, QUERIES
+from test_operators import brute_phrases, brute_suffix, same
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SF).select(*want.columns).collect()
@@ -24,7 +25,7 @@ def test_sql(spark, name):
 
 def test_one_row_for_each_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for k in range(1, 11):
+    for k in range(1, 14):
         assert sum(q.startswith(f"op{k}_") for q in QUERIES) == 1
     for name in ("op3_token_count", "op7_bpe"):
         assert QUERIES[name](spark, SF).count() == n
@@ -32,6 +33,14 @@ def test_one_row_for_each_document(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_repeats_and_phrases_of_a_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    cols = ["doc_id", "n_bytes", "kept_sha256", "n_removed", "n_spans"]
+    same(QUERIES["op2_suffix_dedup"](spark, SF), list(brute_suffix(rows, docs)), cols)
+    same(QUERIES["op10_license_scan"](spark, SF), brute_phrases(rows), ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"])
+
+
 def test_pipeline(spark, tmp_path):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     docs = spark.read.parquet(f"{SF}/documents.parquet")
