@@ -12,10 +12,12 @@ partitioning, even if an executor is lost and work is retried.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.plans.bounded import checked_broadcast
 from tabforge.session import ensure_checkpoint_dir
 
 
@@ -52,9 +54,11 @@ def exact_row_number(df: DataFrame, order_by, partition_by=(), name: str = "rn",
                                               F.min("_mid").alias("_first"))
     before = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # Without group columns the stats table has one row per range partition.
-    stats = F.broadcast(stats) if not part else stats
-    out = null_safe_join(tagged, stats.drop("_n"), ["_pid", *part])
+    # Without group columns the stats table has one row per range partition; with few groups it is small as well, and the
+    # rows are not shuffled again.
+    stats = stats.drop("_n")
+    stats = F.broadcast(stats) if not part else checked_broadcast(stats, 1 << 17)
+    out = null_safe_join(tagged, stats, ["_pid", *part])
     out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("long"))
     return out.drop("_pid", "_mid", "_first", "_off")
 
@@ -64,26 +68,24 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``), exact.
 
     Returns one row per (column, p): ``column``, ``p``, ``value``.
-    Pass 1 (one aggregate): row counts and an approximate bracket around each
-    quantile. Pass 2 (one grouped scan): per needed rank r, the number of rows
-    below the bracket and the (value, count) pairs inside it; r is found by
-    walking those pairs, which also verifies the bracket. The sketch bounds a
-    bracket to about 2n/accuracy ranks, so pass 2 reads a bounded number of
-    pairs; when that bound is too large (very big n) the bracket is first
-    narrowed level by level (approximate pass + exact count pass, each a scan
-    with partial aggregation). Targets still open after ``max_levels`` fall
-    back to the distributed rank (``rank_quantiles``).
+    A scan counts rows and proposes two values around every needed rank. A second one counts the rows below and up to
+    each proposed value: a rank between those two counts is that value, however many rows share it, and any other rank
+    lies strictly between two counted values. Such gaps are read back as (value, count) pairs once they hold
+    ``max_collect`` rows together; wider ones get new proposals from a sketch of the gap alone. What lies strictly
+    between two proposals is bounded by the sketch's error (about 8 rows in ``accuracy``), so a level divides a gap by
+    hundreds whatever the ties. Targets still open after ``max_levels`` fall back to the distributed rank
+    (``rank_quantiles``).
     """
-    xs = {c: F.col(c).cast("double") for c in cols}
+    xs = {c: F.col(c).cast("double") + F.lit(0.0) for c in cols}  # -0.0 is 0.0
     valid = {c: xs[c].isNotNull() & ~F.isnan(xs[c]) for c in cols}
     delta = 3.0 / accuracy
 
     def inside(c, lo, hi):
         cond = valid[c]
         if lo is not None:
-            cond = cond & (xs[c] >= F.lit(lo))
+            cond = cond & (xs[c] > F.lit(lo))
         if hi is not None:
-            cond = cond & (xs[c] <= F.lit(hi))
+            cond = cond & (xs[c] < F.lit(hi))
         return cond
 
     # One sketch per column, asked for a bracket (p − δ, p + δ) around every quantile.
@@ -92,78 +94,69 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
                                          [q for p in probs for q in (max(0.0, p - delta), min(1.0, p + delta))],
                                          accuracy).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     n = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    targets, proposal = set(), {}
+    gap, proposal, found = {}, {}, {}  # gap: (lo, hi, first rank, end) of what lies strictly between lo and hi
     for i, c in enumerate(cols):
-        if not n[c]:
-            continue
-        for j, p in enumerate(probs):
+        for j, p in enumerate(probs if n[c] else []):
             for r in (math.floor(p * (n[c] - 1)), math.ceil(p * (n[c] - 1))):
-                targets.add((c, r))
+                gap[(c, r)] = (None, None, 0, n[c])
                 proposal[(c, r)] = (first[f"b{i}"][2 * j], first[f"b{i}"][2 * j + 1])
-    targets = sorted(targets)
-    state = {t: (None, None, 0, n[t[0]]) for t in targets}  # verified (lo, hi, rows below lo, rows in [lo, hi])
-    found: dict = {}
-
+    targets = sorted(gap)
     for level in range(max_levels + 1):
         open_t = [t for t in targets if t not in found]
         if not open_t:
             break
-        # Verify-and-read pass for targets whose (proposed or verified) bracket is provably small.
-        # ``max_collect`` bounds the (value, count) pairs read back per pass, summed over all targets.
-        ready, budget = [], 0
+        points = sorted({(t[0], v) for t in open_t for v in proposal[t]})
+        counts = df.agg(*[e for i, (c, v) in enumerate(points) for e in (
+            F.count_if(xs[c] < F.lit(v)).alias(f"u{i}"), F.count_if(xs[c] <= F.lit(v)).alias(f"e{i}"))]).first()
+        counts = {point: (counts[f"u{i}"], counts[f"e{i}"]) for i, point in enumerate(points)}
+        for c, r in open_t:
+            lo, hi, start, end = gap[(c, r)]
+            for v in sorted(set(proposal[(c, r)])):
+                under, upto = counts[(c, v)]
+                if r < under:
+                    hi, end = v, under
+                    break
+                if r < upto:
+                    found[(c, r)] = v
+                    break
+                lo, start = v, upto
+            gap[(c, r)] = (lo, hi, start, end)
+        spans: dict = {}
         for t in open_t:
-            size = state[t][3]
-            if t in proposal:
-                est, lo_hi = 2 * delta * size + 2, proposal[t]
-            else:
-                est, lo_hi = size, (state[t][0], state[t][1])
-            if budget + est <= max_collect:
-                ready.append((t, *lo_hi))
-                budget += est
+            if t not in found:
+                spans.setdefault((t[0], *gap[t]), []).append(t)
+        ready, budget = [], 0
+        for span in sorted(spans, key=lambda s: s[4] - s[3]):
+            budget += span[4] - span[3]
+            if budget <= max_collect:
+                ready.append(span)
         if ready:
-            cnt_aggs = [F.count_if(valid[c] & (xs[c] < F.lit(lo))).alias(f"u{i}") if lo is not None
-                        else F.lit(0).alias(f"u{i}") for i, ((c, r), lo, hi) in enumerate(ready)]
-            below_row = df.agg(*cnt_aggs).first()
-            below_n = {i: below_row[f"u{i}"] for i in range(len(ready))}
-            items = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("t"), xs[c].alias("v")))
-                     for i, ((c, r), lo, hi) in enumerate(ready)]
-            pairs = (df.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
+            held = [inside(c, lo, hi) for c, lo, hi, _, _ in ready]
+            items = [F.when(cond, F.struct(F.lit(i).alias("t"), xs[span[0]].alias("v"))) for i, (cond, span) in enumerate(zip(held, ready))]
+            pairs = (df.where(reduce(lambda a, b: a | b, held)).select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
                        .groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("k")).collect())
-            vals = {}
+            vals: dict = {}
             for row in pairs:
                 vals.setdefault(row["t"], []).append((row["v"], row["k"]))
-            for i, ((c, r), lo, hi) in enumerate(ready):
-                acc = below_n.get(i, 0)
-                if acc > r:
-                    continue  # bracket starts above the rank: not verified
+            for i, span in enumerate(ready):
+                acc, wanted = span[3], sorted(spans.pop(span))
                 for v, k in sorted(vals.get(i, [])):
                     acc += k
-                    if acc > r:
-                        found[(c, r)] = v
-                        break
-            open_t = [t for t in open_t if t not in found]
-        if not open_t or level == max_levels:
+                    while wanted and acc > wanted[0][1]:
+                        found[wanted.pop(0)] = v
+        if not spans or level == max_levels:
             break
-        # Narrow the remaining brackets: approximate pass inside the verified bracket, then exact counts.
+        # New proposals for the other gaps, each from a sketch of its own rows.
+        asked = list(spans.items())
         aggs = []
-        for i, (c, r) in enumerate(open_t):
-            lo, hi, below, size = state[(c, r)]
-            rr, d = r - below, 2.0 * size / accuracy + 1
-            qs = [max(0.0, (rr - d) / size), min(1.0, (rr + d + 1) / size)]
+        for i, ((c, lo, hi, start, end), ts) in enumerate(asked):
+            size, d = end - start, 2.0 * (end - start) / accuracy + 1
+            qs = [q for _, r in ts for q in (max(0.0, (r - start - d) / size), min(1.0, (r - start + d + 1) / size))]
             aggs.append(F.percentile_approx(F.when(inside(c, lo, hi), xs[c]), qs, accuracy).alias(f"b{i}"))
-        brk = df.agg(*aggs).first()
-        aggs = []
-        for i, (c, r) in enumerate(open_t):
-            blo, bhi = brk[f"b{i}"]
-            aggs += [F.count_if(valid[c] & (xs[c] < F.lit(blo))).alias(f"u{i}"),
-                     F.count_if(inside(c, blo, bhi)).alias(f"s{i}")]
-        cnt = df.agg(*aggs).first()
-        proposal = {}
-        for i, (c, r) in enumerate(open_t):
-            blo, bhi = brk[f"b{i}"]
-            below, size = cnt[f"u{i}"], cnt[f"s{i}"]
-            if below <= r < below + size and size < state[(c, r)][3]:
-                state[(c, r)] = (blo, bhi, below, size)
+        sketch = df.agg(*aggs).first()
+        for i, (_, ts) in enumerate(asked):
+            for j, t in enumerate(ts):
+                proposal[t] = (sketch[f"b{i}"][2 * j], sketch[f"b{i}"][2 * j + 1])
     rest = sorted({c for (c, r) in targets if (c, r) not in found})
     rows = []
     for c in cols:
