@@ -135,11 +135,12 @@ def _weighted(rows: DataFrame, by: str, wanted: dict[str, dict[str, str]]) -> Da
 def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None = None,
         categorical: list[str] = (), boolean: list[str] = (), numeric_primitives=NUMERIC_PRIMITIVES,
         categorical_primitives=CATEGORICAL_PRIMITIVES, boolean_primitives=BOOLEAN_PRIMITIVES,
-        depth: int = 1, deep_primitives=None, max_parent_rows: int = 200_000) -> DataFrame:
+        depth: int = 1, deep_primitives=None, max_parent_rows: int = 200_000, combinations: bool = False) -> DataFrame:
     """Deep feature synthesis; returns the columns of ``df`` and all features of ``define_features`` in its order.
 
     Rows whose parent value is NULL have NULL features of that parent; NULL children are left out of aggregates.
-    ``max_parent_rows`` bounds what is broadcast and never changes the result.
+    ``max_parent_rows`` bounds what is broadcast and never changes the result. With ``combinations``, the result is one
+    row per combination of parent values: the parents and their features, which no other column of ``df`` changes.
     """
     numeric = [c for c in (numeric if numeric is not None else numeric_columns(df)) if c != key]
     features = define_features(parents, numeric, categorical, boolean, numeric_primitives, categorical_primitives,
@@ -193,13 +194,14 @@ def dfs(df: DataFrame, key: str, parents: list[str], numeric: list[str] | None =
                         parts.append(_values(counts, p, "_v", "_k", names))
             level[p] = spine(p, parts, [f.name for f in own])
             tables[p].append(level[p])
-    out = df
+    out = narrow.select(*parents).distinct() if combinations else df
+    kept = parents if combinations else df.columns
     for p in parents:
         g = tables[p][0]
         for t in tables[p][1:]:
             g = g.join(t, p)
         out = out.join(checked_broadcast(g, max_parent_rows), on=p, how="left")
-    return out.select(*[F.col(f"`{c}`") for c in [*df.columns, *(f.name for f in features)]])
+    return out.select(*[F.col(f"`{c}`") for c in [*kept, *(f.name for f in features)]])
 
 
 def collinear_pairs(df: DataFrame, cols: list[str], threshold: float, strict: bool = False) -> DataFrame:

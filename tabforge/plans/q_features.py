@@ -121,9 +121,9 @@ def _dfs_deep_sql():
 def dfs_depth2_orders(spark, sf):
     """All features up to depth 2, once per combination of parent values."""
     out = FT.dfs(dfs_base(spark, sf), "o_orderkey", PARENTS, numeric=NUMERIC, categorical=CATEGORICAL, boolean=BOOLEAN,
-                 depth=2, deep_primitives=DEEP)
+                 depth=2, deep_primitives=DEEP, combinations=True)
     return out.select(*PARENTS, *[F.col(f.name) if f.categorical else F.round(F.expr(_signed_log(f.name)), 6).alias(f.name)
-                                  for f in DEEP_FEATURES]).distinct()
+                                  for f in DEEP_FEATURES])
 
 
 @register("normalize_priority_entity", """

@@ -69,3 +69,14 @@ def test_grid_scores_the_folds_without_their_joins(spark):
         L.Pipeline.fit = fit
     assert [r["score"] for r in table.collect()] == [1.0, 1.0] and best.stages[-1].depth == 1
     assert len(seen) == 7 and not any("Join" in p.replace("JoinedRow", "") for p in seen)
+
+
+def test_features_of_parent_combinations(spark):
+    from tabforge.operators import features as FT
+    rows = [(i, i % 3 if i % 7 else None, "xy"[i % 2], float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, a int, b string, v double")
+    kw = dict(numeric=["v"], depth=2, deep_primitives=["mean", "max"])
+    whole = FT.dfs(df, "k", ["a", "b"], **kw).drop("k", "v").distinct()
+    few = FT.dfs(df, "k", ["a", "b"], combinations=True, **kw)
+    assert few.columns == whole.columns and few.count() == 8
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
