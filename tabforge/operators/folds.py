@@ -2,8 +2,8 @@
 
 Naive Bayes and linear discriminants are sums over rows, so the sums of a fold's training rows are the total less the
 fold's own: statistics of all folds come from grouped sums, and all of them, with every smoothing of a grid, are scored in
-one scan as linear models looked up by fold. A k-NN grid searches each fold's neighbours once, at the largest k: every
-smaller k and both weightings are votes over the same ranked list.
+one scan as linear models looked up by fold. A k-NN grid searches the neighbours of all folds once, in one tree and at the
+largest k: every smaller k and both weightings are votes over the same ranked list.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def lda_folds(df: DataFrame, cols: list[str], y: str, fold: str) -> DataFrame:
 
 def knn_grid(df: DataFrame, cols: list[str], y: str, key: str, fold: str, ks: list[int],
              weights: list[str] = ("uniform", "distance"), p: int = 2) -> DataFrame:
-    """(params, fold, score) of the k-NN classifier for every k and weighting, from one neighbour search per fold.
+    """(params, fold, score) of the k-NN classifier for every k and weighting, from one neighbour search for all folds.
 
     Ties between classes go to the smallest; with weights by distance, exact matches take all the weight. Rows with a NULL
     class or fold take no part; a row without neighbours counts as wrong.
@@ -126,14 +126,11 @@ def knn_grid(df: DataFrame, cols: list[str], y: str, key: str, fold: str, ks: li
     folds = [r[0] for r in data.select("_f").distinct().limit(MAX_GROUPS + 1).collect()]
     if len(folds) > MAX_GROUPS:
         raise BoundExceeded(f"more than {MAX_GROUPS} folds")
-    found = None
-    for f in sorted(folds):
-        nearest = knn(data.where(F.col("_f") == F.lit(f)), data.where(F.col("_f") != F.lit(f)).withColumnRenamed("_k", "_d"), cols, max(ks),
-                      "_k", "_d", "_y", metric="manhattan" if p == 1 else "euclidean")
-        nearest = nearest.select("_k", F.col("_y").alias("_c"), "dist", "rank")
-        found = nearest if found is None else found.unionByName(nearest)
-    if found is None:
+    if not folds:
         return df.sparkSession.createDataFrame([], f"params string, fold {data.schema['_f'].dataType.simpleString()}, score double")
+    data = data.withColumn("_g", F.array_position(F.array(*[F.lit(f) for f in sorted(folds)]), F.col("_f")))
+    found = knn(data, data.withColumnRenamed("_k", "_d"), cols, max(ks), "_k", "_d", "_y", metric="manhattan" if p == 1 else "euclidean", apart="_g")
+    found = found.select("_k", F.col("_y").alias("_c"), "dist", "rank")
     near, weight = [F.col("rank") <= k for k in ks], F.when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(0.0)
     tally = found.groupBy("_k", "_c").agg(*[F.sum(F.when(near[i], v).otherwise(0.0)).alias(f"_{name}{i}") for i in range(len(ks)) for name, v in (
         ("n", F.lit(1.0)), ("w", weight), ("e", (F.col("dist") == 0).cast("double")))])

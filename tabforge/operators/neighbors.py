@@ -75,11 +75,15 @@ def _rough(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.nd
     return rough, 16.0 * (dims + 4) * np.finfo(float).eps * scale * size
 
 
-def _nearest(key, left: pa.Table, right: pa.Table, k: int, dims: int, metric: str) -> pa.Table:
-    """``vid, leaf, idx, dist``: of one cell the first k vectors of every query vector by (distance, number in the cell)."""
+def _nearest(key, left: pa.Table, right: pa.Table, k: int, dims: int, metric: str, apart: bool) -> pa.Table:
+    """``vid, leaf, idx, dist``: of one cell the first k vectors of every query vector by (distance, number in the cell).
+
+    With ``apart``, vectors of the query's own group ``g`` are none of them."""
     x, y = _matrix(left["x"], dims), _matrix(right["x"], dims)
     idx = right["idx"].to_numpy()
-    y, idx = y[np.argsort(idx)], np.sort(idx)
+    order = np.argsort(idx)
+    y, idx = y[order], idx[order]
+    own, groups = left["g"].to_numpy(), right["g"].to_numpy()[order]
     top = left["kth"].to_numpy(zero_copy_only=False).astype(float)
     top = np.where(np.isnan(top), np.inf, top)
     vid = left["vid"].to_numpy()
@@ -88,6 +92,8 @@ def _nearest(key, left: pa.Table, right: pa.Table, k: int, dims: int, metric: st
     for at in range(0, len(x), step):
         part, bound = x[at:at + step], top[at:at + step]
         rough, error = _rough(part, y, metric)
+        if apart:
+            rough[own[at:at + step, None] == groups] = np.inf
         limit = np.where(np.isinf(bound), np.inf, bound * bound if metric == "euclidean" else bound) * (1 + 1e-12)
         if len(y) > k:
             limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + error)
@@ -209,13 +215,14 @@ def _reach(blocks: DataFrame, levels: list[DataFrame], leaf_rows: int, dims: int
 
 
 def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey: str, dkey: str,
-        dval: str, metric: str = "mean_sq", leaf_rows: int = 4096, block_rows: int = 2048) -> DataFrame:
+        dval: str, metric: str = "mean_sq", leaf_rows: int = 4096, block_rows: int = 2048, apart: str | None = None) -> DataFrame:
     """Rows (qkey, dkey, dval, dist, rank) — the k nearest donors of every query row.
 
     Neighbours are ordered by (distance, donor key). Features that are NULL, NaN or infinite on either side are left out:
     ``mean_sq`` averages over the shared ones, the other metrics are scaled up to all features. A donor that shares
     no feature is no neighbour; a query may so have fewer than k. ``leaf_rows`` and ``block_rows`` bound the cells and
-    the blocks of queries and never change the result.
+    the blocks of queries and never change the result. ``apart`` names a whole-number column of both tables without NULLs:
+    a donor with the query's own value is no neighbour, so all folds of a table share one tree and one search.
     """
     if metric not in METRICS:
         raise ValueError(metric)
@@ -225,31 +232,36 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
         v = F.col(f).cast("double")
         return F.when(F.abs(v) < float("inf"), v + F.lit(0.0))
     x = F.array(*[vector(f) for f in features])
-    q = queries.select(qkey, x.alias("x"))
-    lowest = Window.partitionBy("x").orderBy("dk")  # partial group limit before the shuffle
-    d = donors.select(F.col(dkey).alias("dk"), F.col(dval).alias("dv"), x.alias("x"))
+    def group(other):
+        return (F.col(apart) if apart else F.lit(other)).cast("long").alias("g")
+    q = queries.select(qkey, x.alias("x"), group(0))
+    lowest = Window.partitionBy("x", "g").orderBy("dk")  # partial group limit before the shuffle
+    d = donors.select(F.col(dkey).alias("dk"), F.col(dval).alias("dv"), x.alias("x"), group(1))
+    if apart:  # equal vectors of all groups lie in one cell
+        leaf_rows = max(leaf_rows, donors.select(apart).distinct().count())
     dv = settled(d.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k)
-                 .groupBy("x").agg(F.sort_array(F.collect_list(F.struct("dk", "dv"))).alias("rows")))
+                 .groupBy("x", "g").agg(F.sort_array(F.collect_list(F.struct("dk", "dv"))).alias("rows")))
     placed, levels, splits = _grow(dv, dims, leaf_rows)
-    number = Window.partitionBy("node").orderBy(F.col("rows")[0]["dk"], "x")  # a leaf is bounded
-    cells = settled(placed.select(F.col("node").alias("leaf"), "x", "rows").withColumn(
+    number = Window.partitionBy("node").orderBy(F.col("rows")[0]["dk"], "x", "g")  # a leaf is bounded
+    cells = settled(placed.select(F.col("node").alias("leaf"), "x", "g", "rows").withColumn(
         "idx", F.row_number().over(number.partitionBy("leaf")).cast("long")))
-    qv = _descend(q.select("x").distinct(), levels, splits, k).withColumnRenamed("node", "home")
+    # A cell where few vectors are of other groups would leave its queries without a bound.
+    qv = _descend(q.select("x", "g").distinct(), levels, splits, 4 * k if apart else k).withColumnRenamed("node", "home")
     qv = settled(qv.withColumn("vid", F.monotonically_increasing_id()))
     qv = settled(_blocks(qv, len(splits), block_rows))
 
     def search(pairs: DataFrame, vectors: DataFrame, which: str) -> DataFrame:
         """The block's vectors that ``which`` names against the cell's, for every pair ``leaf, block``; both are bounded."""
-        left = vectors.join(pairs, "block").where(which).select("leaf", "block", "vid", "x", "kth")
+        left = vectors.join(pairs, "block").where(which).select("leaf", "block", "vid", "x", "g", "kth")
         met = pairs.select(F.col("leaf").alias("cell"), F.col("block").alias("by"))
-        right = cells.join(met, F.col("leaf") == F.col("cell")).select("cell", "by", "idx", "x")
+        right = cells.join(met, F.col("leaf") == F.col("cell")).select("cell", "by", "idx", "x", "g")
         return settled(left.groupBy("leaf", "block").cogroup(right.groupBy("cell", "by")).applyInArrow(
-            lambda key, a, b: _nearest(key, a, b, k, dims, metric), "vid long, leaf long, idx long, dist double"))
+            lambda key, a, b: _nearest(key, a, b, k, dims, metric, apart is not None), "vid long, leaf long, idx long, dist double"))
     own = settled(qv.select(F.col("home").alias("leaf"), "block").distinct())
     found = search(own, qv.withColumn("kth", F.lit(None).cast("double")), "leaf = home")
     if splits:
         got = found.groupBy("vid").agg(F.count("*").alias("got"), F.max("dist").alias("far"))
-        bounded = settled(qv.join(got, "vid", "left").select("vid", "x", "block", "home", F.when(F.col("got") >= k, F.col("far")).alias("kth")))
+        bounded = settled(qv.join(got, "vid", "left").select("vid", "x", "g", "block", "home", F.when(F.col("got") >= k, F.col("far")).alias("kth")))
         # A block that holds a vector without a bound has none itself.
         blocks = _boxes(bounded, ["block"], dims, F.when(F.bool_and(F.col("kth").isNotNull()), F.max("kth")).alias("kth"))
         blocks = settled(blocks.select("block", "kth", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("holes").alias("qholes")))
@@ -259,5 +271,5 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
     near = found.withColumn("r", F.rank().over(Window.partitionBy("vid").orderBy("dist"))).where(F.col("r") <= k).drop("r")
     cand = settled(near.join(cells.select("leaf", "idx", "rows"), ["leaf", "idx"]).select("vid", "dist", F.explode("rows").alias("row"))
                    .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    cand = settled(cand.join(qv.select("vid", "x"), "vid").select("x", "dist", "row.*", "rank"))
-    return q.join(cand, "x").select(qkey, F.col("dk").alias(dkey), F.col("dv").alias(dval), "dist", "rank")
+    cand = settled(cand.join(qv.select("vid", "x", "g"), "vid").select("x", "g", "dist", "row.*", "rank"))
+    return q.join(cand, ["x", "g"]).select(qkey, F.col("dk").alias(dkey), F.col("dv").alias(dval), "dist", "rank")

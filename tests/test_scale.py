@@ -80,3 +80,16 @@ def test_features_of_parent_combinations(spark):
     few = FT.dfs(df, "k", ["a", "b"], combinations=True, **kw)
     assert few.columns == whole.columns and few.count() == 8
     assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_neighbours_of_other_groups_share_one_tree(spark):
+    from tabforge.operators.neighbors import knn
+    rows = [(i, float(i * 7 % 23), float(i * 5 % 11) if i % 13 else None, i % 3, i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, g int, y int")
+    got = knn(df, df.withColumnRenamed("k", "d"), ["a", "b"], 5, "k", "d", "y", metric="manhattan", leaf_rows=30, block_rows=20, apart="g")
+    apart = {(r["k"], r["rank"]): (r["d"], r["dist"]) for r in got.collect()}
+    for g in range(3):
+        one = knn(df.where(F.col("g") == g), df.where(F.col("g") != g).withColumnRenamed("k", "d"), ["a", "b"], 5, "k", "d", "y", metric="manhattan")
+        for r in one.collect():
+            assert apart.pop((r["k"], r["rank"])) == (r["d"], r["dist"])
+    assert not apart
