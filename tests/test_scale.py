@@ -93,3 +93,25 @@ def test_neighbours_of_other_groups_share_one_tree(spark):
         for r in one.collect():
             assert apart.pop((r["k"], r["rank"])) == (r["d"], r["dist"])
     assert not apart
+
+
+def test_flow_fits_rows_that_are_written_once(spark, tmp_path):
+    """Neither model joins the customers or the estimates again with each of its scans."""
+    from tabforge.operators import models as L
+    from tabforge.plans.q_flow import classification_flow_orders
+    customer = [(i, i % 4, float(i * 37 % 101), "ABC"[i % 3]) for i in range(20)]
+    spark.createDataFrame(customer, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(i, i % 20, "FO"[i * 7 % 5 > 2], float(i * 991 % 90_000), f"{1 + i % 5}-X") for i in range(300)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    seen, fit = [], L.Pipeline.fit
+
+    def spied(self, data, *more):
+        seen.append(data._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, data, *more)
+    L.Pipeline.fit = spied
+    try:
+        got = classification_flow_orders(spark, str(tmp_path)).collect()
+    finally:
+        L.Pipeline.fit = fit
+    assert len(got) == 60 and {r["label"] for r in got} <= {0, 1}
+    assert len(seen) == 2 and not any("Join" in p.replace("JoinedRow", "") for p in seen)
