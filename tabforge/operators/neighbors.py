@@ -76,18 +76,19 @@ def _rough(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.nd
 
 
 def _nearest(key, left: pa.Table, right: pa.Table, k: int, dims: int, metric: str, apart: bool) -> pa.Table:
-    """``vid, leaf, idx, dist``: of one cell the first k vectors of every query vector by (distance, number in the cell).
+    """``vid, leaf, idx, dist, m``: of one cell the first k vectors of every query vector by (distance, number in the cell).
 
-    With ``apart``, vectors of the query's own group ``g`` are none of them."""
+    A vector stands for ``m`` rows; those behind k rows at smaller distances are left out. With ``apart``, vectors of the
+    query's own group ``g`` are none of them."""
     x, y = _matrix(left["x"], dims), _matrix(right["x"], dims)
     idx = right["idx"].to_numpy()
     order = np.argsort(idx)
-    y, idx = y[order], idx[order]
+    y, idx, rows = y[order], idx[order], right["m"].to_numpy()[order]
     own, groups = left["g"].to_numpy(), right["g"].to_numpy()[order]
     top = left["kth"].to_numpy(zero_copy_only=False).astype(float)
     top = np.where(np.isnan(top), np.inf, top)
     vid = left["vid"].to_numpy()
-    out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+    out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]]
     step = max(1, TILE // max(1, len(y)))
     for at in range(0, len(x), step):
         part, bound = x[at:at + step], top[at:at + step]
@@ -105,11 +106,16 @@ def _nearest(key, left: pa.Table, right: pa.Table, k: int, dims: int, metric: st
         i, j, dist = i[order], j[order], dist[order]
         first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
         rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-        keep = rank < k
-        out.append([vid[at:at + step][i[keep]], idx[j[keep]], dist[keep]])
-    vids, idxs, dists = (np.concatenate(c) for c in zip(*out))
+        # Rows of the query's vectors before the first one at the same distance.
+        before = np.concatenate([[0], np.cumsum(rows[j])])[:-1] if len(i) else np.zeros(0, np.int64)
+        tied = np.maximum.accumulate(np.where(np.append(True, (i[1:] != i[:-1]) | (dist[1:] != dist[:-1])), np.arange(len(i)), 0)) if len(i) else first
+        nearer = before[tied] - np.repeat(before[first], np.diff(np.append(first, len(i))))
+        keep = (rank < k) & (nearer < k)
+        out.append([vid[at:at + step][i[keep]], idx[j[keep]], dist[keep], rows[j[keep]]])
+    vids, idxs, dists, ms = (np.concatenate(c) for c in zip(*out))
     return pa.table({"vid": pa.array(vids, pa.int64()), "leaf": pa.array(np.full(len(vids), key[0].as_py()), pa.int64()),
-                     "idx": pa.array(idxs, pa.int64()), "dist": pa.array(dists, pa.float64())})
+                     "idx": pa.array(idxs, pa.int64()), "dist": pa.array(dists, pa.float64()),
+                     "m": pa.array(ms, pa.int64())})
 
 
 # The tree -------------------------------------------------------------------------------------------
@@ -244,7 +250,7 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
     placed, levels, splits = _grow(dv, dims, leaf_rows)
     number = Window.partitionBy("node").orderBy(F.col("rows")[0]["dk"], "x", "g")  # a leaf is bounded
     cells = settled(placed.select(F.col("node").alias("leaf"), "x", "g", "rows").withColumn(
-        "idx", F.row_number().over(number.partitionBy("leaf")).cast("long")))
+        "idx", F.row_number().over(number.partitionBy("leaf")).cast("long")).withColumn("m", F.size("rows").cast("long")))
     # A cell where few vectors are of other groups would leave its queries without a bound.
     qv = _descend(q.select("x", "g").distinct(), levels, splits, 4 * k if apart else k).withColumnRenamed("node", "home")
     qv = settled(qv.withColumn("vid", F.monotonically_increasing_id()))
@@ -254,22 +260,26 @@ def knn(queries: DataFrame, donors: DataFrame, features: list[str], k: int, qkey
         """The block's vectors that ``which`` names against the cell's, for every pair ``leaf, block``; both are bounded."""
         left = vectors.join(pairs, "block").where(which).select("leaf", "block", "vid", "x", "g", "kth")
         met = pairs.select(F.col("leaf").alias("cell"), F.col("block").alias("by"))
-        right = cells.join(met, F.col("leaf") == F.col("cell")).select("cell", "by", "idx", "x", "g")
+        right = cells.join(met, F.col("leaf") == F.col("cell")).select("cell", "by", "idx", "x", "g", "m")
         return settled(left.groupBy("leaf", "block").cogroup(right.groupBy("cell", "by")).applyInArrow(
-            lambda key, a, b: _nearest(key, a, b, k, dims, metric, apart is not None), "vid long, leaf long, idx long, dist double"))
+            lambda key, a, b: _nearest(key, a, b, k, dims, metric, apart is not None), "vid long, leaf long, idx long, dist double, m long"))
     own = settled(qv.select(F.col("home").alias("leaf"), "block").distinct())
     found = search(own, qv.withColumn("kth", F.lit(None).cast("double")), "leaf = home")
     if splits:
-        got = found.groupBy("vid").agg(F.count("*").alias("got"), F.max("dist").alias("far"))
-        bounded = settled(qv.join(got, "vid", "left").select("vid", "x", "g", "block", "home", F.when(F.col("got") >= k, F.col("far")).alias("kth")))
+        got = found.groupBy("vid").agg(F.sum("m").alias("got"), F.max("dist").alias("far"))
+        bounded = settled(qv.join(got.hint("merge"), "vid", "left").select("vid", "x", "g", "block", "home", F.when(F.col("got") >= k, F.col("far")).alias("kth")))
         # A block that holds a vector without a bound has none itself.
         blocks = _boxes(bounded, ["block"], dims, F.when(F.bool_and(F.col("kth").isNotNull()), F.max("kth")).alias("kth"))
         blocks = settled(blocks.select("block", "kth", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("holes").alias("qholes")))
         found = found.unionByName(search(_reach(blocks, levels, leaf_rows, dims, metric), bounded, "leaf <> home"))
     best = Window.partitionBy("vid").orderBy("dist", "row.dk")
-    # Vectors beyond the k-th distance go first, so rows are only unpacked for what may rank.
-    near = found.withColumn("r", F.rank().over(Window.partitionBy("vid").orderBy("dist"))).where(F.col("r") <= k).drop("r")
-    cand = settled(near.join(cells.select("leaf", "idx", "rows"), ["leaf", "idx"]).select("vid", "dist", F.explode("rows").alias("row"))
+    # Vectors beyond the k-th row's distance go first, so rows are only unpacked for what may rank.
+    byrank = Window.partitionBy("vid").orderBy("dist")
+    near = found.withColumn("r", F.rank().over(byrank)).where(F.col("r") <= k).withColumn("upto", F.sum("m").over(byrank))
+    far = F.min(F.when(F.col("upto") >= k, F.col("dist"))).over(Window.partitionBy("vid"))
+    near = near.withColumn("far", far).where(F.col("far").isNull() | (F.col("dist") <= F.col("far"))).select("vid", "leaf", "idx", "dist")
+    # Vectors and row lists are many times their size in a shuffle, by which Spark would choose to broadcast them.
+    cand = settled(near.hint("merge").join(cells.select("leaf", "idx", "rows"), ["leaf", "idx"]).select("vid", "dist", F.explode("rows").alias("row"))
                    .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    cand = settled(cand.join(qv.select("vid", "x", "g"), "vid").select("x", "g", "dist", "row.*", "rank"))
-    return q.join(cand, ["x", "g"]).select(qkey, F.col("dk").alias(dkey), F.col("dv").alias(dval), "dist", "rank")
+    cand = settled(cand.join(qv.select("vid", "x", "g").hint("merge"), "vid").select("x", "g", "dist", "row.*", "rank"))
+    return q.join(cand.hint("merge"), ["x", "g"]).select(qkey, F.col("dk").alias(dkey), F.col("dv").alias(dval), "dist", "rank")

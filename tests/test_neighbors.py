@@ -90,3 +90,14 @@ def test_impute_row_with_null_features(spark):
                                "k long, a double, b double, y double")
     got = {r["k"]: r["y"] for r in knn_impute(df, "k", "y", ["a", "b"], k=1).collect()}
     assert got == {1: 10.0, 2: 20.0, 3: 20.0, 4: None}
+
+
+def test_copies_bound_the_search_by_rows():
+    """Vectors behind k nearer rows are left out; those at the same distance as the k-th row stay."""
+    import pyarrow as pa
+
+    from tabforge.operators.neighbors import _nearest
+    left = pa.table({"vid": [0, 1], "x": [[0.0], [10.0]], "g": [0, 0], "kth": pa.array([None, None], pa.float64())})
+    right = pa.table({"idx": [1, 2, 3, 4], "x": [[1.0], [-1.0], [2.0], [10.0]], "g": [1] * 4, "m": [2, 3, 1, 1]})
+    got = _nearest((pa.scalar(5),), left, right, 3, 1, "euclidean", False).to_pylist()
+    assert [(r["vid"], r["idx"], r["m"]) for r in got] == [(0, 1, 2), (0, 2, 3), (1, 4, 1), (1, 3, 1), (1, 1, 2)]
