@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.operators.neighbors import knn
+from tabforge.plans.bounded import settled
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -26,6 +27,7 @@ def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int
     the largest total weight wins (ties: smaller value).
     """
     out = out or target
+    df = settled(df)  # its joins and broadcasts run once, not for donors, queries, bounds and result
     donors = df.where(F.col(target).isNotNull())
     recips = df.where(F.col(target).isNull())
     nb = knn(recips, donors.withColumnRenamed(key, "_dkey"), features, k, key, "_dkey", target, metric=metric)
@@ -40,7 +42,7 @@ def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int
         est = est.withColumn("_est", F.least(F.greatest(F.col("_est"), F.lit(lo)), F.lit(hi)))
     if categorical and not vote:
         est = est.withColumn("_est", F.col("_est").cast("long"))
-    j = df.join(est, on=key, how="left")
+    j = df.join(est.hint("merge"), on=key, how="left")
     filled = F.coalesce(F.col(target), F.col("_est").cast(df.schema[target].dataType))
     if out == target:
         return j.withColumn(target, filled).drop("_est")

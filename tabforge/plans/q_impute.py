@@ -207,7 +207,8 @@ def order_features(spark, sf):
         *[F.count_if(F.col("l_returnflag") == f).alias(f"flag{f}") for f in FLAGS],
         F.count_if(F.col("l_linestatus") == "O").alias("open"), F.count_if(F.col("l_linenumber") > 3).alias("lines_late"))
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 5000).alias("balance"))
-    o = load(spark, sf, "orders").join(c, "o_custkey", "left").join(li, "o_orderkey", "left")
+    # Shuffled: as a hash table on the driver the customers are many times their size in files.
+    o = load(spark, sf, "orders").join(c.hint("merge"), "o_custkey", "left").join(li.hint("merge"), "o_orderkey", "left")
     return o.select("o_orderkey", *ORDER_FEATURES[:16], *[(F.substring("o_orderpriority", 1, 1) == p).cast("int").alias(f"prio{p}") for p in PRIORITIES], "balance",
                     F.when(F.col("o_orderkey") % 20 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
 

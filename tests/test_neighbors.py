@@ -101,3 +101,21 @@ def test_copies_bound_the_search_by_rows():
     right = pa.table({"idx": [1, 2, 3, 4], "x": [[1.0], [-1.0], [2.0], [10.0]], "g": [1] * 4, "m": [2, 3, 1, 1]})
     got = _nearest((pa.scalar(5),), left, right, 3, 1, "euclidean", False).to_pylist()
     assert [(r["vid"], r["idx"], r["m"]) for r in got] == [(0, 1, 2), (0, 2, 3), (1, 4, 1), (1, 3, 1), (1, 1, 2)]
+
+
+def test_imputation_joins_its_input_once(spark, monkeypatch):
+    from tabforge.operators import impute as I
+    seen, search = [], I.knn
+
+    def spied(queries, donors, *more, **named):
+        seen.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in (queries, donors))
+        return search(queries, donors, *more, **named)
+    monkeypatch.setattr(I, "knn", spied)
+    a = spark.createDataFrame([(i, float(i // 4)) for i in range(24)], "k long, a double")
+    b = spark.createDataFrame([(i, float(i * 7 % 5) if i % 6 else None) for i in range(24)], "k long, y double")
+    got = {r["k"]: r["y"] for r in knn_impute(a.join(b, "k"), "k", "y", ["a"], k=4).collect()}
+    assert len(seen) == 2 and not any("Join" in p for p in seen)
+    for k in range(0, 24, 6):
+        near = sorted((d for d in range(24) if d % 6), key=lambda d: ((d // 4 - k // 4) ** 2, d))[:4]
+        w = [1.0 / max((d // 4 - k // 4) ** 2, 1e-6) for d in near]
+        assert abs(got[k] - sum(x * (d * 7 % 5) for x, d in zip(w, near)) / sum(w)) < 1e-9
