@@ -119,3 +119,37 @@ def test_imputation_joins_its_input_once(spark, monkeypatch):
         near = sorted((d for d in range(24) if d % 6), key=lambda d: ((d // 4 - k // 4) ** 2, d))[:4]
         w = [1.0 / max((d // 4 - k // 4) ** 2, 1e-6) for d in near]
         assert abs(got[k] - sum(x * (d * 7 % 5) for x, d in zip(w, near)) / sum(w)) < 1e-9
+
+
+def test_a_query_reaches_what_its_own_bound_names(spark, monkeypatch):
+    """Queries far apart in one block reach no more cells than each alone."""
+    from tabforge.operators import neighbors as N
+    pairs = []
+    reach = N._reach
+
+    def spied(*a):
+        pairs.append(reach(*a))
+        return pairs[-1]
+    monkeypatch.setattr(N, "_reach", spied)
+    rng = np.random.RandomState(1)
+    d = (rng.randint(0, 100, (1600, 1)) * 1000.0) + rng.rand(1600, 3)
+    q = d[rng.choice(1600, 10)] + 0.01
+    assert neighbours(spark, d, q, "euclidean", 3, leaf_rows=25, block_rows=10) == [brute(d, x, "euclidean", 3) for x in q]
+    assert len(pairs) == 1 and pairs[0].count() <= 10 * 4
+
+
+def test_queries_of_few_features_search_a_tree_of_those(spark, monkeypatch):
+    """Vectors without most features are near everyone, and queries without them are near vectors of all cells."""
+    from tabforge.operators import neighbors as N
+    trees = []
+    grow = N._grow
+    monkeypatch.setattr(N, "_grow", lambda v, dims, *a: trees.append(dims) or grow(v, dims, *a))
+    rng = np.random.RandomState(7)
+    d, q = rng.rand(400, 6), rng.rand(24, 6)
+    d[::15, 2:], q[::2, 2:] = np.nan, np.nan
+    q[0, :2] = np.nan
+    assert neighbours(spark, d, q, "mean_sq", 5, leaf_rows=30, block_rows=1000) == [brute(d, x, "mean_sq", 5) for x in q]
+    assert trees == [6, 2]
+    for metric in ("euclidean", "manhattan"):
+        assert neighbours(spark, d, q, metric, 5, leaf_rows=30, block_rows=1000) == [brute(d, x, metric, 5) for x in q]
+    assert trees == [6, 2, 6, 6]
