@@ -153,3 +153,23 @@ def test_queries_of_few_features_search_a_tree_of_those(spark, monkeypatch):
     for metric in ("euclidean", "manhattan"):
         assert neighbours(spark, d, q, metric, 5, leaf_rows=30, block_rows=1000) == [brute(d, x, metric, 5) for x in q]
     assert trees == [6, 2, 6, 6]
+
+
+@pytest.mark.parametrize("metric", ["mean_sq", "euclidean", "manhattan"])
+def test_a_query_meets_the_parts_of_a_cell_that_its_bound_names(monkeypatch, metric):
+    import pyarrow as pa
+
+    from tabforge.operators import neighbors as N
+    met, rough = [], N._rough
+    monkeypatch.setattr(N, "_rough", lambda x, y, m: met.append(len(x) * len(y)) or rough(x, y, m))
+    rng = np.random.RandomState(2)
+    d = rng.randint(0, 30, (3000, 1)) * 50.0 + rng.rand(3000, 5)
+    d[rng.rand(*d.shape) < 0.01] = np.nan
+    q = np.nan_to_num(d[rng.choice(3000, 60)]) + 0.1
+    left = pa.table({"vid": np.arange(60), "x": [[float(v) for v in r] for r in q], "g": np.zeros(60, np.int64), "kth": pa.array([None] * 60, pa.float64())})
+    right = pa.table({"idx": np.arange(3000), "x": [[None if np.isnan(v) else float(v) for v in r] for r in d], "g": np.ones(3000, np.int64), "m": np.ones(3000, np.int64)})
+    got = {}
+    for r in N._nearest((pa.scalar(5),), left, right, 10, 5, metric, False).to_pylist():
+        got.setdefault(r["vid"], []).append(r["idx"])
+    assert [got[i] for i in range(60)] == [brute(d, x, metric, 10) for x in q]
+    assert sum(met) * 2 < 60 * 3000
